@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -97,7 +97,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     return list(packed["lang"]), np.log(by_order / by_order.sum(axis=1, keepdims=True)).reshape(len(ORDERS) * BUCKETS, -1).astype(np.float32)
 
 
-def predictor(df: DataFrame, model: tuple[list[str], np.ndarray]):
+def predictor(df: DataFrame, model: tuple[list[str], np.ndarray]) -> Callable[[str], Column]:
     """A function from a text column to struct(lang_pred, score), with the matrix sent once to each executor."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
