@@ -8,6 +8,7 @@ import importlib
 _MODULES = {
     "op2_language_id": "language",
     "op6_quality_rules": "quality_rules",
+    "op8_quality_classifier": "quality_model",
 }
 
 
