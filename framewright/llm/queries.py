@@ -9,6 +9,8 @@ _MODULES = {
     "op2_language_id": "language",
     "op6_quality_rules": "quality_rules",
     "op8_quality_classifier": "quality_model",
+    "op9_best_fit_packing": "packing",
+    "op10_token_ids": "token_files",
 }
 
 
