@@ -7,6 +7,7 @@ import importlib
 #: name: (module, function, SQL or None)
 _MODULES = {
     "op2_language_id": "language",
+    "op4_chat_formatting": "chat",
     "op5_decontamination": "decontamination",
     "op6_quality_rules": "quality_rules",
     "op8_quality_classifier": "quality_model",
