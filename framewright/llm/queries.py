@@ -6,6 +6,7 @@ import importlib
 
 #: name: (module, function, SQL or None)
 _MODULES = {
+    "op1_ngram_jaccard": "jaccard",
     "op2_language_id": "language",
     "op4_chat_formatting": "chat",
     "op5_decontamination": "decontamination",
