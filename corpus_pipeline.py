@@ -1,26 +1,65 @@
-"""From documents to packed training sequences, stage by stage."""
+"""From documents to packed training sequences: each stage works on all that the one before kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from framewright.llm import language
+from framewright.llm import decontamination, jaccard, language, packing, quality_rules
 
-#: run()'s rows can't be had by SQL: the stages are models and packings.
+#: run()'s rows can't be had by SQL: language model, packing order. tests/llm has a brute-force version.
 ORACLE_SQL = None
 
 
+def _judged(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is in keep; null ids are not known to be good and go."""
+    return docs.join(keep.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose language can be told."""
+    """Keeps the documents whose language can be told: those with a letter."""
     predict = language.predictor(docs, language.fit(docs))
-    return docs.withColumn("_p", predict("text")).where(F.col("_p.lang_pred") != language.UNDETERMINED).drop("_p")
+    return docs.withColumn("_p", predict(F.col("text"))).where(F.col("_p.lang_pred") != language.UNDETERMINED).select(*docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that the base rules and the limits of their language and source let pass."""
+    return _judged(docs, quality_rules.judged(docs).where("kept"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each component of five-word shingle sets with a similarity of 0.8 or more: the one with the
+    smallest id, and of rows that repeat an id the one with the smallest text. Documents without shingles all stay."""
+    found = jaccard.JaccardJoin(5, 4, 5).classes(docs)
+    first = _judged(docs, found.where("n_shingles = 0 or doc_id = component_id"))
+    twice = first.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
+    again = first.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("m"))
+    return first.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(again.select("doc_id", "m.*").select(*docs.columns))
 
 
-STAGES = [("language ID", language_id)]
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents in which an item of the benchmark is found."""
+    hits = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed."""
+    return packing.packed_documents(docs)
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontaminated),
+    ("best-fit packing", packed),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framewright.llm.common import cut
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
