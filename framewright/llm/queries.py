@@ -11,6 +11,7 @@ _MODULES = {
     "op4_chat_formatting": "chat",
     "op5_decontamination": "decontamination",
     "op6_quality_rules": "quality_rules",
+    "op7_html_extraction": "html_text",
     "op8_quality_classifier": "quality_model",
     "op9_best_fit_packing": "packing",
     "op10_token_ids": "token_files",
