@@ -8,6 +8,7 @@ import importlib
 _MODULES = {
     "op1_ngram_jaccard": "jaccard",
     "op2_language_id": "language",
+    "op3_license_scan": "licenses",
     "op4_chat_formatting": "chat",
     "op5_decontamination": "decontamination",
     "op6_quality_rules": "quality_rules",
