@@ -44,16 +44,19 @@ def _dictionary(texts: list[str]) -> bytes:
     return b"\n".join(t.encode("utf-8", "surrogatepass")[:share] for t in texts)[-DICTIONARY_BYTES:] or b" "
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> tuple[tuple[bytes, bytes], np.ndarray]:
+def fit(documents: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> tuple[tuple[bytes, bytes], np.ndarray]:
     """Dictionaries for good (label 1) and bad (0) text, and the weights of the calibration.
 
-    Of each class, the sample_rows rows with the lowest hashes of key are used; even ones fill the dictionaries, odd ones
-    calibrate. Without rows of both classes, every text scores the share of good rows.
+    Of each class, about sample_rows labels with the lowest hashes of key are used: that many keys are sent to the
+    documents, so no text is shuffled. Even ones fill the dictionaries, odd ones calibrate. Without rows of both classes,
+    every text scores the share of good labels.
     """
-    rows = labelled.where(F.col(label).isin(0, 1)).select(F.col(label).alias("y"), F.xxhash64(F.col(key)).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    rows = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("_k"), F.col(label).cast("int").alias("y"), F.xxhash64(F.col(key)).alias("h"))
     counts = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     low = F.create_map(*[x for y in (0, 1) for x in (F.lit(y), F.lit(int((min(1, sample_rows / max(1, counts.get(y, 0))) - 0.5) * (2.0**64 - 2**12))))])
-    sample = rows.where(F.col("h") <= low[F.col("y").cast("int")]).select("y", "h", F.substring("t", 1, SAMPLE_CHARS).alias("t")).toPandas().sort_values(["h", "t"])
+    keys = F.broadcast(rows.where(F.col("h") <= low[F.col("y")]))
+    texts = documents.select(F.col(key).alias("_k"), F.substring(F.coalesce(F.col(text), F.lit("")), 1, SAMPLE_CHARS).alias("t"))
+    sample = texts.join(keys, "_k").select("y", "h", "t").toPandas().sort_values(["h", "t"])
     halves = {y: sample.loc[sample.y == y, "t"].tolist() for y in (0, 1)}
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
     dictionaries = (_dictionary(halves[1][0::2]), _dictionary(halves[0][0::2]))
@@ -104,9 +107,7 @@ def scored(documents: DataFrame, labels: DataFrame, text: str = "text", key: str
     labels teaches each. Null and empty texts get the score of an even text. Repeated rows score alike. Other columns are not read.
     """
     out = held_out(key, 5, 0)
-    known = labels.select(F.col(key), F.col(label).alias("_y")).where(~out)
-    training = documents.select(key, text).where(~out).join(known, key)
-    score = scorer(documents, fit(training, text, "_y", key))
+    score = scorer(documents, fit(documents, labels.where(~out), text, label, key))
     found = documents.select(F.col(key).alias("doc_id"), out.alias("held_out"), score(text).alias("score"))
     return found.withColumn("predicted", F.when(F.col("score") >= PREDICT_AT, 1).otherwise(0))
 
