@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("label_queries", "stats_queries", "window_queries", "surgery_queries")
+MODULES = ("label_queries", "stats_queries", "window_queries", "surgery_queries", "function_queries", "source_queries", "stream_queries")
 
 
 def load() -> None:
