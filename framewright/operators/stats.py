@@ -81,6 +81,17 @@ def row_stats(vector: str) -> list[Column]:
     return [F.array_min(v).alias("min"), F.array_max(v).alias("max"), (F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v)).alias("mean")]
 
 
+def channel_stats(images: DataFrame, image: str, stride: int = 1) -> DataFrame:
+    """Per channel of channel-first pixel arrays: min, max, mean and population std of pixels / 255, every stride-th row and
+    column; count is the number of images, not of pixels."""
+    thin = lambda a: F.filter(a, lambda _, i: i % stride == 0)
+    channels = images.select(F.posexplode(image).alias("channel", "_rows"))
+    pixels = channels.select("channel", F.explode(F.flatten(F.transform(thin(F.col("_rows")), thin))).alias("v"))
+    v = F.col("v").cast("double") / 255
+    stats = pixels.groupBy("channel").agg(F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"))
+    return stats.join(channels.groupBy("channel").agg(F.count("*").alias("count")), "channel")
+
+
 def ratio(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
 

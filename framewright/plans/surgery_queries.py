@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from framewright.operators import indexing as I, stats as S, surgery as G
+from framewright.operators import indexing as I, sampling as T, stats as S, surgery as G
 from framewright.plans.registry import query
 from framewright.plans.views import episodes_ev, ev, frames_ev, frames_gap, frames_li, gap, li, table, vec, vectors
 
@@ -141,6 +141,20 @@ def p26_roi_crop(spark, sf):
     return _images(spark, sf).select("vec_id", G.cropped(F.col("image"), 2, 1, 4, 3).alias("image"))
 
 
+@query(vec(""", n as (select episode_index, count(*) as length, greatest(least(20, count(*)), least(floor(count(*) ** 0.75)::bigint, 10000)) as n from vectors group by 1),
+s as (select episode_index, round_even(i * (length - 1) / (n - 1), 0)::bigint as frame_index from n, range(100) r(i) where i < n),
+px as (select state[1 + 8 * r + c] / 255 as v from vectors join s using (episode_index, frame_index), (values (0), (2), (4), (6)) a(r), (values (0), (2), (4), (6)) b(c))
+select 0 as channel, (select count(*) from s) as count, round(min(v), 6) as min, round(max(v), 6) as max, round(avg(v), 6) as mean, round(stddev_pop(v), 6) as std from px"""))
+def a06_channel_stats(spark, sf):
+    """Over an evenly spaced sample of each episode's images, every second row and column."""
+    v = vectors(spark, sf)
+    e = v.groupBy("episode_index").agg(F.count("*").alias("length"))
+    sample = e.select("episode_index", F.explode(T.evenly_spaced(F.col("length"), T.sample_count(F.col("length"), 20))).alias("frame_index"))
+    chosen = v.join(sample, ["episode_index", "frame_index"], "left_semi").select("vec_id").join(_images(spark, sf), "vec_id")
+    out = S.channel_stats(chosen, "image", 2)
+    return out.select("channel", "count", *[F.round(c, 6).alias(c) for c in ("min", "max", "mean", "std")])
+
+
 @query(vec("select vec_id, episode_index from vectors where episode_index in (1, 3)"))
 def p27_without_images(spark, sf):
     v = vectors(spark, sf).select("vec_id", "episode_index").join(_images(spark, sf), "vec_id")
