@@ -40,7 +40,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._cut_path = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables from cut() that nothing will read again."""
+    for df in tables:
+        jvm_path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+        jvm_path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
 def slices(texts: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:

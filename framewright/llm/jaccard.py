@@ -19,16 +19,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from framewright.llm.common import coded, cut, mix, slices, split_words, starts_of, word_hashes
+from framewright.llm.common import coded, cut, discard, mix, slices, split_words, starts_of, word_hashes
 from framewright.llm.components import components
 
 GROUP_MEMBERS = 32
 #: Slots of the table that tells how often a token occurs, by the leading bits of its hash: 4 MB, whatever the input.
 SLOTS = 1 << 22
-#: Bits of the filter that tells which documents have candidates: 8 MB, whatever the input.
+#: Bits of the filters that tell which tokens occur twice and which documents have candidates: 8 MB, whatever the input.
 FILTER_BITS = 1 << 26
-#: Tokens that occur so often or less are the same to the order.
-RARE = 4
 
 _UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -102,26 +100,27 @@ class JaccardJoin:
         rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
         return rows.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, alike long, pool array<long>")
 
-    def _levels(self, sets: DataFrame) -> np.ndarray:
-        """By slot, the logarithm of how often its most frequent counted token occurs; 0 up to RARE.
-
-        SLOTS / 8 tokens at most are told from rare ones, so that the slots stay sparse: with more, the least frequent are not.
+    def _levels(self, sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Bits of the counted tokens that occur more than once, and by slot the logarithm of how often its most frequent
+        token occurs. An eighth of the bits or slots at most are used; with more such tokens the least frequent are left out.
         """
-        counted = sets.select(F.explode("pool").alias("t")).where(F.col("t") < self.tier).groupBy("t").agg(F.count("*").alias("c")).where(F.col("c") > RARE)
+        counted = sets.select(F.explode("pool").alias("t")).where(F.col("t") < self.tier).groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
         counted = cut(counted.select("t", F.floor(F.log2("c")).cast("int").alias("level")), "frequent")
         sizes = {r.level: r.n for r in counted.groupBy("level").agg(F.count("*").alias("n")).collect()}
-        least, total = max(sizes, default=0), 0
-        for level in sorted(sizes, reverse=True):
-            total += sizes[level]
-            if total > SLOTS // 8 and level != least:
-                break
-            least = level
-        slots = counted.where(F.col("level") >= least).groupBy(F.expr("cast(shiftright(t, 41) as int) as slot")).agg(F.max("level").alias("level")).toArrow()
+
+        def least(room: int) -> int:
+            return next((level for level in sorted(sizes) if sum(n for k, n in sizes.items() if k >= level) <= room // 8), max(sizes, default=0))
+
+        word, bit = F.shiftright("t", 63 - FILTER_BITS.bit_length() + 1 + 6), F.expr(f"cast(shiftright(t, {63 - FILTER_BITS.bit_length() + 1}) & 63 as int)")
+        words = counted.where(F.col("level") >= least(FILTER_BITS)).groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("flag")).toArrow()
+        bits = np.zeros(FILTER_BITS // 64, np.uint64)
+        bits[words.column("word").to_numpy()] = words.column("flag").to_numpy().view(np.uint64)
+        slots = counted.where(F.col("level") >= max(2, least(SLOTS))).groupBy(F.shiftright("t", 63 - SLOTS.bit_length() + 1).alias("slot")).agg(F.max("level").alias("level")).toArrow()
         table = np.zeros(SLOTS, np.uint8)
         table[slots.column("slot").to_numpy()] = slots.column("level").to_numpy()
-        return table
+        return bits, table
 
-    def _rare_tokens(self, sets: DataFrame, levels: np.ndarray) -> DataFrame:
+    def _rare_tokens(self, sets: DataFrame, levels: tuple[np.ndarray, np.ndarray]) -> DataFrame:
         """(token, uid): the rarest tokens of every set, without tokens that only one set has among its rarest."""
         shared = sets.sparkSession.sparkContext.broadcast(levels)
 
@@ -132,7 +131,10 @@ class JaccardJoin:
                 h = batch.column("pool").flatten().to_numpy()
                 owner = np.repeat(np.arange(len(n)), counts)
                 late = h >= self.tier
-                level = np.where(late, 64, shared.value[h >> 41])
+                bits, table = shared.value
+                place = h >> (63 - FILTER_BITS.bit_length() + 1)
+                often = (bits[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
+                level = np.where(late, 64, np.where(often, np.maximum(1, table[h >> (63 - SLOTS.bit_length() + 1)]), 0))
                 order = np.lexsort((h, level, owner))
                 rank = np.arange(len(h)) - starts_of(counts)[owner]
                 chosen = order[rank < self._prefix(n)[owner]]
@@ -185,49 +187,85 @@ class JaccardJoin:
     def _bits(ids: pa.Array) -> np.ndarray:
         return (mix(ids.fill_null(-1).to_numpy().view(np.uint64)) >> np.uint64(20)).astype(np.int64) & (FILTER_BITS - 1)
 
+    def _shared_tokens(self, full: DataFrame) -> DataFrame:
+        """(rep, n, tokens): the tokens that another set may have too; a set with too few of them to be linked goes.
+
+        Tokens of one set only can't be in an overlap. Which tokens occur twice is told by bits, so a few others may stay.
+        """
+        place = 63 - FILTER_BITS.bit_length() + 1
+        twice = full.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
+        flag = F.call_function("shiftleft", F.lit(1).cast("long"), F.expr(f"cast(shiftright(t, {place}) & 63 as int)"))
+        words = twice.groupBy(F.shiftright("t", place + 6).alias("word")).agg(F.bit_or(flag).alias("flag")).toArrow()
+        bits = np.zeros(FILTER_BITS // 64, np.uint64)
+        bits[words.column("word").to_numpy()] = words.column("flag").to_numpy().view(np.uint64)
+        shared = full.sparkSession.sparkContext.broadcast(bits)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                counts = batch.column("tokens").value_lengths().to_numpy().astype(np.int64)
+                h = batch.column("tokens").flatten().to_numpy()
+                at = h >> place
+                kept = (shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+                owner = np.repeat(np.arange(len(counts)), counts)
+                n = np.bincount(owner[kept], minlength=len(counts))
+                lists = _lists(h[kept], n)
+                out = pa.RecordBatch.from_pydict({"rep": batch.column("rep"), "n": batch.column("n"), "tokens": lists})
+                yield out.filter(pa.array(self.den * n >= self.num * batch.column("n").to_numpy()))
+
+        return full.mapInArrow(run, "rep long, n long, tokens array<long>")
+
+    def _enough(self, both: Column, x: Column, y: Column) -> Column:
+        return (self.num + self.den) * both >= self.num * (x + y)
+
     def _linked(self, pairs: DataFrame, full: DataFrame) -> DataFrame:
         """Those of pairs (a, b) whose sets are similar enough."""
-        a = full.withColumnsRenamed({"rep": "a", "tokens": "_x"})
-        b = full.withColumnsRenamed({"rep": "b", "tokens": "_y"})
+        a = full.select(F.col("rep").alias("a"), F.col("n").alias("_m"), F.col("tokens").alias("_x"))
+        b = full.select(F.col("rep").alias("b"), F.col("n").alias("_n"), F.col("tokens").alias("_y"))
         both = F.size(F.array_intersect("_x", "_y"))
-        enough = (self.num + self.den) * both >= self.num * (F.size("_x") + F.size("_y"))
-        return cut(pairs.join(a, "a").join(b, "b").where(enough).select("a", "b"), "links")
+        return cut(pairs.join(a, "a").join(b, "b").where(self._enough(both, F.col("_m"), F.col("_n"))).select("a", "b"), "links")
 
     @staticmethod
     def _reached(links: list[DataFrame]) -> DataFrame:
         return components(links).withColumnRenamed("node", "rep")
 
-    def _sizes_fit(self, x: Column, y: Column) -> Column:
-        return (self.den * F.least(x, y)) >= (self.num * F.greatest(x, y))
-
     def _star(self, rare: DataFrame, comp: DataFrame, seed: int) -> DataFrame:
         """For each class one pair (a, b): with the class that is first, by seed, in most of its rare tokens and outside its component."""
         rows = rare.join(comp, "rep", "left").withColumn("comp", F.coalesce("label", "rep")).drop("label")
-        first = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("rep", F.lit(seed)).alias("h"), F.col("rep").alias("b"), F.col("comp").alias("_c"), F.col("n").alias("_n"))).alias("f"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        met = rows.join(first.where("lo < hi").select("token", "f.b", "f._c", "f._n"), "token").where((F.col("comp") != F.col("_c")) & self._sizes_fit(F.col("n"), F.col("_n")))
+        first = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("rep", F.lit(seed)).alias("h"), F.col("rep").alias("b"), F.col("comp").alias("_c"), F.col("n").alias("_n"), F.col("c").alias("_s"))).alias("f"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        met = rows.join(first.where("lo < hi").select("token", "f.b", "f._c", "f._n", "f._s"), "token").where((F.col("comp") != F.col("_c")) & self._enough(F.least("c", "_s"), F.col("n"), F.col("_n")))
         votes = met.groupBy("rep", "b").agg(F.count("*").alias("v")).groupBy("rep").agg(F.max(F.struct("v", "b")).alias("m"))
         return votes.select(F.least("rep", "m.b").alias("a"), F.greatest("rep", "m.b").alias("b")).distinct()
 
-    def _opened(self, rare: DataFrame, comp: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
-        """All pairs (a, b) of different components that can still be linked: queries and members of the groups they open."""
+    @staticmethod
+    def _met(rare: DataFrame) -> DataFrame:
+        """The rows of tokens that more than one class has."""
+        several = rare.groupBy("token").agg(F.count("*").alias("_c")).where("_c > 1").select("token")
+        return rare.join(several, "token", "left_semi")
+
+    def _opened(self, rare: DataFrame, comp: DataFrame, groups: DataFrame, full: DataFrame) -> DataFrame:
+        """All links (a, b) of different components that are left, from the groups that queries open.
+
+        rare: (token, rep); groups: (rep, n, c, g), c being the size of the shared tokens.
+        """
         member = groups.join(comp, "rep", "left").withColumn("comp", F.coalesce("label", "rep")).drop("label")
         member = cut(member, "members")
-        about = member.groupBy("g").agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.min("comp").alias("c_lo"), F.max("comp").alias("c_hi"))
+        about = member.groupBy("g").agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.max("c").alias("c_hi"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
         rows = rare.select("token", "rep").join(member, "rep")
         open_ = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-        rows = cut(rows.join(open_, "token", "left_semi"), "matrix")
+        rows = cut(rows.join(open_, "token", "left_semi"), "queries")
         matrix = rows.select("token", "g").distinct().join(about, "g").withColumnRenamed("g", "o")
-        fits = (F.col("o") >= F.col("g")) & (self.den * F.col("n_hi") >= self.num * F.col("n")) & (self.den * F.col("n") >= self.num * F.col("n_lo"))
-        other = (F.col("c_lo") != F.col("comp")) | (F.col("c_hi") != F.col("comp"))
-        candidates = cut(rows.join(matrix, "token").where(fits & other).select("rep", "n", "comp", "o", "n_lo").distinct(), "candidates")
-        pools = sets.select(F.col("uid").alias("rep"), F.filter("pool", lambda t: t < self.tier).alias("pool"))
-        unions = pools.join(member.join(candidates.select(F.col("o").alias("g")).distinct(), "g", "left_semi").select("rep", "g"), "rep").groupBy("g").agg(F.array_distinct(F.flatten(F.collect_list("pool"))).alias("union"))
-        least = F.ceil(F.lit(self.num) * (F.col("n") + F.greatest("n_lo", F.ceil(F.col("n") * self.num / self.den))) / F.lit(self.num + self.den))
-        most = F.size(F.array_intersect("pool", "union")) + F.col("n") - F.size("pool")
-        opened = candidates.join(pools, "rep").join(unions.withColumnRenamed("g", "o"), "o").where(most >= least).select("rep", "n", "comp", "o")
-        other = member.select(F.col("g").alias("o"), F.col("rep").alias("_rep"), F.col("n").alias("_n"), F.col("comp").alias("_comp"))
-        pairs = opened.join(other, "o").where((F.col("comp") != F.col("_comp")) & self._sizes_fit(F.col("n"), F.col("_n")))
-        return pairs.select(F.least("rep", "_rep").alias("a"), F.greatest("rep", "_rep").alias("b")).distinct()
+        fits = (F.col("o") >= F.col("g")) & (self.den * F.col("n_hi") >= self.num * F.col("n")) & self._enough(F.least("c", "c_hi"), F.col("n"), F.greatest("n_lo", F.lit(0)))
+        other = (F.col("c1") != F.col("comp")) | (F.col("c2") != F.col("comp"))
+        candidates = cut(rows.join(matrix, "token").where(fits & other).select("rep", "n", "c", "comp", "o", "n_lo").distinct(), "candidates")
+        tokens = full.select("rep", "tokens")
+        wanted = candidates.select(F.col("o").alias("g")).distinct()
+        held = member.join(wanted, "g", "left_semi").join(tokens, "rep").groupBy(F.col("g").alias("o")).agg(F.collect_list(F.struct("rep", "n", "c", "comp", "tokens")).alias("members"))
+        held = held.withColumn("union", F.array_distinct(F.flatten("members.tokens")))
+        least = F.greatest(self.num * F.col("n") / self.den, self.num * (F.col("n") + F.col("n_lo")) / (self.num + self.den))
+        asked = candidates.join(tokens, "rep").join(held, "o").where(F.size(F.array_intersect("tokens", "union")) >= least)
+        linked = F.filter("members", lambda m: (m.comp != F.col("comp")) & self._enough(F.least(m.c, F.col("c")), m.n, F.col("n")) & self._enough(F.size(F.array_intersect(m.tokens, F.col("tokens"))), m.n, F.col("n")))
+        links = asked.select("rep", F.explode(F.transform(linked, lambda m: m.rep)).alias("_rep"))
+        return cut(links.select(F.least("rep", "_rep").alias("a"), F.greatest("rep", "_rep").alias("b")).distinct(), "links")
 
     def classes(self, documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
         """doc_id, n_shingles and component_id of every row: the smallest doc_id that links reach from it, its own included.
@@ -237,27 +275,31 @@ class JaccardJoin:
         Other columns are not read.
         """
         sets = cut(self.sets(documents, text, key).withColumn("uid", F.monotonically_increasing_id()), "sets")
-        slim = sets.select("uid", "doc_id", "n", "d1", "d2", "alike")
+        slim = cut(sets.select("uid", "doc_id", "n", "d1", "d2", "alike"), "slim")
         digest = ["n", "d1", "d2"]
         classes = cut(slim.where("n > 0").groupBy(*digest).agg(F.min(F.struct(F.col("doc_id").isNull().alias("_"), "doc_id", "uid", "alike")).alias("m")).select(*digest, F.col("m.uid").alias("rep"), "m.doc_id", "m.alike"), "classes")
-        rare = cut(self._rare_tokens(sets, self._levels(sets)), "rare")
-        reps = slim.select("uid", *digest).join(classes.drop("doc_id", "alike"), digest).select("uid", "rep", "n")
-        rare = cut(rare.join(reps, "uid").select("token", "rep", "n").distinct(), "rare")
-        several = rare.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-        rare = cut(rare.join(several, "token", "left_semi"), "rare")
-        wanted = classes.join(rare.select("rep").distinct(), "rep", "left_semi")
-        full = cut(self._full_sets(documents, wanted.select("rep", "doc_id", *digest), text, key), "full")
-
-        alike = wanted.groupBy("alike").agg(F.count("*").alias("c"), F.min("rep").alias("pivot"))
-        grouped = wanted.select("rep", "n", "alike").join(alike, "alike")
-        groups = cut(grouped.select("rep", "n", "pivot", F.xxhash64("alike", F.expr(f"pmod(xxhash64(rep), ceil(c / {GROUP_MEMBERS}))")).alias("g")), "groups")
+        first = cut(self._rare_tokens(sets, self._levels(sets)), "rare")
+        reps = slim.select("uid", *digest).join(classes.drop("doc_id", "alike"), digest).select("uid", "rep")
+        rare = cut(first.join(reps, "uid").select("token", "rep").distinct(), "rare")
+        discard(sets, first)
+        wanted = cut(classes.join(self._met(rare).select("rep").distinct(), "rep", "left_semi"), "wanted")
+        full = cut(self._full_sets(documents, wanted.select("rep", "doc_id", *digest), text, key).join(wanted.select("rep", "n"), "rep"), "full")
+        for _ in range(2):
+            before, full = full, cut(self._shared_tokens(full), "full")
+            discard(before)
+        facts = cut(full.select("rep", "n", F.size("tokens").cast("long").alias("c")).join(wanted.select("rep", "alike"), "rep"), "facts")
+        rare = cut(self._met(rare.join(facts.drop("alike"), "rep")), "rare")
+
+        alike = facts.groupBy("alike").agg(F.count("*").alias("k"), F.min("rep").alias("pivot"))
+        grouped = facts.join(alike, "alike")
+        groups = cut(grouped.select("rep", "n", "c", "pivot", F.xxhash64("alike", F.expr(f"pmod(xxhash64(rep), ceil(k / {GROUP_MEMBERS}))")).alias("g")), "groups")
 
         nothing = rare.select(F.col("rep"), F.col("rep").alias("label")).where("false")
         inside = groups.where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
         links = [self._linked(inside.union(self._star(rare, nothing, 1)).distinct(), full)]
         for seed in (2, 3):
             links.append(self._linked(self._star(rare, self._reached(links), seed), full))
-        links.append(self._linked(self._opened(rare, self._reached(links), groups.drop("pivot"), sets), full))
+        links.append(self._opened(rare, self._reached(links), groups.drop("pivot"), full))
         labels = components(links)
 
         own = classes.select("rep", *digest, "doc_id").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
