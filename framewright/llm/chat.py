@@ -43,11 +43,12 @@ def paths(nodes: DataFrame) -> DataFrame:
     valid = nodes.where("parent < node").join(known, ["tree", "parent"], "left_semi").select("tree", "node", "parent")
     start = nodes.select("tree", "node", "score").join(valid, ["tree", "node"], "left")
     leaf = start.join(valid.select("tree", F.col("parent").alias("node")).distinct(), ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"))
-    step = cut(start.select("tree", "node", F.col("parent").alias("up"), F.array("node").alias("path"), F.coalesce("score", F.lit(0.0)).alias("score")), "paths")
-    while not step.where("up is not null").isEmpty():
+    rows = start.select("tree", "node", F.col("parent").alias("up"), F.array("node").alias("path"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    step = cut(rows, "paths")
+    while not (active := step.where("up is not null")).isEmpty():
         above = step.select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"), F.col("score").alias("_score"))
-        step = step.join(above, ["tree", "up"], "left").select("tree", "node", F.col("_up").alias("up"), F.concat(F.coalesce("_path", F.array().cast("array<bigint>")), "path").alias("path"), (F.col("score") + F.coalesce("_score", F.lit(0.0))).alias("score"))
-        step = cut(step, "paths")
+        longer = active.join(above, ["tree", "up"]).select("tree", "node", F.col("_up").alias("up"), F.concat("_path", "path").alias("path"), (F.col("score") + F.col("_score")).alias("score"))
+        step = cut(longer.unionByName(step.where("up is null")), "paths")
     return leaf.join(step.select("tree", F.col("node").alias("leaf"), "path", "score"), ["tree", "leaf"])
 
 
