@@ -120,6 +120,30 @@ class JaccardJoin:
         table[slots.column("slot").to_numpy()] = slots.column("level").to_numpy()
         return bits, table
 
+    def _rank(self, h: np.ndarray, bits: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """The order of tokens, the same for all sets: rare ones first, uncounted ones last; ties go by hash."""
+        place = h >> (63 - FILTER_BITS.bit_length() + 1)
+        often = (bits[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
+        return np.where(h >= self.tier, 64, np.where(often, np.maximum(1, table[h >> (63 - SLOTS.bit_length() + 1)]), 0))
+
+    def _shared_prefixes(self, full: DataFrame, levels: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+        """(token, rep, n, c): the rarest of a set's c shared tokens, as many as not all can be missing from a linked set."""
+        shared = full.sparkSession.sparkContext.broadcast(levels)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n = batch.column("n").to_numpy()
+                counts = batch.column("tokens").value_lengths().to_numpy().astype(np.int64)
+                h = batch.column("tokens").flatten().to_numpy()
+                owner = np.repeat(np.arange(len(n)), counts)
+                order = np.lexsort((h, self._rank(h, *shared.value), owner))
+                rank = np.arange(len(h)) - starts_of(counts)[owner]
+                chosen = order[rank <= (counts + (-self.num * n // self.den))[owner]]
+                at = owner[chosen]
+                yield pa.RecordBatch.from_pydict({"token": pa.array(h[chosen]), "rep": batch.column("rep").take(pa.array(at)), "n": pa.array(n[at]), "c": pa.array(counts[at])})
+
+        return full.mapInArrow(run, "token long, rep long, n long, c long")
+
     def _rare_tokens(self, sets: DataFrame, levels: tuple[np.ndarray, np.ndarray]) -> DataFrame:
         """(token, uid): the rarest tokens of every set, without tokens that only one set has among its rarest."""
         shared = sets.sparkSession.sparkContext.broadcast(levels)
@@ -130,12 +154,7 @@ class JaccardJoin:
                 counts = batch.column("pool").value_lengths().to_numpy().astype(np.int64)
                 h = batch.column("pool").flatten().to_numpy()
                 owner = np.repeat(np.arange(len(n)), counts)
-                late = h >= self.tier
-                bits, table = shared.value
-                place = h >> (63 - FILTER_BITS.bit_length() + 1)
-                often = (bits[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
-                level = np.where(late, 64, np.where(often, np.maximum(1, table[h >> (63 - SLOTS.bit_length() + 1)]), 0))
-                order = np.lexsort((h, level, owner))
+                order = np.lexsort((h, self._rank(h, *shared.value), owner))
                 rank = np.arange(len(h)) - starts_of(counts)[owner]
                 chosen = order[rank < self._prefix(n)[owner]]
                 yield pa.RecordBatch.from_pydict({"token": pa.array(h[chosen]), "uid": batch.column("uid").take(pa.array(owner[chosen]))})
@@ -278,7 +297,8 @@ class JaccardJoin:
         slim = cut(sets.select("uid", "doc_id", "n", "d1", "d2", "alike"), "slim")
         digest = ["n", "d1", "d2"]
         classes = cut(slim.where("n > 0").groupBy(*digest).agg(F.min(F.struct(F.col("doc_id").isNull().alias("_"), "doc_id", "uid", "alike")).alias("m")).select(*digest, F.col("m.uid").alias("rep"), "m.doc_id", "m.alike"), "classes")
-        first = cut(self._rare_tokens(sets, self._levels(sets)), "rare")
+        levels = self._levels(sets)
+        first = cut(self._rare_tokens(sets, levels), "rare")
         reps = slim.select("uid", *digest).join(classes.drop("doc_id", "alike"), digest).select("uid", "rep")
         rare = cut(first.join(reps, "uid").select("token", "rep").distinct(), "rare")
         discard(sets, first)
@@ -288,7 +308,7 @@ class JaccardJoin:
             before, full = full, cut(self._shared_tokens(full), "full")
             discard(before)
         facts = cut(full.select("rep", "n", F.size("tokens").cast("long").alias("c")).join(wanted.select("rep", "alike"), "rep"), "facts")
-        rare = cut(self._met(rare.join(facts.drop("alike"), "rep")), "rare")
+        rare = cut(self._met(self._shared_prefixes(full, levels)), "rare")
 
         alike = facts.groupBy("alike").agg(F.count("*").alias("k"), F.min("rep").alias("pivot"))
         grouped = facts.join(alike, "alike")
