@@ -2,8 +2,8 @@
 
 Documents are sets of hashed word shingles; equal sets are one class. Classes with the same min-hashes form groups of
 bounded size, and a group keeps the union of its members' tokens. A class is a query: the groups it can link with share one
-of its rarest tokens with it (of n tokens, all but t * n can be missing from a linked set, so one of any (1 - t) * n + 1 is
-shared), and only those whose token union could overlap enough are opened and compared member by member.
+of its group's rarest tokens (all but t * n of a set's n tokens can be missing from a linked set, so one of any (1 - t) * n + 1
+is shared), and only those whose token union could overlap enough are opened and compared member by member.
 
 What is wanted are components, so pairs already connected need no comparison. Each class is first compared with the first
 member of its group and with one class that shares most of its rare tokens, twice; what is opened after that are groups
@@ -272,10 +272,12 @@ class JaccardJoin:
         rows = rare.select("token", "rep").join(member, "rep")
         open_ = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
         rows = cut(rows.join(open_, "token", "left_semi"), "queries")
-        matrix = rows.select("token", "g").distinct().join(about, "g").withColumnRenamed("g", "o")
-        fits = (F.col("o") >= F.col("g")) & (self.den * F.col("n_hi") >= self.num * F.col("n")) & self._enough(F.least("c", "c_hi"), F.col("n"), F.greatest("n_lo", F.lit(0)))
+        matrix = cut(rows.select("token", "g").distinct(), "matrix")
+        near = matrix.join(matrix.withColumnRenamed("g", "o"), "token").where("g <= o").select("g", "o").distinct()
+        asking = member.join(near, "g").join(about.withColumnRenamed("g", "o"), "o")
+        fits = (self.den * F.col("n_hi") >= self.num * F.col("n")) & self._enough(F.least("c", "c_hi"), F.col("n"), F.col("n_lo"))
         other = (F.col("c1") != F.col("comp")) | (F.col("c2") != F.col("comp"))
-        candidates = cut(rows.join(matrix, "token").where(fits & other).select("rep", "n", "c", "comp", "o", "n_lo").distinct(), "candidates")
+        candidates = cut(asking.where(fits & other).select("rep", "n", "c", "comp", "o", "n_lo"), "candidates")
         tokens = full.select("rep", "tokens")
         wanted = candidates.select(F.col("o").alias("g")).distinct()
         held = member.join(wanted, "g", "left_semi").join(tokens, "rep").groupBy(F.col("g").alias("o")).agg(F.collect_list(F.struct("rep", "n", "c", "comp", "tokens")).alias("members"))
