@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that a Python task works on at a time; a longer single document is one slice of its own.
-SLICE_BYTES = 6_000_000
+SLICE_BYTES = 3_000_000
 
 
 @functools.lru_cache(maxsize=1)

@@ -19,6 +19,8 @@ SAMPLE_ROWS = 8_000
 #: More languages than this need a larger model than one broadcast should hold.
 MOST_LANGUAGES = 512
 UNDETERMINED = "und"
+#: Text bytes that a task looks at together; each character takes some 60 bytes on the way.
+SLICE_BYTES = 500_000
 
 
 @functools.lru_cache(maxsize=1)
@@ -73,7 +75,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = np.array(batch.column("lang").to_pylist(), object)
-            for first, texts in slices(batch.column("text")):
+            for first, texts in slices(batch.column("text"), SLICE_BYTES):
                 grams, counts, _ = _features(texts)
                 owner = np.repeat(langs[first : first + len(texts)], counts)
                 for name in set(langs[first : first + len(texts)]):
@@ -106,13 +108,15 @@ def predictor(df: DataFrame, model: tuple[list[str], np.ndarray]) -> Callable[[s
         langs, matrix = shared.value
         for series in batches:
             pred, score = np.full(len(series), UNDETERMINED, object), np.zeros(len(series))
-            for first, texts in slices(pa.array(series, pa.large_string(), from_pandas=True), 2_000_000):
+            for first, texts in slices(pa.array(series, pa.large_string(), from_pandas=True), SLICE_BYTES):
                 grams, counts, letters = _features(texts)
                 if not langs or not counts.sum():
                     continue
-                per_char = sum(matrix[g + k * BUCKETS] for k, g in enumerate(grams))
                 full = np.flatnonzero(counts)
-                sums = np.add.reduceat(per_char.astype(np.float64), (np.cumsum(counts) - counts)[full], axis=0)
+                first_char = (np.cumsum(counts) - counts)[full]
+                sums = np.zeros((len(full), len(langs)))
+                for k, g in enumerate(grams):
+                    sums += np.add.reduceat(matrix[g + k * BUCKETS], first_char, axis=0, dtype=np.float64)
                 sums /= len(ORDERS)  # the orders see the same characters
                 sums -= sums.max(axis=1, keepdims=True)
                 p = np.exp(sums)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from framewright.llm.common import cut, slices, starts_of
-from framewright.llm.tokens import crc32s, default_path, encoder
+from framewright.llm.tokens import SLICE_BYTES, crc32s, default_path, encoder
 
 CAPACITY = 2048
 END = 0
@@ -78,7 +78,7 @@ def pieces(documents: DataFrame, text: str = "text", key: str = "doc_id", path:
 
     def tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in slices(batch.column("text")):
+            for first, texts in slices(batch.column("text"), SLICE_BYTES):
                 ids, counts = encoder(path).encode_ended(texts, end)
                 n = -(-counts // capacity)
                 document = np.repeat(np.arange(len(counts)), n)

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from framewright.llm.common import slices, starts_of
-from framewright.llm.tokens import crc32s, default_path, encoder
+from framewright.llm.tokens import SLICE_BYTES, crc32s, default_path, encoder
 
 END = 1
 #: A block is closed at the first document that brings it to this many ids.
@@ -61,7 +61,7 @@ def write(documents: DataFrame, folder: str, text: str = "text", key: str = "doc
             return pa.concat_arrays([h[0] for h in held]), np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
 
         for batch in batches:
-            for first, texts in slices(batch.column("text")):
+            for first, texts in slices(batch.column("text"), SLICE_BYTES):
                 ids, counts = encode.encode_ended(texts, end)
                 held.append((batch.column("key").slice(first, len(texts)), counts, ids))
                 keys, lengths, ids = joined()

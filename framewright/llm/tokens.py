@@ -17,6 +17,8 @@ from framewright.llm.common import coded, runs_sum, split_words, starts_of
 
 #: Words whose ids a task remembers; when there are more, it starts anew.
 REMEMBERED = 400_000
+#: Text bytes that are encoded together: the more, the fewer words are looked up again.
+SLICE_BYTES = 6_000_000
 
 
 def default_path() -> str:
