@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from framewright.llm.language import held_out
 
-#: Labelled documents of each class that the model is fitted on, about, and the characters of each that it sees.
+#: Labelled documents of each class that the model is fitted on, about, and the bytes of whole documents that they have at most.
 SAMPLE_ROWS = 1_200
-SAMPLE_CHARS = 8_000
+SAMPLE_BYTES = 16 << 20
 DICTIONARY_BYTES = 112_640
+#: Dictionaries are trained on pieces of so many bytes, which cover every document.
+PIECE_BYTES = 4_096
 LEVEL = 3
 PREDICT_AT = 0.3
 
@@ -39,24 +41,41 @@ def _features(text: str | None, compressors: list) -> tuple[float, float]:
 
 
 def _dictionary(texts: list[str]) -> bytes:
-    """Up to DICTIONARY_BYTES of text, an equal share of each document."""
-    share = max(64, DICTIONARY_BYTES // max(1, len(texts)))
-    return b"\n".join(t.encode("utf-8", "surrogatepass")[:share] for t in texts)[-DICTIONARY_BYTES:] or b" "
+    """All the texts if they fit in DICTIONARY_BYTES, else the passages that are most frequent anywhere in them."""
+    import zstandard
+
+    data = [t.encode("utf-8", "surrogatepass") for t in texts]
+    if sum(map(len, data)) + len(data) <= DICTIONARY_BYTES:
+        return b"\n".join(data) or b" "
+    pieces = [d[i : i + PIECE_BYTES] for d in data for i in range(0, len(d), PIECE_BYTES)]
+    return zstandard.train_dictionary(DICTIONARY_BYTES, pieces, k=1024, d=8).as_bytes()
+
+
+def _fitting(sizes: list) -> list[tuple[int, int]]:
+    """(y, h), in the order of the keys' hashes h: of each class y as many whole documents as have SAMPLE_BYTES together; one that doesn't fit is passed over."""
+    total, found = {0: 0, 1: 0}, []
+    for r in sorted(sizes, key=lambda r: r.h):
+        if total[r.y] + r.bytes <= SAMPLE_BYTES:
+            total[r.y] += r.bytes
+            found.append((r.y, r.h))
+    return found
 
 
 def fit(documents: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> tuple[tuple[bytes, bytes], np.ndarray]:
     """Dictionaries for good (label 1) and bad (0) text, and the weights of the calibration.
 
-    Of each class, about sample_rows labels with the lowest hashes of key are used: that many keys are sent to the
-    documents, so no text is shuffled. Even ones fill the dictionaries, odd ones calibrate. Without rows of both classes,
+    Of each class, about sample_rows labels with the lowest hashes of key are used, with the whole texts of their
+    documents: that many keys are sent to the documents, so no text is shuffled. Even ones fill the dictionaries, odd ones calibrate. Without rows of both classes,
     every text scores the share of good labels.
     """
     rows = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("_k"), F.col(label).cast("int").alias("y"), F.xxhash64(F.col(key)).alias("h"))
     counts = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     low = F.create_map(*[x for y in (0, 1) for x in (F.lit(y), F.lit(int((min(1, sample_rows / max(1, counts.get(y, 0))) - 0.5) * (2.0**64 - 2**12))))])
-    keys = F.broadcast(rows.where(F.col("h") <= low[F.col("y")]))
-    texts = documents.select(F.col(key).alias("_k"), F.substring(F.coalesce(F.col(text), F.lit("")), 1, SAMPLE_CHARS).alias("t"))
-    sample = texts.join(keys, "_k").select("y", "h", "t").toPandas().sort_values(["h", "t"])
+    keys = rows.where(F.col("h") <= low[F.col("y")])
+    texts = documents.select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    sizes = texts.select("_k", F.octet_length("t").alias("b")).join(F.broadcast(keys), "_k").groupBy("y", "h").agg(F.sum("b").alias("bytes")).collect()  # a row for each key
+    fitting = F.broadcast(documents.sparkSession.createDataFrame(_fitting(sizes), "y int, h long"))
+    sample = texts.join(F.broadcast(keys.join(fitting, ["y", "h"])), "_k").select("y", "h", "t").toPandas().sort_values(["h", "t"])
     halves = {y: sample.loc[sample.y == y, "t"].tolist() for y in (0, 1)}
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
     dictionaries = (_dictionary(halves[1][0::2]), _dictionary(halves[0][0::2]))

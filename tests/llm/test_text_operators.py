@@ -126,6 +126,16 @@ def test_quality_classifier(spark):
     assert len({r.score for r in alone}) == 1
 
 
+def test_quality_classifier_learns_from_the_ends_of_long_texts(spark):
+    rng = np.random.default_rng(5)
+    letters = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), n))
+    passages = [[letters(300) for _ in range(20)] for _ in range(2)]
+    rows = [(i, " ".join([letters(9_000), *rng.choice(passages[i % 3 > 0], 5)]), "en", "a") for i in range(10, 130)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(10, 100)], "doc_id long, quality int")
+    scores = [[r.score for r in quality_model.scored(docs(spark, rows), labels).collect() if (r.doc_id % 3 > 0) == good] for good in (True, False)]
+    assert min(scores[0]) > max(scores[1])
+
+
 def reference_ids(texts):
     from tokenizers import Tokenizer
 
