@@ -9,8 +9,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from framewright.llm.common import cut, slices, starts_of
-from framewright.llm.tokens import SLICE_BYTES, crc32s, default_path, encoder
+from framewright.llm.common import cut, slices, small_batches, starts_of, tidied
+from framewright.llm.tokens import SLICE_BYTES, WordEncoder, crc32s, default_path
 
 CAPACITY = 2048
 END = 0
@@ -75,11 +75,13 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray,
 def pieces(documents: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """A row of PIECES for each stretch of at most capacity ids of each document, the id end included."""
     path = path or default_path()
+    small_batches(documents.sparkSession)
 
     def tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = WordEncoder(path)
         for batch in batches:
             for first, texts in slices(batch.column("text"), SLICE_BYTES):
-                ids, counts = encoder(path).encode_ended(texts, end)
+                ids, counts = encode.encode_ended(texts, end)
                 n = -(-counts // capacity)
                 document = np.repeat(np.arange(len(counts)), n)
                 piece = np.arange(n.sum()) - np.repeat(starts_of(n), n)
@@ -88,7 +90,7 @@ def pieces(documents: DataFrame, text: str = "text", key: str = "doc_id", path:
                 crc = crc32s(ids, starts_of(counts)[document] + start, length)
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(first, len(texts)).take(pa.array(document)), "piece": pa.array(piece, pa.int32()), "start": pa.array(start), "length": pa.array(length), "ids_crc32": pa.array(crc)})
 
-    return documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tokenized, PIECES)
+    return documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidied(tokenized), PIECES)
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:

@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from framewright.llm.common import slices, starts_of
-from framewright.llm.tokens import SLICE_BYTES, crc32s, default_path, encoder
+from framewright.llm.common import slices, small_batches, starts_of, tidied
+from framewright.llm.tokens import SLICE_BYTES, WordEncoder, crc32s, default_path
 
 END = 1
 #: A block is closed at the first document that brings it to this many ids.
@@ -45,9 +45,10 @@ def write(documents: DataFrame, folder: str, text: str = "text", key: str = "doc
     Shards hold ascending ranges of key; null keys come first, equal keys are ordered by a hash of their text.
     """
     path = path or default_path()
+    small_batches(documents.sparkSession)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = WordEncoder(path)
         bits = max(1, (max(encode.vocabulary, end + 1) - 1).bit_length())
         shard, block, start = TaskContext.get().partitionId(), 0, 0
         held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
@@ -78,7 +79,7 @@ def write(documents: DataFrame, folder: str, text: str = "text", key: str = "doc
             yield closed(*joined())
 
     rows = documents.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
-    rows.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie").select("key", "text").mapInArrow(blocks, BLOCKS).write.parquet(folder)
+    rows.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie").select("key", "text").mapInArrow(tidied(blocks), BLOCKS).write.parquet(folder)
 
 
 def read_digests(spark, folder: str) -> DataFrame:
@@ -98,7 +99,7 @@ def read_digests(spark, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"doc_id": row["doc_ids"].values, "start": pa.array(row["start"].as_py() + at), "n_tokens": pa.array(lengths), "ids_crc32": pa.array(crc32s(ids, at, lengths))})
 
     placed = files.join(F.broadcast(before), "shard").select((F.col("start") + F.col("before")).alias("start"), "n_ids", "bits", "doc_ids", "lengths", "ids")
-    return placed.mapInArrow(digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.mapInArrow(tidied(digests), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op10_token_ids(spark, sf_dir: str) -> DataFrame:
