@@ -4,23 +4,24 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from framewright.llm.common import slices
+from framewright.llm.common import parts_of, small_batches, starts_of, strings, tidied
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
 #: Labelled rows that the model is fitted on, about; all are used where there are fewer.
 SAMPLE_ROWS = 8_000
-#: More languages than this need a larger model than one broadcast should hold.
-MOST_LANGUAGES = 512
 UNDETERMINED = "und"
-#: Text bytes that a task looks at together; each character takes some 60 bytes on the way.
+#: Text bytes that a task looks at together; each character takes some 100 bytes on the way. Longer texts are cut at white space.
 SLICE_BYTES = 500_000
+#: A text is foreign to its language if its likelihood a letter is so many deviations under that of labelled rows.
+FOREIGN_AT = 8
 
 
 @functools.lru_cache(maxsize=1)
@@ -33,99 +34,141 @@ def _folded() -> np.ndarray:
     return table
 
 
-def _features(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """For each order the hashed n-grams of all texts, one for each character; characters by text; letters by text.
+def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Letters of each text; and sparse counts: how many (text, n-gram) there are by text, and the n-gram and count of each.
 
-    Texts stand between spaces, and a run of anything but letters is one space.
+    Texts stand between spaces, and a run of anything but letters is one space. An n-gram is one of each order that ends at a letter.
     """
-    points = np.frombuffer(" ".join(["", *texts.to_pylist(), ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    lengths = np.array([len(t) for t in texts.to_pylist()], np.int64)
+    rows = strings(texts)
+    points = np.frombuffer(" ".join(["", *rows, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    lengths = np.fromiter(map(len, rows), np.int64, len(rows))
     folded = _folded()[points]
-    owner = np.full(len(points), -1, np.int64)
-    where = np.repeat(np.cumsum(lengths + 1) - lengths, lengths) + (np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths))
-    owner[where] = np.repeat(np.arange(len(lengths)), lengths)
+    owner = np.concatenate((np.zeros(1, np.int64), np.repeat(np.arange(len(lengths)), lengths + 1)))  # a text and the space after it
     keep = (folded != 32) | np.concatenate(([True], folded[:-1] != 32))
     folded, owner = folded[keep].astype(np.uint64), owner[keep]
-    letters = np.bincount(owner[(folded != 32) & (owner >= 0)], minlength=len(lengths))
-    grams = []
-    for n in ORDERS:
+    own = folded != 32
+    text = owner[own].astype(np.uint64) * np.uint64(len(ORDERS) * BUCKETS)
+    letters = np.bincount(owner[own], minlength=len(lengths))
+    keys = []
+    for k, n in enumerate(ORDERS):
         h = np.full(len(folded), n, np.uint64)
         for back in range(n):
             part = np.full(len(folded), 32, np.uint64)
             part[back:] = folded[: len(folded) - back]
             h = (h + part) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-        grams.append((h >> np.uint64(40)).astype(np.int64) % BUCKETS)
-    own = (owner >= 0) & (folded != 32)
-    return [g[own] for g in grams], np.bincount(owner[own], minlength=len(lengths)), letters
-
-
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages, and log probabilities as float32[orders * BUCKETS, languages].
-
-    Rows with a null lang or text teach nothing. Above sample_rows rows, those with the lowest hashes of key are used.
-    No labelled rows: no languages.
+        keys.append(text + np.uint64(k * BUCKETS) + ((h[own] >> np.uint64(40)) & np.uint64(BUCKETS - 1)))
+    key = np.sort(np.concatenate(keys))
+    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(at, len(key)))
+    found = key[at].astype(np.int64)
+    return letters, np.bincount(found // (len(ORDERS) * BUCKETS), minlength=len(lengths)), found % (len(ORDERS) * BUCKETS), counts
+
+
+class Model(NamedTuple):
+    """matrix: log probabilities, float32[languages, orders * BUCKETS]: 0.8 MB a language. usual: of each language the mean
+    likelihood a letter of labelled rows, its variance from row to row, and that from letter to letter."""
+
+    languages: list[str]
+    matrix: np.ndarray
+    usual: np.ndarray
+
+
+def _likelihoods(texts: pa.Array, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Letters of each text, and float64[texts, languages]: its log likelihood, the mean of the orders, which see the same letters."""
+    letters, sums = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(matrix)))
+    for owner, part in parts_of(texts, SLICE_BYTES):
+        n, width, grams, counts = _features(part)
+        full = np.flatnonzero(width)
+        np.add.at(letters, owner, n)
+        for j in range(len(matrix)) if len(full) else ():
+            np.add.at(sums[:, j], owner[full], np.add.reduceat(matrix[j, grams] * counts, starts_of(width[full]), dtype=np.float64) / len(ORDERS))
+    return letters, sums
+
+
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
+    """The model of the labelled rows: of those with the lowest hashes of key, about sample_rows, seven eighths give the matrix
+    and one eighth what is usual. Rows with a null lang or text teach nothing. No labelled rows: no languages.
     """
+    small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(key)).alias("h")).where("text is not null and lang is not null")
     n = rows.select("lang", "h").count()
     if n > sample_rows:
         rows = rows.where(F.col("h") < F.lit(int((sample_rows / n - 0.5) * 2.0**64)))
+    usual = F.pmod(F.xxhash64("h"), F.lit(8)) == 0
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = np.array(batch.column("lang").to_pylist(), object)
-            for first, texts in slices(batch.column("text"), SLICE_BYTES):
-                grams, counts, _ = _features(texts)
-                owner = np.repeat(langs[first : first + len(texts)], counts)
-                for name in set(langs[first : first + len(texts)]):
+            for owner, texts in parts_of(batch.column("text"), SLICE_BYTES):
+                _, width, grams, counts = _features(texts)
+                of = np.repeat(langs[owner], width)
+                for name in set(langs[owner]):
                     into = sums.setdefault(name, np.zeros(len(ORDERS) * BUCKETS, np.int64))
-                    of = owner == name
-                    for k, g in enumerate(grams):
-                        into += np.bincount(g[of] + k * BUCKETS, minlength=len(into))
+                    np.add.at(into, grams[of == name], counts[of == name])
         for name, into in sums.items():
             at = np.flatnonzero(into)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(at), pa.string()), "bucket": pa.array(at.astype(np.int32)), "n": pa.array(into[at])})
 
-    counts = rows.select("text", "lang").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    packed = counts.groupBy("lang").agg(F.collect_list("bucket").alias("bucket"), F.collect_list("n").alias("n")).limit(MOST_LANGUAGES + 1).toPandas()
-    if len(packed) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    packed = packed.sort_values("lang")
-    table = np.zeros((len(ORDERS) * BUCKETS, len(packed)))
-    for j, (at, values) in enumerate(zip(packed["bucket"], packed["n"], strict=True)):
-        table[np.asarray(at), j] = values
-    by_order = table.reshape(len(ORDERS), BUCKETS, -1) + 0.1
-    return list(packed["lang"]), np.log(by_order / by_order.sum(axis=1, keepdims=True)).reshape(len(ORDERS) * BUCKETS, -1).astype(np.float32)
+    counts = rows.where(~usual).select("text", "lang").mapInArrow(tidied(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    packed = counts.groupBy("lang").agg(F.collect_list("bucket").alias("bucket"), F.collect_list("n").alias("n")).toArrow().sort_by("lang")  # a row for each language
+    matrix = np.full((packed.num_rows, len(ORDERS), BUCKETS), 0.1, np.float32)
+    for j, (at, values) in enumerate(zip(packed.column("bucket"), packed.column("n"), strict=True)):
+        matrix[j].reshape(-1)[at.values.to_numpy()] += values.values.to_numpy()
+        matrix[j] = np.log(matrix[j] / matrix[j].sum(axis=1, keepdims=True, dtype=np.float64))
+    matrix = matrix.reshape(packed.num_rows, len(ORDERS) * BUCKETS)
+    languages = packed.column("lang").to_pylist()
+    return Model(languages, matrix, _usual(rows.where(usual), languages, matrix))
+
+
+def _usual(rows: DataFrame, languages: list[str], matrix: np.ndarray) -> np.ndarray:
+    """float64[languages, 3] of Model; a language without rows has infinite variances, so that nothing is foreign to it."""
+    shared = rows.sparkSession.sparkContext.broadcast((languages, matrix))
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, table = shared.value
+        for batch in batches:
+            letters, sums = _likelihoods(batch.column("text"), table)
+            at = np.array([names.index(x) if x in names else -1 for x in batch.column("lang").to_pylist()], np.int64)
+            ok = (letters > 0) & (at >= 0)
+            yield pa.RecordBatch.from_pydict({"lang": batch.column("lang").filter(pa.array(ok)), "n": pa.array(letters[ok]), "m": pa.array((sums[np.arange(len(at)), at] / np.maximum(letters, 1))[ok])})
+
+    of = rows.select("text", "lang").mapInArrow(tidied(likely), "lang string, n long, m double").groupBy("lang")
+    # rows of n letters have a mean whose variance is between + within / n: the slope over 1 / n and what is left
+    found = of.agg(F.avg("m").alias("mean"), F.var_pop("m").alias("var"), F.avg(1 / F.col("n")).alias("inverse")).collect()
+    usual = np.tile([0.0, np.inf, np.inf], (len(languages), 1))
+    for r in found:
+        spread = max(r["var"], 0.01)
+        usual[languages.index(r["lang"])] = r["mean"], spread, max(4.0, spread / max(r["inverse"], 1e-9))
+    return usual
 
 
-def predictor(df: DataFrame, model: tuple[list[str], np.ndarray]) -> Callable[[str], Column]:
-    """A function from a text column to struct(lang_pred, score), with the matrix sent once to each executor."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+def predictor(df: DataFrame, model: Model) -> Callable[[str], Column]:
+    """A function from a text column to struct(lang_pred, score, foreign), with the matrix sent once to each executor.
+
+    foreign: the text has letters, but is far less likely than usual in every language that has been learnt.
+    """
+    small_batches(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(tuple(model))
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, foreign boolean")
+    @tidied
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        langs, matrix = shared.value
+        langs, matrix, usual = shared.value
         for series in batches:
-            pred, score = np.full(len(series), UNDETERMINED, object), np.zeros(len(series))
-            for first, texts in slices(pa.array(series, pa.large_string(), from_pandas=True), SLICE_BYTES):
-                grams, counts, letters = _features(texts)
-                if not langs or not counts.sum():
-                    continue
-                full = np.flatnonzero(counts)
-                first_char = (np.cumsum(counts) - counts)[full]
-                sums = np.zeros((len(full), len(langs)))
-                for k, g in enumerate(grams):
-                    sums += np.add.reduceat(matrix[g + k * BUCKETS], first_char, axis=0, dtype=np.float64)
-                sums /= len(ORDERS)  # the orders see the same characters
-                sums -= sums.max(axis=1, keepdims=True)
-                p = np.exp(sums)
+            letters, sums = _likelihoods(pa.array(series, pa.large_string(), from_pandas=True), matrix)
+            pred, score, foreign = np.full(len(series), UNDETERMINED, object), np.zeros(len(series)), np.zeros(len(series), bool)
+            full = np.flatnonzero(letters)
+            if langs and len(full):
+                n = letters[full, None]
+                foreign[full] = (sums[full] / n < usual[:, 0] - FOREIGN_AT * np.sqrt(usual[:, 1] + usual[:, 2] / n)).all(axis=1)
+                p = np.exp(sums[full] - sums[full].max(axis=1, keepdims=True))
                 p /= p.sum(axis=1, keepdims=True)
-                best = p.argmax(axis=1)
-                pred[first + full], score[first + full] = np.array(langs, object)[best], p.max(axis=1)
-            yield pd.DataFrame({"lang_pred": pred, "score": score})
+                pred[full], score[full] = np.array(langs, object)[p.argmax(axis=1)], p.max(axis=1)
+            yield pd.DataFrame({"lang_pred": pred, "score": score, "foreign": foreign})
 
-    return predict
+    return lambda text: predict(F.col(text))
 
 
 def held_out(key: str = "doc_id", parts: int = 4, part: int = 2) -> Column:
@@ -141,7 +184,7 @@ def identify(documents: DataFrame, text: str = "text", lang: str = "lang", key:
     """
     model = fit(documents.where(~held_out(key)), text, lang, key)
     predict = predictor(documents, model)
-    found = documents.select(F.col(key).alias("doc_id"), held_out(key).alias("held_out"), predict(F.col(text)).alias("p"))
+    found = documents.select(F.col(key).alias("doc_id"), held_out(key).alias("held_out"), predict(text).alias("p"))
     return found.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
