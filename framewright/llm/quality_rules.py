@@ -1,8 +1,8 @@
 """Quality rules with thresholds from mergeable quantile sketches per language and source.
 
-A sketch counts, for one measure, the values in buckets that keep the seven leading bits of an
-integer: quantiles are at most 1/64 too low, sketches merge by adding counts, and a group has a few hundred
-buckets at most, however many documents it has.
+A sketch counts, for one measure, the values in buckets that keep the ten leading bits of an integer: quantiles are at most 1/512
+too low, sketches merge by adding counts, and a group has a few thousand buckets at most, however many documents it has. A group
+of fewer than LEAST_ROWS documents takes the merged sketches of its language, a language of fewer those of all documents.
 """
 
 from __future__ import annotations
@@ -15,21 +15,24 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from framewright.llm.common import coded, cut, runs_sum, slices, split_words
+from framewright.llm.common import coded, cut, few, runs_sum, slices, small_batches, split_words, tidied
 
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 NAMES = [column.split()[0] for column in BASE.split(", ")]
 SYMBOLS = "[#*$%&|<>]"
 
-#: measure: (so many thousandths a word; the least a limit can be).
-#: The limit of a group is its third quartile plus three times the distance from its median, but never under the floor.
+#: measure: (so many thousandths a word; the upper quantile in hundredths; how often its distance from the median goes on top;
+#: the limit of groups without spread, where the upper quantile is the median).
 RULES = {
-    "symbols": ("1000 * n_symbols div n_words", 150),
-    "dup_lines": ("1000 * n_dup_lines div n_words", 30),
-    "repeats": ("1000 * n_repeat_words div n_words", 250),
-    "word_length": ("1000 * word_chars div n_words", 12_000),
+    "symbols": ("1000 * n_symbols div n_words", 75, 12, 150),
+    "dup_lines": ("1000 * n_dup_lines div n_words", 90, 20, 30),
+    "repeats": ("1000 * n_repeat_words div n_words", 90, 20, 250),
+    "word_length": ("1000 * word_chars div n_words", 75, 12, 12_000),
 }
-SPREAD = 3
+#: Documents that pass the base rules which a group needs for limits of its own.
+LEAST_ROWS = 100
+#: Tables of limits of so many rows at most, under 100 bytes each, are broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def _repeated(codes: np.ndarray, distinct: int, counts: np.ndarray) -> np.ndarray:
@@ -92,20 +95,48 @@ def base_statistics(text: Column) -> Column:
             parts = [_base(texts) for _, texts in slices(pa.array(series, pa.large_string(), from_pandas=True))]
             yield pd.DataFrame({c: np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, np.int64) for c in NAMES})
 
-    return F.pandas_udf(statistics, BASE)(text)
+    return F.pandas_udf(tidied(statistics), BASE)(text)
 
 
 def thresholds(stats: DataFrame) -> DataFrame:
-    """(lang, source, limit_<measure>) from the documents that pass the base rules."""
-    value = F.explode(F.create_map(*[x for name, (rule, _) in RULES.items() for x in (F.lit(name), F.expr(rule))]))
+    """(lang, source, limit_<measure>) of each group with documents that pass the base rules."""
+    value = F.explode(F.create_map(*[x for name, rule in RULES.items() for x in (F.lit(name), F.expr(rule[0]))]))
     v = stats.where("not base_failed").select("lang", "source", value.alias("measure", "value"))
-    shift = F.expr("greatest(length(bin(value)) - 7, 0)")
-    sketch = v.withColumn("bucket", F.call_function("shiftleft", F.call_function("shiftright", F.col("value"), shift), shift)).groupBy("lang", "source", "measure", "bucket").agg(F.count("*").alias("n"))
-    quantile = "aggregate(array_sort(collect_list(struct(bucket, n))), named_struct('seen', 0L, 'q', cast(null as bigint)), (a, x) -> named_struct('seen', a.seen + x.n, 'q', if(a.q is null and {d} * (a.seen + x.n) >= {p} * sum(n), x.bucket, a.q)), a -> a.q)"
-    q = sketch.groupBy("lang", "source", "measure").agg(F.expr(quantile.format(d=2, p=1)).alias("q2"), F.expr(quantile.format(d=4, p=3)).alias("q3"))
-    floors = F.create_map(*[x for name, (_, floor) in RULES.items() for x in (F.lit(name), F.lit(floor))])
-    limit = F.greatest(F.col("q3") + SPREAD * (F.col("q3") - F.col("q2")), floors[F.col("measure")])
-    return q.withColumn("limit", limit).groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == m, F.col("limit"))).alias(f"limit_{m}") for m in RULES])
+    shift = F.expr("greatest(length(bin(value)) - 10, 0)")
+    bucket = F.call_function("shiftleft", F.call_function("shiftright", F.col("value"), shift), shift)
+    sketch = v.withColumn("bucket", bucket).groupBy("lang", "source", "measure", "bucket").agg(F.count("*").alias("n"))
+
+    groups = "explode(array(named_struct('level', 0, 'lang', lang, 'source', source), named_struct('level', 1, 'lang', lang, 'source', cast(null as string)), named_struct('level', 2, 'lang', cast(null as string), 'source', cast(null as string))))"
+    merged = sketch.select(F.expr(groups).alias("g"), "measure", "bucket", "n").groupBy("g", "measure", "bucket").agg(F.sum("n").alias("n"))
+    upper = F.create_map(*[x for name, rule in RULES.items() for x in (F.lit(name), F.lit(rule[1]))])
+    quantile = "aggregate(array_sort(collect_list(struct(bucket, n))), named_struct('seen', 0L, 'q', cast(null as bigint)), (a, x) -> named_struct('seen', a.seen + x.n, 'q', if(a.q is null and 100 * (a.seen + x.n) >= {p} * sum(n), x.bucket, a.q)), a -> a.q)"
+    q = merged.withColumn("upper", upper[F.col("measure")]).groupBy("g", "measure").agg(F.sum("n").alias("rows"), F.expr(quantile.format(p=50)).alias("mid"), F.expr(quantile.format(p="max(upper)")).alias("high"))
+    q = cut(q.select("g.*", "measure", "rows", "mid", "high"), "quantiles")
+
+    asked = q.where("level = 0").select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), "measure", F.expr(groups).alias("g")).select("of_lang", "of_source", "measure", "g.*")
+    usable = q.where((F.col("rows") >= LEAST_ROWS) | (F.col("level") == 2)).withColumnsRenamed({c: f"_{c}" for c in ("level", "lang", "source", "measure")})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("level", "lang", "source", "measure")]
+    first = asked.join(usable, same[0] & same[1] & same[2] & same[3]).groupBy("of_lang", "of_source", "measure").agg(F.min(F.struct("level", "mid", "high")).alias("q"))
+
+    def limit(name: str) -> Column:
+        _, _, times, even = RULES[name]
+        return F.max(F.when(F.col("measure") == name, F.when(F.col("q.high") > F.col("q.mid"), F.col("q.high") + times * (F.col("q.high") - F.col("q.mid"))).otherwise(even)))
+
+    return first.groupBy(F.col("of_lang").alias("lang"), F.col("of_source").alias("source")).agg(*[limit(m).alias(f"limit_{m}") for m in RULES])
+
+
+def _judged(stats: DataFrame, limits: DataFrame) -> DataFrame:
+    """stats with kept, by the limits of its language and source."""
+    limits = few(cut(limits, "limits"), BROADCAST_ROWS).withColumnsRenamed({"lang": "_l", "source": "_s"})
+    joined = stats.join(limits, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left")
+    fits = " and ".join(f"{rule[0]} <= limit_{m}" for m, rule in RULES.items())
+    return joined.withColumn("kept", F.expr(f"if(base_failed, false, {fits})")).drop("_l", "_s")
+
+
+def _statistics(documents: DataFrame, text: str, lang: str, source: str, **more: Column) -> DataFrame:
+    small_batches(documents.sparkSession)
+    rows = documents.select(*[c.alias(name) for name, c in more.items()], F.col(lang).alias("lang"), F.col(source).alias("source"), base_statistics(F.col(text)).alias("b")).select(*more, "lang", "source", "b.*")
+    return rows.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
 
 
 def judged(documents: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -114,12 +145,19 @@ def judged(documents: DataFrame, text: str = "text", key: str = "doc_id", lang:
     Null and empty text: no words, base_failed. Null lang or source is a group of its own. Repeated rows count each
     time and are judged alike. Values at a limit are kept. An empty table gives none. Other columns are not read.
     """
-    stats = documents.select(F.col(key).alias("doc_id"), F.col(lang).alias("lang"), F.col(source).alias("source"), base_statistics(F.col(text)).alias("b")).select("doc_id", "lang", "source", "b.*")
-    stats = cut(stats.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")), "quality-base")
-    limits = thresholds(stats).withColumnsRenamed({"lang": "_l", "source": "_s"})
-    joined = stats.join(limits, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left")
-    fits = " and ".join(f"{rule} <= limit_{m}" for m, (rule, _) in RULES.items())
-    return joined.withColumn("kept", F.expr(f"if(base_failed, false, {fits})")).drop("_l", "_s")
+    stats = cut(_statistics(documents, text, lang, source, doc_id=F.col(key)), "quality-base")
+    return _judged(stats, thresholds(stats))
+
+
+def passing(documents: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """The rows that judged() keeps, with all their columns.
+
+    The verdict needs a row's own text, language and source alone, so the statistics are taken twice and no row is looked up by
+    its id: null and repeated ids are judged by their own text.
+    """
+    limits = thresholds(cut(_statistics(documents, text, lang, source), "quality-base"))
+    whole = F.struct(*documents.columns)
+    return _judged(_statistics(documents, text, lang, source, row=whole), limits).where("kept").select("row.*")
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -127,8 +165,8 @@ def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-_LIMITS = ", ".join(f"max(case when measure = '{m}' then greatest(q3 + {SPREAD} * (q3 - q2), {floor}) end) as limit_{m}" for m, (_, floor) in RULES.items())
-_VALUES = " union all ".join(f"select lang, source, '{m}' as measure, {rule.replace(' div ', ' // ')} as value from stats where not base_failed" for m, (rule, _) in RULES.items())
+_LIMITS = ", ".join(f"max(case when measure = '{m}' then case when high > mid then high + {times} * (high - mid) else {even} end end) as limit_{m}" for m, (_, _, times, even) in RULES.items())
+_VALUES = " union all ".join(f"select lang, source, '{m}' as measure, {upper} as upper, {rule.replace(' div ', ' // ')} as value from stats where not base_failed" for m, (rule, upper, _, _) in RULES.items())
 ORACLE_SQL = {
     "op6_quality_rules": rf"""
 with words as (select doc_id, lang, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
@@ -141,11 +179,15 @@ stats as (select doc_id, lang, source, len(w)::bigint as n_words, length(array_t
   len(w) < 50 or 100 * coalesce(repeats.n, 0) > 50 * len(w) as base_failed
   from words left join lines using (doc_id) left join repeats using (doc_id)),
 measured as ({_VALUES}),
-sketch as (select lang, source, measure, (value >> s) << s as bucket, count(*) as n from (select *, greatest(length(bin(value)) - 7, 0)::bigint as s from measured) group by all),
-seen as (select *, sum(n) over (partition by lang, source, measure order by bucket) as up, sum(n) over (partition by lang, source, measure) as total from sketch),
-quartiles as (select lang, source, measure, min(case when 2 * up >= total then bucket end) as q2, min(case when 4 * up >= 3 * total then bucket end) as q3 from seen group by all),
-limits as (select lang, source, {_LIMITS} from quartiles group by all)
+sketch as (select lang, source, measure, upper, (value >> s) << s as bucket, count(*) as n from (select *, greatest(length(bin(value)) - 10, 0)::bigint as s from measured) group by all),
+merged as (select 0 as level, * from sketch union all select 1, lang, null, measure, upper, bucket, sum(n) from sketch group by all union all select 2, null, null, measure, upper, bucket, sum(n) from sketch group by all),
+seen as (select *, sum(n) over (partition by level, lang, source, measure order by bucket) as up, sum(n) over (partition by level, lang, source, measure) as total from merged),
+quantiles as (select level, lang, source, measure, total, min(case when 2 * up >= total then bucket end) as mid, min(case when 100 * up >= upper * total then bucket end) as high from seen group by all),
+usable as (select * from quantiles where total >= {LEAST_ROWS} or level = 2),
+ranked as (select g.lang, g.source, g.measure, u.mid, u.high, row_number() over (partition by g.lang, g.source, g.measure order by u.level) as r from quantiles as g join usable as u
+  on g.level = 0 and g.measure = u.measure and (u.level = 2 or u.lang is not distinct from g.lang) and (u.level > 0 or u.source is not distinct from g.source)),
+limits as (select lang, source, {_LIMITS} from ranked where r = 1 group by all)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  case when base_failed then false else {" and ".join(f"{rule.replace(' div ', ' // ')} <= limit_{m}" for m, (rule, _) in RULES.items())} end as kept
+  case when base_failed then false else {" and ".join(f"{rule.replace(' div ', ' // ')} <= limit_{m}" for m, (rule, _, _, _) in RULES.items())} end as kept
 from stats left join limits on stats.lang is not distinct from limits.lang and stats.source is not distinct from limits.source"""
 }
