@@ -33,55 +33,54 @@ def unescaped(text: Column) -> Column:
     return F.replace(text, F.lit("\\\\"), F.lit("\\"))
 
 
-def paths(nodes: DataFrame) -> DataFrame:
-    """(tree, leaf, path, score): the nodes from a root to each leaf, and the sum of their scores.
+def paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
+    """(tree, leaf, node, at): a row for each node from the root (at 1) to the leaf, of the best leaves of every tree by the sum
+    of the scores on their paths, ties by leaf.
 
-    nodes: tree, node, parent, score. A parent that is missing or isn't before its reply counts as none. Each round joins
-    the table to itself and doubles the length of the paths known, so a tree of depth d takes log d rounds.
+    nodes: tree, node, parent, score. A parent that is missing or isn't before its reply counts as none. Each round joins the
+    table of jumps to itself and doubles their length, so a tree of depth d takes log d rounds; depths and scores add up along
+    the way. The jumps then lead from the chosen leaves to all nodes above them. All tables have a row for each node or step.
     """
-    known = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("_there"))
+    known = nodes.select("tree", F.col("node").alias("parent"))
     valid = nodes.where("parent < node").join(known, ["tree", "parent"], "left_semi").select("tree", "node", "parent")
     start = nodes.select("tree", "node", "score").join(valid, ["tree", "node"], "left")
-    leaf = start.join(valid.select("tree", F.col("parent").alias("node")).distinct(), ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"))
-    rows = start.select("tree", "node", F.col("parent").alias("up"), F.array("node").alias("path"), F.coalesce("score", F.lit(0.0)).alias("score"))
-    step = cut(rows, "paths")
+    leaf = start.join(valid.select("tree", F.col("parent").alias("node")).distinct(), ["tree", "node"], "left_anti").select("tree", "node")
+    step = cut(start.select("tree", "node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("depth"), F.coalesce("score", F.lit(0.0)).alias("score")), "paths")
+    jumps = []
     while not (active := step.where("up is not null")).isEmpty():
-        above = step.select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"), F.col("score").alias("_score"))
-        longer = active.join(above, ["tree", "up"]).select("tree", "node", F.col("_up").alias("up"), F.concat("_path", "path").alias("path"), (F.col("score") + F.col("_score")).alias("score"))
+        jumps.append(active.select("tree", "node", "up"))
+        above = step.select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("score").alias("_score"))
+        longer = active.join(above, ["tree", "up"]).select("tree", "node", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"), (F.col("score") + F.col("_score")).alias("score"))
         step = cut(longer.unionByName(step.where("up is null")), "paths")
-    return leaf.join(step.select("tree", F.col("node").alias("leaf"), "path", "score"), ["tree", "leaf"])
+    best = Window.partitionBy("tree").orderBy(F.desc("score"), "node")
+    chosen = leaf.join(step, ["tree", "node"]).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= branches)
+    found = chosen.select("tree", F.col("node").alias("leaf"), "node", F.col("depth").alias("at"))
+    for k, jump in enumerate(jumps):
+        found = cut(found, "found")
+        found = found.unionByName(found.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("at") - (1 << k)).alias("at")))
+    return found
 
 
 def formatted(nodes: DataFrame, branches: int = 1, loss_role: str = LOSS_ROLE) -> DataFrame:
-    """(tree, leaf, formatted, loss): the best branches of every tree as one text each, by score and then by leaf, with the
-    places (start from 1, length) of the escaped texts that are learnt from.
+    """(tree, leaf, formatted, loss): the best branches of every tree as one text each, by score and then by leaf, with the loss
+    mask: for each turn the place (start from 1 in the turn, length) of the escaped text that is learnt from, or null.
 
     nodes: tree, node, parent, role, text, score, with unique (tree, node). Null text and role: empty. An empty table gives none.
     """
-    best = Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")
-    chosen = paths(nodes).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= branches)
-    turns = chosen.select("tree", "leaf", F.posexplode("path").alias("at", "node")).join(nodes.select("tree", "node", "role", "text"), ["tree", "node"])
-    head = F.concat(F.lit("<|"), escaped(F.col("role")), F.lit("|>\n"))
-    turns = turns.select("tree", "leaf", F.struct("at", head.alias("head"), escaped(F.col("text")).alias("body"), F.coalesce(F.col("role") == loss_role, F.lit(False)).alias("learn")).alias("t"))
-    whole = turns.groupBy("tree", "leaf").agg(F.sort_array(F.collect_list("t")).alias("t"))
-    written = F.array_join(F.transform("t", lambda t: F.concat(t.head, t.body, F.lit(END))), "")
-    places = F.aggregate(
-        "t",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("found")),
-        lambda a, t: F.struct(
-            (a.at + F.length(t.head) + F.length(t.body) + len(END)).alias("at"),
-            F.when(t.learn, F.concat(a.found, F.array(F.struct((a.at + F.length(t.head) + 1).alias("start"), F.length(t.body).alias("length"))))).otherwise(a.found).alias("found"),
-        ),
-        lambda a: a.found,
-    )
-    return whole.select("tree", "leaf", written.alias("formatted"), places.alias("loss"))
+    head, body = F.concat(F.lit("<|"), escaped(F.col("role")), F.lit("|>\n")), escaped(F.col("text"))
+    place = F.when(F.col("role") == loss_role, F.struct((F.length("_head") + 1).alias("start"), F.length("_body").alias("length")))
+    told = nodes.select("tree", "node", "role", head.alias("_head"), body.alias("_body")).select("tree", "node", F.concat("_head", "_body", F.lit(END)).alias("written"), place.alias("place"))
+    turns = paths(nodes, branches).join(told, ["tree", "node"])
+    whole = turns.groupBy("tree", "leaf").agg(F.sort_array(F.collect_list(F.struct("at", "written", "place"))).alias("t"))
+    return whole.select("tree", "leaf", F.array_join(F.col("t.written"), "").alias("formatted"), F.col("t.place").alias("loss"))
 
 
 def read_back(written: DataFrame) -> DataFrame:
     """written, with turns: array of (role, text) as they were before formatting, and learnt: the unescaped texts under the loss mask."""
-    pieces = F.slice(F.split("formatted", "<\\|end\\|>\n", -1), F.lit(1), F.size(F.split("formatted", "<\\|end\\|>\n", -1)) - 1)
+    pieces = F.filter(F.split("formatted", "<\\|end\\|>\n", -1), lambda p: p != "")  # a turn begins with its mark, so none is empty
     turn = lambda p: F.struct(unescaped(F.substring_index(F.substr(p, F.lit(3)), "|>\n", 1)).alias("role"), unescaped(F.substr(p, F.instr(p, "|>\n") + 3)).alias("text"))
-    return written.select("*", F.transform(pieces, turn).alias("turns"), F.transform("loss", lambda s: unescaped(F.substr("formatted", s.start, s.length))).alias("learnt"))
+    under = F.zip_with(pieces, "loss", lambda p, s: F.when(s.isNotNull(), unescaped(F.substr(p, s.start, s.length))))
+    return written.select("*", F.transform(pieces, turn).alias("turns"), F.filter(under, lambda t: t.isNotNull()).alias("learnt"))
 
 
 def as_trees(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", score: str | None = None) -> DataFrame:
