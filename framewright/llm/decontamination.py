@@ -14,9 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from framewright.llm.common import coded, cut, mix, slices, split_words, starts_of, word_hashes
+from framewright.llm.common import coded, cut, mix, slices, small_batches, split_words, starts_of, strings, tidied, word_hashes
 
 #: Together they hit every window of 13 words with at most three of them replaced.
 MASKS = ("110100011", "1101011", "111001001")
@@ -34,9 +35,12 @@ def _normal_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the texts' words in lower case without anything but letters and digits, and how many each text has."""
     words, counts = split_words(texts)
     codes, distinct = coded(words)
-    plain = pa.array([_NOISE.sub("", w.lower()) for w in distinct.to_pylist()], pa.large_string())
-    hashes = word_hashes(plain)
-    real = np.array([w != "" for w in plain.to_pylist()], bool)[codes] if len(codes) else np.zeros(0, bool)
+    low = strings(distinct)
+    odd = np.flatnonzero(pc.invert(pc.match_substring_regex(distinct, "^[a-z0-9]+$")).to_numpy(zero_copy_only=False))
+    for i in odd.tolist():
+        low[i] = _NOISE.sub("", low[i].lower())
+    hashes = word_hashes(pa.array(low, pa.large_string()))
+    real = np.fromiter(map(bool, low), bool, len(low))[codes] if len(codes) else np.zeros(0, bool)
     owner = np.repeat(np.arange(len(counts)), counts)
     return hashes[codes][real] if len(codes) else np.zeros(0, np.uint64), np.bincount(owner[real], minlength=len(counts))
 
@@ -68,7 +72,7 @@ def test_words(benchmark: DataFrame, text: str = "text", key: str = "item_id") -
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(hashes.view(np.int64)))
                 yield pa.RecordBatch.from_pydict({"item_id": batch.column("item_id").slice(first, len(texts)), "words": lists})
 
-    return benchmark.select(F.col(key).cast("long").alias("item_id"), F.col(text).alias("text")).mapInArrow(run, "item_id long, words array<long>").where("size(words) > 0")
+    return benchmark.select(F.col(key).cast("long").alias("item_id"), F.col(text).alias("text")).mapInArrow(tidied(run), "item_id long, words array<long>").where("size(words) > 0")
 
 
 def test_seeds(items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
@@ -84,7 +88,7 @@ def test_seeds(items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
                 seed, at = seed[own], at[own]
                 yield pa.RecordBatch.from_pydict({"seed": pa.array(seed.view(np.int64)), "item_id": ids.take(pa.array(owner[at])), "item_at": pa.array((at - starts_of(counts)[owner[at]]).astype(np.int32))})
 
-    return items.mapInArrow(run, "seed long, item_id long, item_at int")
+    return items.mapInArrow(tidied(run), "seed long, item_id long, item_at int")
 
 
 def _filter(seeds: DataFrame) -> np.ndarray:
@@ -95,7 +99,7 @@ def _filter(seeds: DataFrame) -> np.ndarray:
             for bits in _bits(batch.column("seed").to_numpy().view(np.uint64)):
                 yield pa.RecordBatch.from_pydict({"word": pa.array(bits >> 6), "flag": pa.array((np.uint64(1) << (bits & 63).astype(np.uint64)).view(np.int64))})
 
-    words = seeds.select("seed").mapInArrow(run, "word long, flag long").groupBy("word").agg(F.bit_or("flag").alias("flag")).toArrow()
+    words = seeds.select("seed").mapInArrow(tidied(run), "word long, flag long").groupBy("word").agg(F.bit_or("flag").alias("flag")).toArrow()
     table = np.zeros(FILTER_BITS // 64, np.uint64)
     table[words.column("word").to_numpy()] = words.column("flag").to_numpy().view(np.uint64)
     return table
@@ -146,7 +150,7 @@ def segments(documents: DataFrame, table: np.ndarray, masks: tuple[str, ...], te
                     }
                 )
 
-    return documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SEGMENTS)
+    return documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidied(run), SEGMENTS)
 
 
 def _best_window(same: np.ndarray, item_words: int) -> tuple[int, int, int]:
@@ -168,6 +172,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text",
     Null and empty texts, and items without a letter or digit, are found nowhere. Repeated rows and items give the pair once,
     as does a tie (the first place). Empty tables give no rows. Documents with null ids give rows with null ids.
     """
+    small_batches(documents.sparkSession)
     items = cut(test_words(benchmark, item_text, item), "test-items")
     lengths = [r.n for r in items.select(F.size("words").alias("n")).where(F.col("n") < SHORTEST).distinct().collect()]  # nine at most
     masks = MASKS + tuple("1" * n for n in sorted(lengths))
@@ -189,7 +194,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text",
             window, equal, place = (np.array(c, np.int64) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "item_id": batch.column("item_id"), "doc_at": pa.array(batch.column("start").to_numpy() + place), "window": pa.array(window), "equal": pa.array(equal)})
 
-    found = aligned.select("doc_id", "item_id", "start", "words", "shift", "item").mapInArrow(run, "doc_id long, item_id long, doc_at long, window long, equal long").where("window > 0")
+    found = aligned.select("doc_id", "item_id", "start", "words", "shift", "item").mapInArrow(tidied(run), "doc_id long, item_id long, doc_at long, window long, equal long").where("window > 0")
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("equal", (-F.col("doc_at")).alias("back"), "window")).alias("b"))
     return best.select("doc_id", "item_id", (-F.col("b.back")).alias("doc_at"), "b.window", "b.equal")
 

@@ -17,9 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from framewright.llm.common import coded, cut, discard, mix, slices, split_words, starts_of, word_hashes
+from framewright.llm.common import coded, cut, discard, mix, slices, small_batches, split_words, starts_of, tidied, word_hashes
 from framewright.llm.components import components
 
 GROUP_MEMBERS = 32
@@ -28,8 +29,6 @@ SLOTS = 1 << 22
 #: Bits of the filters that tell which tokens occur twice and which documents have candidates: 8 MB, whatever the input.
 FILTER_BITS = 1 << 26
 
-_UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-
 
 def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of each text as sorted 63-bit hashes, and how many each has; A-Z are lower-cased.
@@ -38,8 +37,7 @@ def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     """
     flat, counts = split_words(texts)
     codes, distinct = coded(flat)
-    lowered = pa.array([w.translate(_UPPER) for w in distinct.to_pylist()], pa.large_string())
-    hashes = word_hashes(lowered)[codes] if len(codes) else np.zeros(0, np.uint64)
+    hashes = word_hashes(pc.ascii_lower(distinct))[codes] if len(codes) else np.zeros(0, np.uint64)
     first = starts_of(counts)
     n = np.where(counts > 0, np.maximum(counts - words + 1, 1), 0)
     at = np.repeat(first - starts_of(n), n) + np.arange(n.sum())
@@ -98,7 +96,7 @@ class JaccardJoin:
                     yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(first, len(texts)), "n": pa.array(n), "d1": pa.array(d1), "d2": pa.array(d2), "alike": pa.array(group), "pool": _lists(h[pooled], np.bincount(owner[pooled], minlength=len(n)))})
 
         rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-        return rows.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, alike long, pool array<long>")
+        return rows.mapInArrow(tidied(run), "doc_id long, n long, d1 long, d2 long, alike long, pool array<long>")
 
     def _levels(self, sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         """Bits of the counted tokens that occur more than once, and by slot the logarithm of how often its most frequent
@@ -142,7 +140,7 @@ class JaccardJoin:
                 at = owner[chosen]
                 yield pa.RecordBatch.from_pydict({"token": pa.array(h[chosen]), "rep": batch.column("rep").take(pa.array(at)), "n": pa.array(n[at]), "c": pa.array(counts[at])})
 
-        return full.mapInArrow(run, "token long, rep long, n long, c long")
+        return full.mapInArrow(tidied(run), "token long, rep long, n long, c long")
 
     def _rare_tokens(self, sets: DataFrame, levels: tuple[np.ndarray, np.ndarray]) -> DataFrame:
         """(token, uid): the rarest tokens of every set, without tokens that only one set has among its rarest."""
@@ -173,8 +171,8 @@ class JaccardJoin:
                 yield batch.filter(pa.array(kept))
                 held = batch.slice(batch.num_rows - 1), bool(kept[-1])
 
-        rows = sets.where("n > 0").select("uid", "n", "pool").mapInArrow(prefixes, "token long, uid long")
-        return rows.repartition("token").sortWithinPartitions("token").mapInArrow(twice, "token long, uid long")
+        rows = sets.where("n > 0").select("uid", "n", "pool").mapInArrow(tidied(prefixes), "token long, uid long")
+        return rows.repartition("token").sortWithinPartitions("token").mapInArrow(tidied(twice), "token long, uid long")
 
     def _full_sets(self, documents: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFrame:
         """(rep, tokens) of the classes in wanted (rep, doc_id, n, d1, d2), read again from their texts."""
@@ -184,7 +182,7 @@ class JaccardJoin:
                 bits = self._bits(batch.column("doc_id"))
                 yield pa.RecordBatch.from_pydict({"word": pa.array(bits >> 6), "flag": pa.array((np.uint64(1) << (bits & 63).astype(np.uint64)).view(np.int64))})
 
-        words = wanted.select("doc_id").mapInArrow(flags, "word long, flag long").groupBy("word").agg(F.bit_or("flag").alias("flag")).toArrow()
+        words = wanted.select("doc_id").mapInArrow(tidied(flags), "word long, flag long").groupBy("word").agg(F.bit_or("flag").alias("flag")).toArrow()
         table = np.zeros(FILTER_BITS // 64, np.uint64)
         table[words.column("word").to_numpy()] = words.column("flag").to_numpy().view(np.uint64)
         shared = documents.sparkSession.sparkContext.broadcast(table)
@@ -198,7 +196,7 @@ class JaccardJoin:
                     d1, d2, _ = _digests(h, n)
                     yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(first, len(texts)), "n": pa.array(n), "d1": pa.array(d1), "d2": pa.array(d2), "tokens": _lists(h, n)})
 
-        rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, tokens array<long>")
+        rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidied(run), "doc_id long, n long, d1 long, d2 long, tokens array<long>")
         w = wanted.withColumnsRenamed({"doc_id": "_id"})
         return rows.join(w, ["n", "d1", "d2"]).where(F.col("doc_id").eqNullSafe(F.col("_id"))).groupBy("rep").agg(F.first("tokens").alias("tokens"))
 
@@ -231,7 +229,7 @@ class JaccardJoin:
                 out = pa.RecordBatch.from_pydict({"rep": batch.column("rep"), "n": batch.column("n"), "tokens": lists})
                 yield out.filter(pa.array(self.den * n >= self.num * batch.column("n").to_numpy()))
 
-        return full.mapInArrow(run, "rep long, n long, tokens array<long>")
+        return full.mapInArrow(tidied(run), "rep long, n long, tokens array<long>")
 
     def _enough(self, both: Column, x: Column, y: Column) -> Column:
         return (self.num + self.den) * both >= self.num * (x + y)
@@ -295,6 +293,7 @@ class JaccardJoin:
         repeated rows are. Null ids take part; a component of null ids alone has a null id. An empty table gives none.
         Other columns are not read.
         """
+        small_batches(documents.sparkSession)
         sets = cut(self.sets(documents, text, key).withColumn("uid", F.monotonically_increasing_id()), "sets")
         slim = cut(sets.select("uid", "doc_id", "n", "d1", "d2", "alike"), "slim")
         digest = ["n", "d1", "d2"]

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from framewright.llm.common import tidied
 from framewright.llm.language import held_out
 
 #: Labelled documents of each class that the model is fitted on, about, and the bytes of whole documents that they have at most.
@@ -115,7 +116,7 @@ def scorer(df: DataFrame, model: tuple[tuple[bytes, bytes], np.ndarray]) -> Call
             x = np.array([_features(t, compressors) for t in series]).reshape(-1, 2)
             yield pd.Series(1 / (1 + np.exp(-np.clip(_expanded(x) @ w, -30, 30))))
 
-    udf = F.pandas_udf(scores, "double")
+    udf = F.pandas_udf(tidied(scores), "double")
     return lambda text: udf(F.col(text))
 
 
