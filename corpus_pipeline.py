@@ -5,45 +5,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from framewright.llm import decontamination, jaccard, language, packing, quality_rules
+from framewright.llm.common import cut, few
 
-#: run()'s rows can't be had by SQL: language model, packing order. tests/llm has a brute-force version.
+#: run()'s rows can't be had by SQL: language model, packing order. tests/llm has a brute-force version of what stays.
 ORACLE_SQL = None
 
-
-def _judged(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in keep; null ids are not known to be good and go."""
-    return docs.join(keep.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+#: Hashes of so many contaminated texts at most, 16 bytes each, are broadcast; more are joined by shuffling.
+BROADCAST_TEXTS = 500_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose language can be told: those with a letter."""
+    """Drops the documents whose language can't be told: texts that are null or without a letter, and texts that are far less
+    likely than usual in every language that labelled documents have. Rows are judged one by one, so repeated rows and null ids
+    fare alike. Where no row has a language, every text goes as undetermined; an empty table gives none."""
     predict = language.predictor(docs, language.fit(docs))
-    return docs.withColumn("_p", predict(F.col("text"))).where(F.col("_p.lang_pred") != language.UNDETERMINED).select(*docs.columns)
+    told = docs.select(F.struct(*docs.columns).alias("row"), predict("text").alias("p"))
+    return told.where((F.col("p.lang_pred") != language.UNDETERMINED) & ~F.col("p.foreign")).select("row.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the base rules and the limits of their language and source let pass."""
-    return _judged(docs, quality_rules.judged(docs).where("kept"))
+    """Keeps the documents that the base rules and the limits of their language and source let pass. Null texts go; null
+    languages and sources are groups of their own; repeated rows and ids are judged by their own text; an empty table gives none."""
+    return quality_rules.passing(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of five-word shingle sets with a similarity of 0.8 or more: the one with the
-    smallest id, and of rows that repeat an id the one with the smallest text. Documents without shingles all stay."""
-    found = jaccard.JaccardJoin(5, 4, 5).classes(docs)
-    first = _judged(docs, found.where("n_shingles = 0 or doc_id = component_id"))
-    twice = first.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
-    again = first.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("m"))
-    return first.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(again.select("doc_id", "m.*").select(*docs.columns))
+    """Keeps one document of each component of five-word shingle sets with a similarity of 0.8 or more: the text with the
+    smallest hash, and of rows with that text the one with the smallest id, null ids last. Texts without words all stay, null
+    ones too; an empty table gives none."""
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    hashed = docs.where(worded).withColumn("_h", F.xxhash64("text"))
+    found = jaccard.JaccardJoin(5, 4, 5).classes(hashed, key="_h")
+    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_h")).distinct()
+    rest = [c for c in docs.columns if c != "doc_id"]
+    once = hashed.groupBy("_h").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_n"), "doc_id", *rest)).alias("row"))
+    return once.join(first, "_h", "left_semi").select(*[F.col("row")[c].alias(c) for c in docs.columns]).unionByName(docs.where(~worded))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents in which an item of the benchmark is found."""
-    hits = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+    """Drops the documents in which an item of the benchmark is found, by their text, so that null and repeated ids make no
+    difference. Null and empty texts stay; without items everything stays; an empty table gives none."""
+    hashed = docs.withColumn("_h", F.xxhash64("text"))
+    hits = cut(decontamination.contaminated(hashed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="_h").select(F.col("doc_id").alias("_h")).distinct(), "hits")
+    return hashed.join(few(hits, BROADCAST_TEXTS), "_h", "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, packed."""
+    """The pieces of all documents, packed; null and empty texts are one end id, repeated rows are packed each, an empty table gives none."""
     return packing.packed_documents(docs)
 
 
@@ -57,8 +65,6 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from framewright.llm.common import cut
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
