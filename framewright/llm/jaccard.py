@@ -24,6 +24,8 @@ from framewright.llm.common import coded, cut, discard, mix, slices, small_batch
 from framewright.llm.components import components
 
 GROUP_MEMBERS = 32
+#: Groups of one token that a task takes at a time.
+TOKEN_GROUPS = 256
 #: Slots of the table that tells how often a token occurs, by the leading bits of its hash: 4 MB, whatever the input.
 SLOTS = 1 << 22
 #: Bits of the filters that tell which tokens occur twice and which documents have candidates: 8 MB, whatever the input.
@@ -125,7 +127,8 @@ class JaccardJoin:
         return np.where(h >= self.tier, 64, np.where(often, np.maximum(1, table[h >> (63 - SLOTS.bit_length() + 1)]), 0))
 
     def _shared_prefixes(self, full: DataFrame, levels: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-        """(token, rep, n, c): the rarest of a set's c shared tokens, as many as not all can be missing from a linked set."""
+        """(token, rep, n, c, rest): the rarest of a set's c shared tokens, as many as not all can be missing from a linked set,
+        and how many there are from each token on."""
         shared = full.sparkSession.sparkContext.broadcast(levels)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,9 +141,9 @@ class JaccardJoin:
                 rank = np.arange(len(h)) - starts_of(counts)[owner]
                 chosen = order[rank <= (counts + (-self.num * n // self.den))[owner]]
                 at = owner[chosen]
-                yield pa.RecordBatch.from_pydict({"token": pa.array(h[chosen]), "rep": batch.column("rep").take(pa.array(at)), "n": pa.array(n[at]), "c": pa.array(counts[at])})
+                yield pa.RecordBatch.from_pydict({"token": pa.array(h[chosen]), "rep": batch.column("rep").take(pa.array(at)), "n": pa.array(n[at]), "c": pa.array(counts[at]), "rest": pa.array(counts[at] - rank[rank <= (counts + (-self.num * n // self.den))[owner]])})
 
-        return full.mapInArrow(tidied(run), "token long, rep long, n long, c long")
+        return full.mapInArrow(tidied(run), "token long, rep long, n long, c long, rest long")
 
     def _rare_tokens(self, sets: DataFrame, levels: tuple[np.ndarray, np.ndarray]) -> DataFrame:
         """(token, uid): the rarest tokens of every set, without tokens that only one set has among its rarest."""
@@ -259,23 +262,66 @@ class JaccardJoin:
         several = rare.groupBy("token").agg(F.count("*").alias("_c")).where("_c > 1").select("token")
         return rare.join(several, "token", "left_semi")
 
-    def _opened(self, rare: DataFrame, comp: DataFrame, groups: DataFrame, full: DataFrame) -> DataFrame:
-        """All links (a, b) of different components that are left, from the groups that queries open.
+    def _near(self, matrix: DataFrame) -> DataFrame:
+        """(g, o): pairs of groups that may hold a link, from matrix (token, g, lo, hi, rest): of the sets with the token in a
+        group, the least and largest size, and the most tokens from it on.
 
-        rare: (token, rep); groups: (rep, n, c, g), c being the size of the shared tokens.
+        Of the tokens that two linked sets share, the first in order has at least their overlap from it on in both, so that the
+        pair is found at that token; tokens that stand behind too many others, such as those of a common passage, find nothing.
+        The groups of a frequent token are dealt to parts of TOKEN_GROUPS, each met by all groups of the token, so that no task
+        has more than one part.
         """
-        member = groups.join(comp, "rep", "left").withColumn("comp", F.coalesce("label", "rep")).drop("label")
-        member = cut(member, "members")
-        about = member.groupBy("g").agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.max("c").alias("c_hi"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
-        rows = rare.select("token", "rep").join(member, "rep")
+        sizes = matrix.groupBy("token").agg(F.ceil(F.count("*") / TOKEN_GROUPS).cast("int").alias("parts"))
+        dealt = cut(matrix.join(sizes, "token"), "dealt")
+        left = dealt.withColumn("part", F.expr("cast(pmod(xxhash64(g), parts) as int)"))
+        right = dealt.select("token", F.col("g").alias("o"), *[F.col(c).alias(f"_{c}") for c in ("lo", "hi", "rest")], F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_part"))
+        sized = (self.den * F.col("hi") >= self.num * F.col("_lo")) & (self.den * F.col("_hi") >= self.num * F.col("lo"))
+        pair = (left["token"] == right["token"]) & (F.col("part") == F.col("_part")) & (F.col("g") <= F.col("o")) & sized & self._enough(F.least("rest", "_rest"), F.col("lo"), F.col("_lo"))
+        return left.join(right, pair).select("g", "o").distinct()
+
+    def _overlapping(self, near: DataFrame, member: DataFrame, full: DataFrame) -> DataFrame:
+        """Those of near (g, o) whose token unions have enough in common for sets of the groups' least sizes."""
+        asked = near.select("g").union(near.select("o")).distinct()
+        union = F.array_distinct(F.flatten(F.collect_list("tokens")))
+        held = member.join(asked, "g", "left_semi").select("g", "rep", "n").join(full.select("rep", "tokens"), "rep")
+        unions = cut(held.groupBy("g").agg(union.alias("union"), F.min("n").alias("n_lo")), "unions")
+        other = unions.select(F.col("g").alias("o"), F.col("union").alias("_union"), F.col("n_lo").alias("_n_lo"))
+        pairs = near.join(unions, "g").join(other, "o").where(self._enough(F.size(F.array_intersect("union", "_union")), F.col("n_lo"), F.col("_n_lo")))
+        return cut(pairs.select("g", "o"), "overlapping")
+
+    @staticmethod
+    def _about(member: DataFrame) -> DataFrame:
+        """Of each group the sizes and components that its members have."""
+        return member.groupBy("g").agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.max("c").alias("c_hi"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
+
+    def _members(self, groups: DataFrame, links: list[DataFrame]) -> DataFrame:
+        reached = groups.join(self._reached(links), "rep", "left")
+        return cut(reached.withColumn("comp", F.coalesce("label", "rep")).drop("label"), "members")
+
+    def _opened(self, rare: DataFrame, links: list[DataFrame], groups: DataFrame, full: DataFrame) -> list[DataFrame]:
+        """links, and those (a, b) of different components that are left, from the groups that queries open.
+
+        rare: (token, rep, rest); groups: (rep, n, c, g), c being the size of the shared tokens. Of each pair of groups that may
+        hold a link single members are compared first, which connects most; only what is still apart is opened.
+        """
+        member = self._members(groups, links)
+        rows = rare.select("token", "rep", "rest").join(member, "rep")
         open_ = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
         rows = cut(rows.join(open_, "token", "left_semi"), "queries")
-        matrix = cut(rows.select("token", "g").distinct(), "matrix")
-        near = matrix.join(matrix.withColumnRenamed("g", "o"), "token").where("g <= o").select("g", "o").distinct()
-        asking = member.join(near, "g").join(about.withColumnRenamed("g", "o"), "o")
+        matrix = cut(rows.groupBy("token", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("rest")), "matrix")
+        near = self._overlapping(cut(self._near(matrix), "near"), member, full)
+        for seed in (4, 5, 6):
+            one = member.groupBy("g").agg(F.min(F.struct(F.xxhash64("rep", F.lit(seed)).alias("h"), "rep", "comp")).alias("m")).select("g", F.col("m.rep").alias("a"), F.col("m.comp").alias("ca"))
+            pairs = near.join(one, "g").join(one.toDF("o", "b", "cb"), "o").where("ca != cb")
+            links = [*links, self._linked(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), full)]
+            member = self._members(groups, links)
+            comps = self._about(member).select("g", "c1", "c2")
+            apart = (F.col("c1") != F.col("_c1")) | (F.col("c2") != F.col("_c2")) | (F.col("c1") != F.col("c2"))
+            near = cut(near.join(comps, "g").join(comps.toDF("o", "_c1", "_c2"), "o").where(apart).select("g", "o"), "apart")
+        opened = near.join(self._about(member).withColumnRenamed("g", "o"), "o").withColumnRenamed("g", "_g")
         fits = (self.den * F.col("n_hi") >= self.num * F.col("n")) & self._enough(F.least("c", "c_hi"), F.col("n"), F.col("n_lo"))
         other = (F.col("c1") != F.col("comp")) | (F.col("c2") != F.col("comp"))
-        candidates = cut(asking.where(fits & other).select("rep", "n", "c", "comp", "o", "n_lo"), "candidates")
+        candidates = cut(member.join(opened, (F.col("g") == F.col("_g")) & fits & other).select("rep", "n", "c", "comp", "o", "n_lo"), "candidates")
         tokens = full.select("rep", "tokens")
         wanted = candidates.select(F.col("o").alias("g")).distinct()
         held = member.join(wanted, "g", "left_semi").join(tokens, "rep").groupBy(F.col("g").alias("o")).agg(F.collect_list(F.struct("rep", "n", "c", "comp", "tokens")).alias("members"))
@@ -283,8 +329,8 @@ class JaccardJoin:
         least = F.greatest(self.num * F.col("n") / self.den, self.num * (F.col("n") + F.col("n_lo")) / (self.num + self.den))
         asked = candidates.join(tokens, "rep").join(held, "o").where(F.size(F.array_intersect("tokens", "union")) >= least)
         linked = F.filter("members", lambda m: (m.comp != F.col("comp")) & self._enough(F.least(m.c, F.col("c")), m.n, F.col("n")) & self._enough(F.size(F.array_intersect(m.tokens, F.col("tokens"))), m.n, F.col("n")))
-        links = asked.select("rep", F.explode(F.transform(linked, lambda m: m.rep)).alias("_rep"))
-        return cut(links.select(F.least("rep", "_rep").alias("a"), F.greatest("rep", "_rep").alias("b")).distinct(), "links")
+        found = asked.select("rep", F.explode(F.transform(linked, lambda m: m.rep)).alias("_rep"))
+        return [*links, cut(found.select(F.least("rep", "_rep").alias("a"), F.greatest("rep", "_rep").alias("b")).distinct(), "links")]
 
     def classes(self, documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
         """doc_id, n_shingles and component_id of every row: the smallest doc_id that links reach from it, its own included.
@@ -320,8 +366,7 @@ class JaccardJoin:
         links = [self._linked(inside.union(self._star(rare, nothing, 1)).distinct(), full)]
         for seed in (2, 3):
             links.append(self._linked(self._star(rare, self._reached(links), seed), full))
-        links.append(self._opened(rare, self._reached(links), groups.drop("pivot"), full))
-        labels = components(links)
+        labels = components(self._opened(rare, links, groups.drop("pivot"), full))
 
         own = classes.select("rep", *digest, "doc_id").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
         smallest = own.groupBy("label").agg(F.min("doc_id").alias("component_id"))
