@@ -4,21 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from framewright.sources.scratch import cut
+
 #: Consecutive keys whose sizes are summed in one window partition.
 BLOCK = 65_536
 
 
-def with_offsets(episodes: DataFrame, key: str = "episode_index", length: str = "length", start: str = "dataset_from_index", end: str = "dataset_to_index", block: int = BLOCK) -> DataFrame:
+def with_offsets(episodes: DataFrame, key: str = "episode_index", length: str = "length", start: str = "dataset_from_index", end: str = "dataset_to_index", block: float = BLOCK, kind: str = "long") -> DataFrame:
     """Adds [start, end): the sums of length before and up to each key.
 
-    Sums run inside blocks of keys; only the totals of blocks meet in one partition, one row for block keys.
+    Sums run inside blocks of keys; only the totals of blocks meet in one partition, one row for block keys. Equal keys all
+    end at the same sum.
     """
     blocked = episodes.withColumn("_block", F.floor(F.col(key) / block))
     totals = blocked.groupBy("_block").agg(F.sum(length).alias("_sum"))
     before = totals.select("_block", (F.sum("_sum").over(Window.orderBy("_block")) - F.col("_sum")).alias("_before"))
     inside = F.sum(length).over(Window.partitionBy("_block").orderBy(key))
-    out = blocked.join(before, "_block").withColumn(end, (inside + F.col("_before")).cast("long"))
-    return out.withColumn(start, (F.col(end) - F.col(length)).cast("long")).select(*episodes.columns, start, end)
+    out = blocked.join(before, "_block").withColumn(end, (inside + F.col("_before")).cast(kind))
+    return out.withColumn(start, (F.col(end) - F.col(length)).cast(kind)).select(*episodes.columns, start, end)
 
 
 def dense_rank_of(keys: DataFrame, key: str = "episode_index", rank: str = "new_index", block: int = BLOCK) -> DataFrame:
@@ -41,19 +44,33 @@ def reindexed(frames: DataFrame, key: str = "episode_index", order: str = "frame
 
 def placed(episodes: DataFrame, key: str, size: str, limit: float, max_episodes: int | None = None, max_frames: int | None = None, frames: str = "length", chunk_files: int = 1000) -> DataFrame:
     """(key, batch, chunk_index, file_index): episodes packed in order, a new file where the current one with the next
-    would pass a limit. The greedy order is sequential, so it folds over the small episode table only.
+    would pass a limit; an episode over a limit has a file to itself.
+
+    From the running sums each episode tells where the next file would begin if it began one itself; following these steps from
+    the first episode, with jumps that double each round, gives the files. No task sees more than a block of episodes.
     """
-    items = episodes.agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(size).cast("double").alias("s"), F.col(frames).cast("long").alias("f")))).alias("e"))
-    empty = F.struct(F.lit(-1).cast("long").alias("b"), F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("f"), F.lit(0).cast("long").alias("n"), F.array().cast("array<struct<k:bigint,b:bigint>>").alias("out"))
-
-    def step(a, x):
-        full = (a.b < 0) | (a.s + x.s > limit)
-        if max_episodes:
-            full = full | (a.n + 1 > max_episodes)
-        if max_frames:
-            full = full | (a.f + x.f > max_frames)
-        b = F.when(full, a.b + 1).otherwise(a.b)
-        return F.struct(b.alias("b"), (F.when(full, 0.0).otherwise(a.s) + x.s).alias("s"), (F.when(full, 0).otherwise(a.f) + x.f).alias("f"), (F.when(full, 0).otherwise(a.n) + 1).alias("n"), F.concat(a.out, F.array(F.struct(x.k.cast("long").alias("k"), b.alias("b")))).alias("out"))
-
-    out = items.select(F.explode(F.aggregate("e", empty, step, lambda a: a.out)).alias("o"))
-    return out.select(F.col("o.k").alias(key), F.col("o.b").alias("batch"), F.floor(F.col("o.b") / chunk_files).alias("chunk_index"), (F.col("o.b") % chunk_files).alias("file_index"))
+    e = episodes.select(key, F.col(size).cast("double").alias("_s"), F.col(frames).cast("long").alias("_f"))
+    e = cut(e.join(dense_rank_of(e, key, "_r"), key), "ranked")
+    sums = cut(with_offsets(with_offsets(e, "_r", "_s", "_s0", "_s1", kind="double"), "_r", "_f", "_f0", "_f1"), "sums")
+
+    def first_over(low: str, high: str, most: float) -> DataFrame:
+        """(_r, _j): the first rank whose sum passes that before _r by more than most, that is the number of sums that don't."""
+        width = max(1.0, float(sums.agg(F.max(high)).first()[0] or 0) / BLOCK)
+        points = sums.select(F.col(high).cast("double").alias("_at"), F.lit(1).cast("long").alias("_one"), F.lit(None).cast("long").alias("_r"))
+        asked = sums.select((F.col(low) + F.lit(most)).cast("double").alias("_at"), F.lit(0).cast("long").alias("_one"), "_r")
+        return with_offsets(points.unionByName(asked), "_at", "_one", "_", "_j", width).where("_r is not null").select("_r", "_j")
+
+    steps = first_over("_s0", "_s1", limit)
+    if max_frames:
+        steps = steps.join(first_over("_f0", "_f1", max_frames).withColumnRenamed("_j", "_k"), "_r").select("_r", F.least("_j", "_k").alias("_j"))
+    most = F.col("_r") + max_episodes if max_episodes else F.col("_j")
+    jump = cut(steps.select("_r", F.greatest(F.col("_r") + 1, F.least("_j", most)).alias("_to")), "steps")
+    starts = sums.where("_r = 0").select("_r")
+    while True:
+        starts = cut(starts.unionByName(starts.join(jump, "_r").select(F.col("_to").alias("_r"))), "starts")
+        jump = cut(jump.join(jump.select(F.col("_r").alias("_to"), F.col("_to").alias("_next")), "_to").select("_r", F.col("_next").alias("_to")), "steps")
+        if jump.where("_r = 0").isEmpty():
+            break
+    flagged = e.join(starts.withColumn("_one", F.lit(1).cast("long")), "_r", "left").fillna(0, ["_one"])
+    batch = with_offsets(flagged, "_r", "_one", "_", "_end").select(key, (F.col("_end") - 1).alias("batch"))
+    return batch.select(key, "batch", F.floor(F.col("batch") / chunk_files).alias("chunk_index"), (F.col("batch") % chunk_files).alias("file_index"))

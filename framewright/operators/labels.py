@@ -7,6 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from framewright.operators.quantiles import exact_quantiles
+from framewright.sources.scratch import cut
+
 STRICT_SUCCESS = ("success", "true", "1", "yes")
 STRICT_FAILURE = ("failure", "fail", "false", "0", "no")
 
@@ -32,9 +35,9 @@ def task_lengths(episodes: DataFrame) -> DataFrame:
     return episodes.groupBy("task_index").agg(F.max("length").alias("task_max_length"))
 
 
-def with_episode_facts(frames: DataFrame, episodes: DataFrame, default_success: str = "failure") -> DataFrame:
-    """frames with length, success and the longest length of the task."""
-    facts = episodes.select("episode_index", "length", F.col("task_index").alias("_task"), (F.coalesce(report_label(F.col("episode_success")), F.lit(default_success)) == "success").alias("success"))
+def with_episode_facts(frames: DataFrame, episodes: DataFrame, default_success: str = "failure", *more: str) -> DataFrame:
+    """frames with length, success and the longest length of the task, and more columns of episodes."""
+    facts = episodes.select("episode_index", "length", F.col("task_index").alias("_task"), (F.coalesce(report_label(F.col("episode_success")), F.lit(default_success)) == "success").alias("success"), *more)
     facts = facts.join(task_lengths(episodes).withColumnRenamed("task_index", "_task"), "_task").drop("_task")
     return frames.join(facts, "episode_index")
 
@@ -84,8 +87,11 @@ def td_target(gamma: float = 0.99, window: int = 1, success_reward: float = 1.0,
 
 
 def task_thresholds(frames: DataFrame, positive_ratio: float = 0.3, value: str = "advantage") -> DataFrame:
-    """(task_index, threshold): the linearly interpolated quantile above which positive_ratio of a task's frames lie; NaN is left out."""
-    return frames.where(~F.isnan(value)).groupBy("task_index").agg(F.percentile(value, F.lit(1 - positive_ratio)).alias("threshold"))
+    """(task_index, threshold): the linearly interpolated quantile above which positive_ratio of a task's frames lie; NaN is left out.
+
+    A task may hold any share of all frames: its values are never in one buffer. frames is read twice.
+    """
+    return exact_quantiles(frames.where(~F.isnan(value)), value, {"threshold": 1 - positive_ratio}, ("task_index",))
 
 
 def binarized(frames: DataFrame, thresholds: DataFrame, intervention: str | None = None, expert: str | None = None, value: str = "advantage", out: str = "indicator") -> DataFrame:
@@ -104,9 +110,11 @@ def episode_any(label: str) -> Column:
 
 
 def labelled(frames: DataFrame, episodes: DataFrame, value: str = "pred_value", n: int = 50, positive_ratio: float = 0.3, c_fail: float = 1.0) -> DataFrame:
-    """The whole chain: target, reward, advantage and indicator of every frame, with one shuffle by episode."""
-    f = with_episode_facts(frames, episodes).withColumn("target", value_target(c_fail))
-    f = f.withColumn("reward", dense_reward())
-    f = n_step_advantage(f, n, "reward", value)
-    experts = episodes.select("episode_index", "is_expert")
-    return binarized(f.join(experts, "episode_index"), task_thresholds(f, positive_ratio), "is_intervention", "is_expert")
+    """The whole chain: target, reward, advantage and indicator of every frame.
+
+    Up to the advantage there is one shuffle of the frames, by episode. That table is written once and read for the thresholds
+    (its task and advantage only) and for the labels, whose join with a row for each task needs no shuffle.
+    """
+    f = with_episode_facts(frames, episodes, "failure", "is_expert").withColumn("target", value_target(c_fail))
+    f = cut(n_step_advantage(f.withColumn("reward", dense_reward()), n, "reward", value), "advantage")
+    return binarized(f, task_thresholds(f, positive_ratio), "is_intervention", "is_expert")

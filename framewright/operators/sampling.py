@@ -4,20 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from framewright.operators.indexing import with_offsets
+
+#: Digests that are counted together, of 2 ** 60: 65,536 blocks.
+BLOCK = 1 << 44
+
+
+#: Hexadecimal digits of a digest that are used: 60 bits.
+DIGITS = 15
+
+
+def digest(seed: int, *keys: Column) -> Column:
+    """A number from 0 to 2 ** 60 - 1 that keys and seed fix, by md5, which other engines have too."""
+    text = F.concat_ws(":", *[k.cast("string") for k in keys], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, DIGITS), 16, 10).cast("long")
+
 
 def chance(key: Column, seed: int) -> Column:
     """A number in [0, 1) that key and seed fix."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) / 1_000_000
+    return (digest(seed, key) % 1_000_000) / 1_000_000
 
 
 def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    """rows in the order of their digests, with their position; positions are summed up in blocks of digests, so that no rows
+    but one for each block meet in one partition."""
+    placed = with_offsets(rows.withColumns({"_d": digest(seed, F.col(key)), "_one": F.lit(1).cast("long")}), "_d", "_one", "position", "_end", BLOCK)
+    return placed.orderBy("_d").drop("_d", "_one", "_end")
 
 
 def sample_with_replacement(rows: DataFrame, batch: int, size: int, seed: int, row_id: str = "index") -> DataFrame:
     """batch draws from the newest size rows of a densely numbered table."""
     n = rows.agg(F.max(row_id)).first()[0] + 1
-    draws = rows.sparkSession.range(batch).select(F.col("id").alias("draw"), (F.lit(max(0, n - size)) + F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(min(n, size)))).alias(row_id))
+    draws = rows.sparkSession.range(batch).select(F.col("id").alias("draw"), (F.lit(max(0, n - size)) + digest(seed, F.col("id")) % min(n, size)).alias(row_id))
     return draws.join(rows, row_id)
 
 
@@ -49,7 +67,7 @@ def evenly_spaced(length: Column, n: Column) -> Column:
 
 def sample_per_episode(rows: DataFrame, fraction: float, seed: int, key: str = "frame_index") -> DataFrame:
     """max(1, floor(n * fraction)) rows of each episode without replacement."""
-    w = Window.partitionBy("episode_index").orderBy(F.xxhash64("episode_index", F.col(key), F.lit(seed)), key)
+    w = Window.partitionBy("episode_index").orderBy(digest(seed, F.col("episode_index"), F.col(key)), key)
     n = F.count("*").over(Window.partitionBy("episode_index"))
     return rows.withColumn("_r", F.row_number().over(w)).withColumn("_n", n).where(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * fraction))).drop("_r", "_n")
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from framewright.operators.quantiles import exact_quantiles
+
 QUANTILES = (0.01, 0.10, 0.50, 0.90, 0.99)
 
 
@@ -23,11 +25,19 @@ def long_vectors(frames: DataFrame, features: list[str], keys: tuple[str, ...] =
 def feature_stats(frames: DataFrame, features: list[str], keys: tuple[str, ...] = (), quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
     """One row for each key, feature and dim: count, min, max, mean, population std and exact quantiles.
 
-    With fewer than two rows the quantiles are the mean. Nulls are left out; NaN counts as the largest number.
+    With fewer than two rows the quantiles are the mean. Nulls are left out; NaN counts as the largest number. With keys, such
+    as an episode, the values of a group are taken together; without, a group holds the whole table and never is in one buffer.
     """
-    g = long_vectors(frames, features, keys).groupBy(*keys, "feature", "dim")
-    out = g.agg(F.count("v").alias("count"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.percentile("v", F.array(*map(F.lit, quantiles))).alias("_q"))
-    return out.select(*keys, "feature", "dim", "count", "min", "max", "mean", "std", *[F.when(F.col("count") < 2, F.col("mean")).otherwise(F.col("_q")[i]).alias(quantile_name(q)) for i, q in enumerate(quantiles)])
+    rows = long_vectors(frames, features, keys)
+    basic = [F.count("v").alias("count"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std")]
+    names = [quantile_name(q) for q in quantiles]
+    if not quantiles:
+        out = rows.groupBy(*keys, "feature", "dim").agg(*basic)
+    elif keys:
+        out = rows.groupBy(*keys, "feature", "dim").agg(*basic, F.percentile("v", F.array(*map(F.lit, quantiles))).alias("_q")).withColumns({n: F.col("_q")[i] for i, n in enumerate(names)})
+    else:
+        out = rows.groupBy("feature", "dim").agg(*basic).join(exact_quantiles(rows, "v", dict(zip(names, quantiles, strict=True)), ("feature", "dim")), ["feature", "dim"], "left")
+    return out.select(*keys, "feature", "dim", "count", "min", "max", "mean", "std", *[F.when(F.col("count") < 2, F.col("mean")).otherwise(F.col(n)).alias(n) for n in names])
 
 
 def positional_stats(frames: DataFrame, feature: str, dims: int) -> DataFrame:
@@ -177,7 +187,8 @@ def latency_summary(rows: DataFrame, value: str, order: str, keys: list[str], la
 
 def length_summary(rows: DataFrame, array: str, reference: Column) -> DataFrame:
     n = F.size(array)
-    return rows.agg(F.avg(n).alias("mean"), F.percentile(n, F.lit(0.99)).alias("p99"), F.min(n).alias("min"), F.max(n).alias("max"), ratio(F.sum(reference), F.sum(n)).alias("ratio"))
+    whole = rows.agg(F.avg(n).alias("mean"), F.min(n).alias("min"), F.max(n).alias("max"), ratio(F.sum(reference), F.sum(n)).alias("ratio"))
+    return whole.crossJoin(F.broadcast(exact_quantiles(rows.select(n.alias("n")), "n", {"p99": 0.99}))).select("mean", "p99", "min", "max", "ratio")  # one row each
 
 
 def finite_bounds(rows: DataFrame, series: list[str], pad: float = 0.5) -> DataFrame:

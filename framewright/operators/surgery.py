@@ -127,6 +127,19 @@ def split_labels(episodes: DataFrame, fractions: dict[str, float]) -> DataFrame:
     return dense_rank_of(episodes, rank="_r").select("episode_index", label.alias("split"))
 
 
+def split_datasets(frames: DataFrame, episodes: DataFrame, lists: DataFrame) -> dict[str, DataFrame]:
+    """The frames of each split, densely renumbered, from lists (episode_index, split).
+
+    An episode in two splits or an unknown one raises ValueError, and so do no lists at all.
+    """
+    found = lists.groupBy("episode_index").agg(F.count_distinct("split").alias("n")).join(episodes.select("episode_index", F.lit(1).alias("there")), "episode_index", "left")
+    bad = found.agg(F.count("*").alias("all"), F.count_if((F.col("n") > 1) | F.col("there").isNull()).alias("bad")).first()
+    if not bad["all"] or bad.bad:
+        raise ValueError("splits must be disjoint lists of existing episodes")
+    names = sorted(r.split for r in lists.select("split").distinct().collect())  # a few names
+    return {name: reindexed(frames.join(lists.where(F.col("split") == name).select("episode_index").distinct(), "episode_index", "left_semi"))[0] for name in names}
+
+
 def retasked(episodes: DataFrame, default: str | None = None, overrides: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """episodes (with tasks) given one task each: its override, else the default, else its first task; and the task table, ids by name."""
     e = episodes.join(overrides.select("episode_index", F.col("task").alias("_o")), "episode_index", "left") if overrides is not None else episodes.withColumn("_o", F.lit(None).cast("string"))
@@ -169,6 +182,20 @@ def check_episode(buffer: DataFrame, next_episode: int, features: set[str]) -> N
         raise ValueError("not the next episode with the dataset's features")
 
 
+def checked_episodes(buffer: DataFrame, features: set[str], next_episode: int | None = None) -> DataFrame:
+    """(episode_index, n) of a buffer of whole episodes; raises ValueError for other features, and when the result is read for
+    an episode whose frames aren't 0, 1, ... or, with next_episode, ids that aren't the next ones in a row."""
+    if set(buffer.columns) != features:
+        raise ValueError("not the dataset's features")
+    if next_episode is not None:
+        ids = buffer.agg(F.min("episode_index").alias("lo"), F.max("episode_index").alias("hi"), F.count_distinct("episode_index").alias("n")).first()
+        if not ids.n or ids.lo != next_episode or ids.hi != next_episode + ids.n - 1:
+            raise ValueError("not the next episodes")
+    e = buffer.groupBy("episode_index").agg(F.count("*").alias("n"), F.min("frame_index").alias("_lo"), F.max("frame_index").alias("_hi"), F.sum("frame_index").alias("_sum"))
+    whole = (F.col("_lo") == 0) & (F.col("_hi") == F.col("n") - 1) & (F.col("_sum") == F.col("n") * (F.col("n") - 1) / 2)
+    return e.select("episode_index", F.when(whole, F.col("n")).otherwise(F.raise_error(F.concat(F.lit("frames are missing in episode "), F.col("episode_index").cast("string"))).cast("long")).alias("n"))
+
+
 def without_nan(rows: DataFrame, *vectors: str) -> DataFrame:
     bad = reduce(lambda a, b: a | b, [F.exists(F.col(v), F.isnan) for v in vectors])
     return rows.where(~F.coalesce(bad, F.lit(False)))

@@ -31,9 +31,9 @@ def f01_normalized_mean_std(spark, sf):
     return _li(spark, sf, V.normalized(F.col("state"), "MEAN_STD", _ST))
 
 
-@query(_norm(f"2 * (state[i] - {_ST['q10']}[i]) / case when {_ST['q90']}[i] = {_ST['q10']}[i] then 1e-8 else {_ST['q90']}[i] - {_ST['q10']}[i] end - 1").replace(", 6)", ", -2)"))
+@query(_norm(f"2 * (state[i] - {_ST['q10']}[i]) / case when {_ST['q90']}[i] = {_ST['q10']}[i] then 1e-8 else {_ST['q90']}[i] - {_ST['q10']}[i] end - 1").replace(", 6)", ", 3)"))
 def f01_normalized_quantile10(spark, sf):
-    return frames_li(spark, sf).select("episode_index", "frame_index", F.transform(V.normalized(F.col("state"), "QUANTILE10", _ST), lambda v: F.round(v, -2) + 0.0).alias("v"))
+    return frames_li(spark, sf).select("episode_index", "frame_index", F.transform(V.normalized(F.col("state"), "QUANTILE10", _ST), lambda v: F.round(v, 3) + 0.0).alias("v"))
 
 
 @query(_norm("state[i]"))
@@ -98,10 +98,10 @@ def f11_advantage_tag(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", X.advantage_tag(task, F.col("turn") % 2 == 1).alias("tagged"))
 
 
-@query("select d.doc_id, left(text, 20) || case when d.doc_id % 10 < 3 then '' else chr(10) || 'Advantage: ' || case when quality = 1 then 'positive' else 'negative' end end as tagged from documents d join labels l on d.doc_id = l.doc_id where quality in (0, 1)")
+@query("select d.doc_id, text || case when d.doc_id % 10 < 3 then '' else chr(10) || 'Advantage: ' || case when quality = 1 then 'positive' else 'negative' end end as tagged from documents d join labels l on d.doc_id = l.doc_id where quality in (0, 1)")
 def f12_tag_with_dropout(spark, sf):
     d = table(spark, sf, "documents").join(table(spark, sf, "labels").where("quality in (0, 1)"), "doc_id")
-    return d.select("doc_id", X.tag_with_dropout(F.left("text", F.lit(20)), F.col("quality"), (F.col("doc_id") % 10) / 10, 0.3).alias("tagged"))
+    return d.select("doc_id", X.tag_with_dropout(F.col("text"), F.col("quality"), (F.col("doc_id") % 10) / 10, 0.3).alias("tagged"))
 
 
 @query("select conv_id, turn, case when text like '%' || chr(10) then text else text || chr(10) end as a, case when text like '%.' then text else text || '.' end as b, regexp_replace(lower(text), '[^\\p{L}\\p{N}_\\s]', '', 'g') as c from conversations")
@@ -173,21 +173,29 @@ def f26_collector(spark, sf):
     return frames_ev(spark, sf).select("index", X.collector(F.col("frame_index") > 5, F.col("is_intervention") > 0, F.col("frame_index") % 2 == 0, "policy", "human").alias("collector"))
 
 
-@query(vec("select vec_id, [round(x, 6) for x in state[1:3]] as rotated from vectors"))
+_Q = "[state[i] / sqrt(list_sum([y * y for y in state[4:7]])) for i in [4, 5, 6, 7]]"
+#: v rotated by q = (u, w): v + 2 u x (u x v + w v)
+_ROTATED = """, q as (select vec_id, state[1:3] as v, {q} as q from vectors),
+t as (select *, [q[2] * v[3] - q[3] * v[2] + q[4] * v[1], q[3] * v[1] - q[1] * v[3] + q[4] * v[2], q[1] * v[2] - q[2] * v[1] + q[4] * v[3]] as t from q),
+r as (select vec_id, q, [v[1] + 2 * (q[2] * t[3] - q[3] * t[2]), v[2] + 2 * (q[3] * t[1] - q[1] * t[3]), v[3] + 2 * (q[1] * t[2] - q[2] * t[1])] as r, v from t)""".replace("{q}", _Q)
+
+
+@query(vec(f"{_ROTATED} select vec_id, [round(x, 6) for x in r] as rotated, [round(x, 6) for x in v] as back from r"))
 def f27_rotation_round_trip(spark, sf):
-    """Rotated by a quaternion made of other numbers, and back by its inverse, through a matrix and a rotation vector."""
+    """Rotated by a quaternion made of other numbers, through a matrix and a rotation vector, and back by its inverse."""
     q = R.unit(F.slice("state", 4, 4))
-    back = R.inverse(R.quat_of_rotvec(R.rotvec_of_quat(R.quat_of_matrix(R.matrix_of_quat(q)))))
-    v = vectors(spark, sf).select("vec_id", F.slice("state", 1, 3).alias("v"), q.alias("q"), back.alias("b"))
+    again = R.quat_of_rotvec(R.rotvec_of_quat(R.quat_of_matrix(R.matrix_of_quat(q))))
+    v = vectors(spark, sf).select("vec_id", F.slice("state", 1, 3).alias("v"), again.alias("q"))
     v = v.withColumn("r", R.applied(F.col("q"), F.col("v")))
-    return v.select("vec_id", r6(R.applied(F.col("b"), F.col("r"))).alias("rotated"))
+    return v.select("vec_id", r6(F.col("r")).alias("rotated"), r6(R.applied(R.inverse(F.col("q")), F.col("r"))).alias("back"))
 
 
-@query(vec(", q as (select vec_id, [state[i] / sqrt(list_sum([y * y for y in state[4:7]])) for i in [4, 5, 6, 7]] as q from vectors) select vec_id, [0.0, 0.0, 0.0, 1.0] as composed from q"))
+@query(vec(""", q as (select vec_id, {q} as q, [state[i] / sqrt(list_sum([y * y for y in state[8:11]])) for i in [8, 9, 10, 11]] as p from vectors)
+select vec_id, [round(x, 6) for x in [p[4] * q[1] + p[1] * q[4] + p[2] * q[3] - p[3] * q[2], p[4] * q[2] + p[2] * q[4] + p[3] * q[1] - p[1] * q[3], p[4] * q[3] + p[3] * q[4] + p[1] * q[2] - p[2] * q[1],
+  p[4] * q[4] - p[1] * q[1] - p[2] * q[2] - p[3] * q[3]]] as composed from q""".replace("{q}", _Q)))
 def f27_rotation_composed(spark, sf):
-    q = vectors(spark, sf).select("vec_id", R.unit(F.slice("state", 4, 4)).alias("q"))
-    c = R.composed(F.col("q"), R.inverse(F.col("q")))
-    return q.select("vec_id", F.transform(c, lambda v: F.round(v, 6) + 0.0).alias("composed"))
+    q = vectors(spark, sf).select("vec_id", R.unit(F.slice("state", 4, 4)).alias("q"), R.unit(F.slice("state", 8, 4)).alias("p"))
+    return q.select("vec_id", r6(R.composed(F.col("p"), F.col("q"))).alias("composed"))
 
 
 @query(vec("""select vec_id, [round(q[i] * 2 * acos(greatest(-1.0, least(1.0, q[4]))) / sqrt(1 - q[4] * q[4]), 6) for i in [1, 2, 3]] as axis_angle
@@ -197,17 +205,19 @@ def f28_quat_to_axis_angle(spark, sf):
     return q.select("vec_id", r6(R.axis_angle_of_quat(F.col("q"))).alias("axis_angle"))
 
 
-@query(vec(", a as (select vec_id, [state[i] / sqrt(list_sum([y * y for y in state[1:3]])) for i in [1, 2, 3]] as a from vectors) select vec_id, [round(x, 6) for x in a] as a, case when a[1] > 0.5 then 1.0 else -1.0 end::double as grip from a"))
+@query(vec(""", a as (select vec_id, [x / sqrt(list_sum([y * y for y in state[1:3]])) for x in state[1:3]] as a, state[4:6] as s from vectors),
+b as (select vec_id, a, [s[i] - a[i] * (a[1] * s[1] + a[2] * s[2] + a[3] * s[3]) for i in [1, 2, 3]] as b from a),
+u as (select vec_id, a, [x / sqrt(b[1] * b[1] + b[2] * b[2] + b[3] * b[3]) for x in b] as b from b)
+select vec_id, [round(x, 6) for x in list_concat(a, b)] as six, [round(x, 6) for x in [a[2] * b[3] - a[3] * b[2], a[3] * b[1] - a[1] * b[3], a[1] * b[2] - a[2] * b[1]]] as third, case when a[1] > 0.5 then 1.0 else -1.0 end::double as grip from u"""))
 def f28_six_to_matrix(spark, sf):
     m = vectors(spark, sf).select("vec_id", R.matrix_of_six(F.slice("state", 1, 6)).alias("m"))
-    again = R.six_of_matrix(F.col("m"))
-    return m.select("vec_id", r6(F.slice(again, 1, 3)).alias("a"), R.binary_gripper(F.col("m")[0][0]).alias("grip"))
+    return m.select("vec_id", r6(R.six_of_matrix(F.col("m"))).alias("six"), r6(F.transform("m", lambda r: r[2])).alias("third"), R.binary_gripper(F.col("m")[0][0]).alias("grip"))
 
 
-@query(vec("select vec_id, [round(x, 6) for x in state[1:3]] as position, 7 as n from vectors"))
+@query(vec(f", q as (select vec_id, state, {_Q} as q from vectors) select vec_id, [round(x, 6) for x in list_concat(state[1:3], [q[i] * 2 * acos(greatest(-1.0, least(1.0, q[4]))) / sqrt(1 - q[4] * q[4]) for i in [1, 2, 3]], state[8:8])] as pose from q"))
 def f29_pose_state(spark, sf):
     s = R.pose_state(F.slice("state", 1, 3), R.unit(F.slice("state", 4, 4)), F.slice("state", 8, 1))
-    return vectors(spark, sf).select("vec_id", s.alias("s")).select("vec_id", r6(F.slice("s", 1, 3)).alias("position"), F.size("s").alias("n"))
+    return vectors(spark, sf).select("vec_id", r6(s).alias("pose"))
 
 
 @query(ev("select index, x as \"a/x\", label as \"a/b/label\" from frames_ev"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from framewright.functions.vectors import real_dims
 from framewright.operators import labels as L, stats as S, windows as W
@@ -41,8 +41,6 @@ def s03_manifest_round_trip(spark, sf):
 
 @query("select o_orderpriority as task, row_number() over (order by o_orderpriority) - 1 as task_index from (select distinct o_orderpriority from orders)")
 def s04_task_scan(spark, sf):
-    from pyspark.sql import Window
-
     root = new_folder(spark, "tasks")
     t = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("__index_level_0__")).distinct()
     t.withColumn("task_index", (F.row_number().over(Window.orderBy("__index_level_0__")) - 1).cast("long")).write.parquet(f"{root}/meta/tasks.parquet")
@@ -64,10 +62,53 @@ def s06_named_tasks(spark, sf):
     return D.named_tasks(e, t)
 
 
-@query(ev("select count(*) as n, sum(index)::bigint as total from frames_ev"))
+_ROTATED = """, r as (select episode_index, length, length * 24 as bytes, row_number() over (order by episode_index) as r from episodes_ev),
+p as (select r, episode_index, bytes, 0::bigint as b, bytes as s from r where r = 1 union all
+  select r.r, r.episode_index, r.bytes, case when p.s + r.bytes > 5242 then p.b + 1 else p.b end, case when p.s + r.bytes > 5242 then r.bytes else p.s + r.bytes end from p join r on r.r = p.r + 1)
+select b // 4 as chunk_index, b % 4 as file_index, min(p.episode_index) as first_episode, count(distinct p.episode_index) as episodes, count(*) as rows, sum(index)::bigint as total from p join frames_ev using (episode_index) group by b"""
+
+
+@query(ev(_ROTATED).replace("with episodes_ev", "with recursive episodes_ev", 1))
 def s08_rotated_files(spark, sf):
-    root = _written(spark, sf)
-    return spark.read.parquet(f"{root}/data").agg(F.count("*").alias("n"), F.sum("index").alias("total"))
+    """Three columns of 8 bytes in files of 0.005 MB at most, four files a chunk; the map says what the files hold."""
+    root = new_folder(spark, "rotated")
+    place = D.write_rotated(frames_ev(spark, sf).select("index", "episode_index", "x"), root, 0.005, 4)
+    held = spark.read.parquet(f"{root}/data").groupBy("chunk_index", "file_index", "episode_index").agg(F.count("*").alias("n"), F.sum("index").alias("t"))
+    held = held.join(place, ["chunk_index", "file_index", "episode_index"]).groupBy(F.col("chunk_index").cast("long").alias("chunk_index"), F.col("file_index").cast("long").alias("file_index"))
+    return held.agg(F.min("episode_index").alias("first_episode"), F.count("*").alias("episodes"), F.sum("n").alias("rows"), F.sum("t").alias("total"))
+
+
+_TWICE = """, f as (select *, dense_rank() over (partition by episode_index % 2 order by episode_index) - 1 as e, row_number() over (partition by episode_index % 2 order by episode_index, frame_index) - 1 as i from frames_ev),
+n as (select count(distinct episode_index) as e, count(*) as i from frames_ev where episode_index % 2 = 0),
+g as (select f.e + case when episode_index % 2 = 1 then n.e else 0 end as e, f.i + case when episode_index % 2 = 1 then n.i else 0 end as i, x, label from f, n)"""
+
+
+@query(ev(_TWICE + " select e as episode_index, count(*) as length, min(i) as dataset_from_index, max(i) + 1 as dataset_to_index, list_sort(list(distinct label)) as tasks from g group by e"))
+def s10_appended_episodes(spark, sf):
+    """A dataset begun with half of the episodes; the others appended to what is stored."""
+    return D.stored(spark, _appended(spark, sf))["episodes"].select("episode_index", "length", "dataset_from_index", "dataset_to_index", "tasks")
+
+
+@query(ev(_TWICE + " select 'x' as feature, 0 as dim, count(*) as count, min(x) as min, max(x) as max, round(avg(x), 6) as mean, round(stddev_pop(x), 6) as std from g"))
+def s10_appended_stats(spark, sf):
+    """The statistics merged on appending are those of all frames."""
+    s = D.stored(spark, _appended(spark, sf))["stats"]
+    return s.select("feature", "dim", "count", "min", "max", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+def _appended(spark, sf):
+    root = new_folder(spark, "growing")
+    buffer = frames_ev(spark, sf).select(F.col("episode_index").alias("source"), F.col("frame_index").alias("step"), F.col("label").alias("task"), "x")
+    for half in (0, 1):
+        D.appended(spark, root, buffer.where(F.col("source") % 2 == half), 30, ["x"])
+    return root
+
+
+@query(ev("select index, x::float as x from frames_ev where index % 3 = 0"))
+def s11_sidecar_round_trip(spark, sf):
+    root = new_folder(spark, "sidecar")
+    D.write_sidecar(root, "a", frames_ev(spark, sf).where("index % 3 = 0").select("index", "x"))
+    return D.all_sidecars(spark, root, ["a"])[0]
 
 
 @query(ev(", t as (select label as task, row_number() over (order by min(index)) - 1 as task_index from frames_ev group by 1), r as (select episode_index, dense_rank() over (order by episode_index) - 1 as e, index, frame_index, x, label from frames_ev) select index, e as episode_index, frame_index, frame_index / 30 as timestamp, task_index, x from r join t on label = task"))
@@ -115,11 +156,16 @@ def s17_imported_episodes(spark, sf):
     return D.imported_episodes(r, "path").select("episode", "frame_index", "state", "success")
 
 
-@query("""with l as (select event_id as slot, (event_id - (4000 - 5000)) % 10000 as age, event_type = 'purchase' as done from events where event_id < 10000), k as (select slot, case when age < 0 then age + 10000 else age end as age, done from l), r as (select * from k where age < 5000),
-e as (select slot, age, coalesce(sum(done::int) over (order by age rows between unbounded preceding and 1 preceding), 0)::bigint as episode_index from r) select slot, episode_index, row_number() over (partition by episode_index order by age) - 1 as frame_index from e""")
+@query("""with l as (select user_id as ring, row_number() over (partition by user_id order by event_id) - 1 as n, event_type = 'purchase' as done from events),
+m as (select *, max(n) over (partition by ring) as last from l), k as (select ring, n % 40 as slot, done, (n % 40 - (13 - 40) + 40) % 40 as age from m where n > last - 40),
+e as (select ring, slot, age, coalesce(sum(done::int) over (partition by ring order by age rows between unbounded preceding and 1 preceding), 0)::bigint as episode_index from k)
+select ring, slot, episode_index, row_number() over (partition by ring, episode_index order by age) - 1 as frame_index from e""")
 def s18_exported_log(spark, sf):
-    log = table(spark, sf, "events").where("event_id < 10000").select(F.col("event_id").alias("slot"), (F.col("event_type") == "purchase").alias("done"), F.lit(False).alias("truncated"))
-    return D.exported_log(log, 10_000, 4_000, 5_000).select("slot", "episode_index", "frame_index")
+    """A ring of 40 slots for each user, holding the newest of all their events, read from slot 13 on."""
+    by = Window.partitionBy("user_id")
+    log = table(spark, sf, "events").select(F.col("user_id").alias("ring"), (F.row_number().over(by.orderBy("event_id")) - 1).alias("n"), F.count("*").over(by).alias("c"), (F.col("event_type") == "purchase").alias("done"))
+    log = log.where("n >= c - 40").select("ring", (F.col("n") % 40).cast("long").alias("slot"), "done", F.lit(False).alias("truncated"))
+    return D.exported_log(log, 40, 13, 40).select("ring", "slot", "episode_index", "frame_index")
 
 
 @query(ev(", k as (select *, case when frame_index % 5 = 2 then x / 500 end as y from frames_ev) select index, episode_index, frame_index, round(y, 6) as progress_sparse from k where y is not null"))

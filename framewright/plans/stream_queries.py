@@ -1,4 +1,4 @@
-"""Queries of the streams: each runs over all its files at once and gives what it wrote."""
+"""Queries of the streams: each reads one file a batch, so that state is carried on, and gives what it wrote."""
 
 from __future__ import annotations
 
@@ -8,16 +8,26 @@ from framewright.operators import labels as L, sampling as T
 from framewright.plans.registry import query
 from framewright.plans.views import episodes_ev, ev, frames_ev, gap, table
 from framewright.sources import dataset as D
-from framewright.sources.scratch import new_folder
+from framewright.sources.scratch import cut, new_folder
 from framewright.streaming import stateful as R
 
 
-def _source(rows: DataFrame, files: int = 4) -> DataFrame:
-    """rows as a stream of files, each a slice of time."""
-    root = new_folder(rows.sparkSession, "stream")
-    rows.repartitionByRange(files, "_seq").sortWithinPartitions("_seq").write.parquet(f"{root}/data")
-    schema = rows.sparkSession.read.parquet(f"{root}/data").schema
-    return D.stream_frames(rows.sparkSession, root, schema, files_per_trigger=1_000)
+#: Rows of a slice, about; there are four slices at least.
+SLICE_ROWS = 1_000_000
+
+
+def _source(rows: DataFrame) -> DataFrame:
+    """rows as a stream of files, each a slice of _seq and one batch: the files are written one after the other, as they would
+    come, since a stream takes files by the time they were written."""
+    spark, root = rows.sparkSession, new_folder(rows.sparkSession, "stream")
+    rows = cut(rows, "rows")
+    found = rows.agg(F.min("_seq").alias("lo"), F.max("_seq").alias("hi"), F.count("*").alias("n")).first()
+    slices = max(4, -(-found.n // SLICE_ROWS))
+    width = ((found.hi or 0) - (found.lo or 0)) // slices + 1
+    for k in range(slices):
+        low = (found.lo or 0) + k * width
+        rows.where((F.col("_seq") >= low) & (F.col("_seq") < low + width)).coalesce(1).sortWithinPartitions("_seq").write.mode("append").parquet(f"{root}/data")
+    return D.stream_frames(spark, root, rows.schema, files_per_trigger=1)
 
 
 def _run(df: DataFrame) -> DataFrame:
@@ -52,13 +62,21 @@ def r03_transition_routing(spark, sf):
     return online.select("index").join(both, "index", "left").groupBy(F.coalesce("place", F.lit("online")).alias("place")).agg(F.count("*").alias("n"))
 
 
-@query(ev(", m as (select episode_index, max(frame_index) as last from frames_ev group by 1) select f.episode_index as robot, f.frame_index + 2 as timestep, f.x as action from frames_ev f join m using (episode_index) where f.frame_index + 2 <= last - 1"))
+@query(ev(""", m as (select episode_index, max(frame_index) as last from frames_ev group by 1), n as (select f.*, lag(x) over (partition by episode_index order by frame_index) as before, m.last from frames_ev f join m using (episode_index))
+select episode_index as robot, frame_index + 2 as timestep, round(case when before is null then x else 0.3 * (before + 1) + 0.7 * x end, 6) as action from n where frame_index + 2 <= last - 1"""))
 def r04_stream_action_merge(spark, sf):
-    f = frames_ev(spark, sf).select(F.col("episode_index").alias("robot"), F.col("frame_index").alias("seq"), (F.col("frame_index") + 2).alias("timestep"), F.col("x").alias("action"), (F.col("frame_index") - 1).alias("taken"), F.col("frame_index").alias("_seq"))
-    return _run(R.merge_actions(_source(f), lambda old, new: 0.3 * old + 0.7 * new))
-
-
-@query()
+    """A frame sends the actions of two timesteps ahead and one that is already taken: the first overlaps with what the frame before sent."""
+    e = episodes_ev(spark, sf).select("episode_index", (F.col("length") - 1).alias("_last"))
+    f = frames_ev(spark, sf).join(e, "episode_index").select(F.col("episode_index").alias("robot"), F.col("frame_index").alias("seq"), "x", (F.col("frame_index") == F.col("_last")).alias("over"))
+    sent = F.explode(F.array(*[F.struct((F.col("seq") + d).alias("timestep"), (F.col("x") + more).alias("action")) for d, more in ((2, 0.0), (3, 1.0), (-2, 9.0))]))
+    chunks = f.select("robot", "seq", "over", sent.alias("c")).select("robot", "seq", "c.timestep", "c.action", (F.col("seq") - 1).alias("taken"), "over", F.col("seq").alias("_seq"))
+    return _run(R.merge_actions(_source(chunks), lambda old, new: 0.3 * old + 0.7 * new, "over")).withColumn("action", F.round("action", 6))
+
+
+@query(ev(""", o as (select episode_index as robot, frame_index as timestep, x, label = 'error' as must_go from frames_ev),
+k as (select robot, timestep, x, true as kept, x as last from o where timestep = 0
+  union all select o.robot, o.timestep, o.x, o.must_go or abs(o.x - k.last) >= 20, case when o.must_go or abs(o.x - k.last) >= 20 then o.x else k.last end from k join o on o.robot = k.robot and o.timestep = k.timestep + 1)
+select robot, timestep, x from k where kept""").replace("with episodes_ev", "with recursive episodes_ev", 1))
 def r05_observation_deduplication(spark, sf):
     f = frames_ev(spark, sf).select(F.col("episode_index").alias("robot"), F.col("frame_index").alias("timestep"), "x", (F.col("label") == "error").alias("must_go"), F.col("frame_index").alias("_seq"))
     return _run(R.distinct_observations(_source(f), 20.0))
@@ -70,23 +88,29 @@ def r06_episode_sessions(spark, sf):
     return _run(R.episodes_of(_source(f)))
 
 
-@query(ev("select episode_index, frame_index, round((x - coalesce(lag(x) over (partition by episode_index order by frame_index), x)) / 0.1, 6) as velocity from frames_ev"))
+@query(ev(""", p as (select *, coalesce(lag(x) over w, x) as before, is_intervention > 0.5 as e, coalesce(lag(is_intervention > 0.5) over w, false) as was from frames_ev window w as (partition by episode_index order by frame_index))
+select episode_index, frame_index, round((x - before) / 0.1, 6) as velocity, abs(x - before) > 100 as jumped, frame_index + 1 as step,
+  coalesce(last_value(case when e and not was then x end ignore nulls) over (partition by episode_index order by frame_index rows unbounded preceding), 0) as held from p"""))
 def r09_stream_velocity(spark, sf):
-    f = frames_ev(spark, sf).select("episode_index", "frame_index", "x", F.col("frame_index").alias("_seq"))
-    return _run(R.differences(_source(f), 0.1)).withColumn("velocity", F.round("velocity", 6))
+    e = episodes_ev(spark, sf).select("episode_index", (F.col("length") - 1).alias("_last"))
+    f = frames_ev(spark, sf).join(e, "episode_index").select("episode_index", "frame_index", "x", (F.col("is_intervention") > 0.5).alias("enabled"), (F.col("frame_index") == F.col("_last")).alias("over"), F.col("frame_index").alias("_seq"))
+    return _run(R.stepwise(_source(f), 0.1, 100.0, "over")).withColumn("velocity", F.round("velocity", 6))
 
 
 @query(ev(", l as (select episode_index as robot, x, row_number() over (partition by episode_index order by frame_index desc) as r from frames_ev) select robot, least(30, count(*)) as n, max(x) filter (r <= 30) as max from l group by 1"))
 def r10_latency_ring(spark, sf):
+    """What was given out last for each robot, after several batches."""
     f = frames_ev(spark, sf).select(F.col("episode_index").alias("robot"), F.col("frame_index").alias("seq"), F.col("x").alias("value"), F.col("frame_index").alias("_seq"))
-    return _run(R.latency(_source(f), 30))
+    return _run(R.latency(_source(f), 30)).groupBy("robot").agg(F.max_by("n", "seq").alias("n"), F.max_by("max", "seq").alias("max"))
 
 
-@query()
+@query("""with w as (select time_bucket(interval '1 hour', ts) as start, count(*) as n, round(avg(value), 6) as mean from events group by 1)
+select start, n, mean from w where start + interval '1 hour' <= (select max(ts) from events) - interval '10 minutes'""")
 def r10_latency_windows(spark, sf):
+    """The windows that the watermark has closed; no row is late."""
     e = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "value", F.col("event_id").alias("_seq"))
     w = _run(R.windowed_latency(_source(e)))
-    return w.select(F.col("window.start").alias("start"), "n", F.round("mean", 6).alias("mean"))
+    return w.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n", F.round("mean", 6).alias("mean"))
 
 
 @query(ev("select index, x from frames_ev where index > (select max(index) from frames_ev) - 777"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from framewright.operators import indexing as I, sampling as T, stats as S, surgery as G
+from framewright.operators import indexing as I, sampling as T, stats as S, steps as P, surgery as G
 from framewright.plans.registry import query
 from framewright.plans.views import episodes_ev, ev, frames_ev, frames_gap, frames_li, gap, li, table, vec, vectors
+from framewright.sources.schema import schema_of
 
 
 @query(ev("select index, x, x * 2 as doubled from frames_ev"))
@@ -73,6 +74,15 @@ def p14_split_labels(spark, sf):
     return G.split_labels(episodes_ev(spark, sf), {"train": 0.7, "val": 0.2, "test": 0.05})
 
 
+@query(ev(", l as (select episode_index, case when episode_index % 4 = 1 then 'val' when episode_index % 4 > 1 then 'train' end as split from episodes_ev), k as (select f.*, split, dense_rank() over (partition by split order by episode_index) - 1 as e, row_number() over (partition by split order by episode_index, frame_index) - 1 as i from frames_ev f join l using (episode_index) where split is not null) select split, i as index, e as episode_index, frame_index, x from k"))
+def p14_split_datasets(spark, sf):
+    """Splits by lists of episodes, each a dataset of its own; episodes in no list are in none."""
+    e = episodes_ev(spark, sf)
+    lists = e.where("episode_index % 4 > 0").select("episode_index", F.when(F.col("episode_index") % 4 == 1, "val").otherwise("train").alias("split"))
+    parts = G.split_datasets(frames_ev(spark, sf).select("index", "episode_index", "frame_index", "x"), e, lists)
+    return parts["train"].withColumn("split", F.lit("train")).unionByName(parts["val"].withColumn("split", F.lit("val")))
+
+
 @query(ev(", t as (select episode_index, case when episode_index % 10 = 3 then 'override' when episode_index % 2 = 0 then 'even' else 'odd' end as task from episodes_ev) select episode_index, task, dense_rank() over (order by task) - 1 as task_index from t"))
 def p15_modified_tasks(spark, sf):
     e = episodes_ev(spark, sf).select("episode_index", F.array(F.when(F.col("episode_index") % 2 == 0, "even").otherwise("odd")).alias("tasks"))
@@ -92,11 +102,11 @@ def p17_frame_violations(spark, sf):
     return G.violations(c, {"sized": {"dtype": "float32", "shape": (2,)}, "missing_one": {"dtype": "float32", "shape": (1,)}})
 
 
-@query(ev("select episode_index, count(*) as n from frames_ev where episode_index = 7 group by 1"))
+@query(ev("select episode_index, count(*) as n from frames_ev group by 1"))
 def p18_checked_episode(spark, sf):
-    b = frames_ev(spark, sf).where("episode_index = 7").select("episode_index", "frame_index", "x")
-    G.check_episode(b, 7, {"episode_index", "frame_index", "x"})
-    return b.groupBy("episode_index").agg(F.count("*").alias("n"))
+    """All episodes of the buffer at once; a fault of any raises."""
+    b = frames_ev(spark, sf).select("episode_index", "frame_index", "x")
+    return G.checked_episodes(b, {"episode_index", "frame_index", "x"})
 
 
 @query(li("select episode_index, frame_index from frames_li where frame_index % 5 <> 1"))
@@ -225,10 +235,10 @@ def u04_common_features(spark, sf):
     return G.multi_dataset(a, b)
 
 
-@query(ev("select index, x, null as bonus from frames_ev where index < 100 union all select index, x, pred_value from frames_ev where index >= 9000"))
+@query(ev("select index, x, null as bonus from frames_ev where episode_index % 3 = 0 union all select index, x, pred_value from frames_ev where episode_index % 3 > 0"))
 def u05_concatenated_batches(spark, sf):
     f = frames_ev(spark, sf)
-    return G.concatenated_batches(f.where("index < 100").select("index", "x"), f.where("index >= 9000").select("index", "x", F.col("pred_value").alias("bonus")))
+    return G.concatenated_batches(f.where("episode_index % 3 = 0").select("index", "x"), f.where("episode_index % 3 > 0").select("index", "x", F.col("pred_value").alias("bonus")))
 
 
 @query(ev("select 'x' as feature, count(*) as count, max(x) as max from frames_ev union all select 'is_intervention', count(*), max(is_intervention) from frames_ev where episode_index < 20"))
@@ -242,3 +252,44 @@ def u06_stats_key_union(spark, sf):
 def u07_optional_metadata(spark, sf):
     e = episodes_ev(spark, sf).drop("task_index").withColumn("stats/x/max", F.lit(1.0)).withColumn("data/file_index", F.lit(0))
     return G.optional_metadata(e)
+
+
+@query(ev("select 'x' as feature, 'float' as kind, count(x) as n from frames_ev union all select 'index', 'bigint', count(index) from frames_ev union all select 'pair', 'array<float>', count(*) from frames_ev union all select 'label', 'string', count(label) from frames_ev"))
+def p01_declared_schema(spark, sf):
+    """The columns that a feature dictionary declares, with their types, and how many rows have them; a video has no column."""
+    features = {"x": {"dtype": "float32", "shape": (1,)}, "index": {"dtype": "int64", "shape": (1,)}, "pair": {"dtype": "float32", "shape": (2,)}, "label": {"dtype": "string", "shape": (1,)}, "cam": {"dtype": "video", "shape": (3, 8, 8)}}
+    f = frames_ev(spark, sf).withColumn("pair", F.array("x", "pred_value"))
+    fields = schema_of(features).fields
+    typed = f.select([F.col(x.name).cast(x.dataType).alias(x.name) for x in fields])
+    rows = F.array(*[F.struct(F.lit(x.name).alias("feature"), F.lit(x.dataType.simpleString()).alias("kind"), F.count(x.name).alias("n")) for x in fields])
+    return typed.agg(rows.alias("r")).select(F.explode("r").alias("r")).select("r.*")
+
+
+@query(ev("select index, [x, pred_value] as \"observation.state\", [x * 2] as action from frames_ev"))
+def p07_combined_features(spark, sf):
+    """The vectors that combined feature dictionaries ask for, packed from their named numbers."""
+    spec = G.combine_features({"observation.state": {"dtype": "float32", "shape": (1,), "names": ["x"]}}, {"observation.state": {"dtype": "float32", "shape": (2,), "names": ["x", "pred_value"]}, "action": {"dtype": "float32", "shape": (1,), "names": ["double_x"]}})
+    f = frames_ev(spark, sf).withColumn("double_x", F.col("x") * 2)
+    return f.select("index", *[F.array(*s["names"]).alias(name) for name, s in spec.items()])
+
+
+@query(ev("select index, x / 10 as state, greatest(-1.0, least(1.0, pred_value)) as action, case when is_intervention > 0.5 then 0 else -pred_value end as reward, frame_index + 1 = (select max(length) from episodes_ev e where e.episode_index = f.episode_index) as done from frames_ev f where is_intervention < 2"))
+def x03_field_steps(spark, sf):
+    """One step for each field of a transition."""
+    e = episodes_ev(spark, sf).select("episode_index", "length")
+    f = frames_ev(spark, sf).join(e, "episode_index")
+    rows = f.select("index", F.struct(F.col("x").alias("state")).alias("observation"), F.col("pred_value").alias("action"), (-F.col("pred_value")).alias("reward"), F.lit(False).alias("done"), F.struct("is_intervention", (F.col("frame_index") + 1 == F.col("length")).alias("last")).alias("info"))
+    steps = [
+        ("scale", P.on_field("observation.state", lambda c: c / 10)), ("clip", P.on_field("action", lambda c: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c)))),
+        ("unpaid", P.on_field("reward", lambda c: F.when(F.col("info.is_intervention") > 0.5, 0.0).otherwise(c))), ("end", P.on_field("done", lambda c: c | F.col("info.last"))), ("sound", P.where_field("info.is_intervention", lambda c: c < 2)),
+    ]
+    return P.piped(rows, steps).select("index", F.col("observation.state").alias("state"), "action", "reward", "done")
+
+
+@query(ev("select index, i as number, frame_index + i as timestep, x + i as action from frames_ev, (values (0), (1), (2)) as t(i) where i <= frame_index % 3"))
+def x05_expanded_rows(spark, sf):
+    """A chunk of one to three actions of each frame: two by columns, the third by a user's function over batches."""
+    f = frames_ev(spark, sf)
+    some = F.transform(F.sequence(F.lit(0), F.least(F.col("frame_index") % 3, F.lit(1)).cast("int")), lambda i: F.struct((F.col("frame_index") + i).alias("timestep"), (F.col("x") + i).alias("action")))
+    third = lambda b: b[b["frame_index"] % 3 == 2].assign(number=2, timestep=lambda d: d["frame_index"] + 2, action=lambda d: d["x"] + 2)[["index", "number", "timestep", "action"]]
+    return P.expanded(f, ["index"], some).unionByName(P.expanded_by(f, ["index", "frame_index", "x"], third, "index long, number long, timestep long, action double"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window, functions as F
 
 from framewright.operators import matching as M, sampling as T, windows as W
@@ -94,9 +95,17 @@ def w18_action_chunks(spark, sf):
     return chunks.join(f.select("episode_index", "frame_index", "index"), ["episode_index", "frame_index"]).select("index", "chunk")
 
 
-@query()
+def _cubics() -> str:
+    """The weights of cubics fitted to 11 values, a row for each place in the window."""
+    x = np.vander(np.arange(11), 4)
+    return str((x @ np.linalg.pinv(x)).tolist())
+
+
+@query(ev(f""", y as (select episode_index, list(x order by frame_index) as y, count(*) as n from frames_ev group by 1)
+select episode_index, frame_index, round(case when n < 11 then x when frame_index < 5 then list_dot_product(h[frame_index + 1], y[1:11]) when frame_index >= n - 5 then list_dot_product(h[12 - n + frame_index], y[n - 10:n])
+  else list_dot_product(h[6], y[frame_index - 4:frame_index + 6]) end, 6) as smooth from frames_ev join y using (episode_index), (select {_cubics()} as h)"""))
 def w19_smoothed(spark, sf):
-    return W.smoothed(frames_ev(spark, sf), "x")
+    return W.smoothed(frames_ev(spark, sf), "x").withColumn("smooth", F.round("smooth", 6))
 
 
 @query(gap(f""", k as (select * from frames_gap qualify coalesce(lag(q) over (partition by episode_index order by frame_index) <> q, true))
@@ -227,12 +236,19 @@ def t01_ordered_by_index(spark, sf):
     return frames_ev(spark, sf).select("index", "x").orderBy("index")
 
 
-@query(ev("select index, x from frames_ev"))
+def _digest(seed: int, *keys: str) -> str:
+    """T.digest in SQL."""
+    text = " || ':' || ".join([*(f"{k}::varchar" for k in keys), f"'{seed}'"])
+    return f"('0x' || left(md5({text}), {T.DIGITS}))::bigint"
+
+
+@query(ev(f"select index, x, row_number() over (order by {_digest(7, 'index')}) - 1 as position from frames_ev"))
 def t02_seeded_shuffle(spark, sf):
+    """The order itself, as positions."""
     return T.shuffled(frames_ev(spark, sf).select("index", "x"), "index", 7)
 
 
-@query()
+@query(ev(f", n as (select count(*) as n from frames_ev), d as (select i as draw, greatest(0, n - 5000) + {_digest(7, 'i')} % least(n, 5000) as index from n, range(256) as t(i)) select draw, index, x from d join frames_ev using (index)"))
 def t03_sample_with_replacement(spark, sf):
     return T.sample_with_replacement(frames_ev(spark, sf).select("index", "x"), 256, 5000, 7)
 
@@ -251,9 +267,9 @@ def t05_evenly_spaced_sample(spark, sf):
     return e.select("episode_index", F.explode(T.evenly_spaced(F.col("length"), F.col("n"))).alias("frame_index"))
 
 
-@query(ev("select episode_index, greatest(1, floor(length * 0.1))::bigint as n from episodes_ev"))
+@query(ev(f", r as (select episode_index, frame_index, x, row_number() over (partition by episode_index order by {_digest(3, 'episode_index', 'frame_index')}) as r from frames_ev) select episode_index, frame_index, x from r join episodes_ev using (episode_index) where r <= greatest(1, floor(length * 0.1))"))
 def t06_sample_per_episode(spark, sf):
-    return T.sample_per_episode(frames_ev(spark, sf), 0.1, 3).groupBy("episode_index").agg(F.count("*").alias("n"))
+    return T.sample_per_episode(frames_ev(spark, sf), 0.1, 3).select("episode_index", "frame_index", "x")
 
 
 @query(ev("select index, x from frames_ev where index > (select max(index) from frames_ev) - 1234"))
@@ -267,11 +283,11 @@ def t08_coarse_to_fine(spark, sf):
     return frames_ev(spark, sf).select("index", F.row_number().over(w).alias("place"))
 
 
-@query()
+@query(ev(f"select index, {_digest(11, 'index')} % 1000000 / 1000000 < 0.3 as dropped from frames_ev"))
 def t09_reproducible_draws(spark, sf):
     return frames_ev(spark, sf).select("index", (T.chance(F.col("index"), 11) < 0.3).alias("dropped"))
 
 
-@query()
+@query(ev("select index, x * 0.5 + pred_value as score from frames_ev"))
 def x04_batch_scorer(spark, sf):
     return W.scored(frames_ev(spark, sf), ["x", "pred_value"], lambda batch: batch["x"].to_numpy() * 0.5 + batch["pred_value"].to_numpy())

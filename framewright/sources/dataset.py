@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from framewright.operators.indexing import with_offsets
+from framewright.operators.indexing import placed, with_offsets
 from framewright.operators.labels import report_label
+from framewright.operators.stats import feature_stats, merged_stats
 from framewright.sources.schema import schema_of
+from framewright.sources.scratch import cut
 
 #: Up to so many episodes are a pushed-down list; more are a semi join.
 LISTED_EPISODES = 1_000
@@ -37,6 +39,68 @@ def write_frames(frames: DataFrame, root: str, rows_per_file: int = 5_000_000) -
     frames.repartitionByRange("episode_index").sortWithinPartitions("episode_index", "index").write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(f"{root}/data")
 
 
+def column_bytes(frames: DataFrame) -> Column:
+    """Bytes of a row's columns as they are stored without compression: numbers by width, texts and binaries by length, arrays by element."""
+    width = {"tinyint": 1, "boolean": 1, "smallint": 2, "int": 4, "float": 4, "date": 4, "bigint": 8, "double": 8, "timestamp": 8, "timestamp_ntz": 8}
+
+    def of(c: Column, kind: str) -> Column:
+        if kind in ("string", "binary"):
+            return F.coalesce(F.octet_length(c), F.lit(0))
+        if kind.startswith("array<"):
+            inner = kind[6:-1]
+            return F.coalesce(F.size(c) * width[inner] if inner in width else F.aggregate(c, F.lit(0), lambda a, x: a + of(x, inner)), F.lit(0))
+        return F.lit(width.get(kind, 8))
+
+    return reduce(lambda a, b: a + b, [of(F.col(f"`{n}`"), t) for n, t in frames.dtypes], F.lit(0)).cast("long")
+
+
+def write_rotated(frames: DataFrame, root: str, max_mb: float = 100, chunk_files: int = 1000, first_file: int = 0) -> DataFrame:
+    """Whole episodes in order in files root/data/chunk_index=.../file_index=..., a new one where the next episode would bring
+    the columns' bytes over max_mb. Gives the map (episode_index, chunk_index, file_index), numbered on from first_file.
+
+    A file is one task's work: a file is as large as max_mb or one episode at most.
+    """
+    sizes = frames.groupBy("episode_index").agg(F.sum(column_bytes(frames)).alias("bytes"), F.count("*").alias("length"))
+    place = placed(cut(sizes, "sizes"), "episode_index", "bytes", max_mb * (1 << 20), chunk_files=chunk_files)
+    number = F.col("batch") + first_file
+    place = cut(place.select("episode_index", F.floor(number / chunk_files).alias("chunk_index"), (number % chunk_files).alias("file_index")), "places")
+    rows = frames.join(place, "episode_index").repartition("chunk_index", "file_index").sortWithinPartitions("chunk_index", "file_index", "index")
+    rows.write.mode("append" if first_file else "overwrite").partitionBy("chunk_index", "file_index").parquet(f"{root}/data")
+    return place
+
+
+def appended(spark: SparkSession, root: str, buffer: DataFrame, fps: float, features: list[str], max_mb: float = 100) -> None:
+    """Add the buffer's episodes (source, step, task, ...) to the stored dataset at root, or begin one.
+
+    They take the next ids, indices, tasks and files; their rows are added to the episode table, and the statistics of
+    features are merged with the stored ones by count. What is stored is added to and, where it is small, replaced by a new
+    version: tasks and statistics are kept by version, the newest counts.
+    """
+    old = stored(spark, root)
+    last = old["episodes"].agg(F.max("episode_index").alias("e"), F.max("dataset_to_index").alias("i"), F.max(F.col("chunk_index") * 1000 + F.col("file_index")).alias("f")).first() if old else None
+    frames, episodes, tasks = ingest(buffer, fps, old["tasks"] if old else None, last.e + 1 if old else 0, last.i if old else 0)
+    frames = cut(frames, "new-frames")
+    place = write_rotated(frames, root, max_mb, first_file=last.f + 1 if old else 0)
+    episodes.join(place, "episode_index").write.mode("append").parquet(f"{root}/meta/episodes")
+    stats = feature_stats(frames, features, quantiles=())
+    version = old["version"] + 1 if old else 0
+    if old:
+        stats = merged_stats(stats.unionByName(old["stats"]))
+    cut(stats, "stats").write.parquet(f"{root}/meta/stats/version={version}")
+    cut(tasks, "tasks").write.parquet(f"{root}/meta/tasks/version={version}")
+
+
+def stored(spark: SparkSession, root: str) -> dict | None:
+    """frames, episodes, tasks and stats of the dataset that appended() keeps at root, and its version; None where there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/meta/tasks")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    tasks = spark.read.parquet(f"{root}/meta/tasks")
+    version = tasks.agg(F.max("version")).first()[0]
+    newest = lambda df: df.where(F.col("version") == version).drop("version")
+    return {"frames": spark.read.parquet(f"{root}/data"), "episodes": spark.read.parquet(f"{root}/meta/episodes"), "tasks": newest(tasks), "stats": newest(spark.read.parquet(f"{root}/meta/stats")), "version": version}
+
+
 def write_manifest(spark: SparkSession, root: str, manifest: dict) -> None:
     spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/meta/info")
 
@@ -145,17 +209,16 @@ def imported_episodes(records: DataFrame, path: str) -> DataFrame:
     return flat.select("episode", F.col("frame_index").cast("long").alias("frame_index"), F.concat("s.joint", "s.gripper").cast("array<float>").alias("state"), F.col("s.instruction").alias("task"), "success")
 
 
-def exported_log(log: DataFrame, capacity: int, position: int, size: int) -> DataFrame:
-    """Episodes of a ring of transitions (slot, done, truncated, ...) in the order they came: a new one after each end, the last may be partial.
-
-    One ring is one ordered stream; its size is bounded by its capacity.
+def exported_log(log: DataFrame, capacity: int, position: int, size: int, ring: str = "ring") -> DataFrame:
+    """Episodes of rings of transitions (ring, slot, done, truncated, ...) in the order they came: a new one after each end, the
+    last may be partial. Each ring is one ordered stream of at most capacity slots, and is worked on by itself.
     """
     age = F.pmod(F.col("slot") - F.lit(position - size), F.lit(capacity))
-    w = Window.orderBy("_age")
+    w = Window.partitionBy(ring).orderBy("_age")
     ends = (F.col("done") | F.col("truncated")).cast("long")
     rows = log.withColumn("_age", age).where(F.col("_age") < size)
     rows = rows.withColumn("episode_index", F.coalesce(F.sum(ends).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return rows.withColumn("frame_index", (F.row_number().over(Window.partitionBy("episode_index").orderBy("_age")) - 1).cast("long")).drop("_age")
+    return rows.withColumn("frame_index", (F.row_number().over(Window.partitionBy(ring, "episode_index").orderBy("_age")) - 1).cast("long")).drop("_age")
 
 
 def rollout_dataset(rollouts: DataFrame, labels: DataFrame, bookkeeping: tuple[str, ...] = ()) -> DataFrame:

@@ -7,16 +7,34 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def _stateful(df: DataFrame, key: str, step: Callable, output: str, state: str) -> DataFrame:
-    return df.groupBy(key).applyInPandasWithState(step, output, state, "append", GroupStateTimeout.NoTimeout)
+def _stateful(df: DataFrame, key: str, step: Callable, output: str, state: str, idle: str | None = None) -> DataFrame:
+    """step over each key's rows; with idle, such as `1 hour`, state that step leaves is dropped, with nothing given out, after so long without rows.
 
+    Spark runs batches for ever to watch such times, so idle is for streams that run on, not for availableNow.
+    """
+    names = [c.split()[0] for c in output.split(", ")]
+    number, unit = (idle or "0 seconds").split()
+    wait = int(number) * {"second": 1, "minute": 60, "hour": 3_600, "day": 86_400}[unit.removesuffix("s")] * 1_000
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            yield pd.DataFrame(columns=names)
+            return
+        yield from step(key, batches, held)
+        if idle and held.exists:
+            held.setTimeoutDuration(wait)
+
+    return df.groupBy(key).applyInPandasWithState(run, output, state, "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
 
-def look_around(frames: DataFrame, value: str, back: int, ahead: int, last: str = "last") -> DataFrame:
+
+def look_around(frames: DataFrame, value: str, back: int, ahead: int, last: str = "last", idle: str | None = None) -> DataFrame:
     """(episode_index, frame_index, window, is_pad): each frame's values from back frames before to ahead after, clamped.
 
     A frame is given out once its look-ahead has come or the episode's last frame (flag `last`) has; state holds at most
@@ -42,89 +60,139 @@ def look_around(frames: DataFrame, value: str, back: int, ahead: int, last: str
             state.update((at[keep:], values[keep:], base + keep, ready - keep))
         yield pd.DataFrame(out, columns=["episode_index", "frame_index", "window", "is_pad"])
 
-    return _stateful(frames.select("episode_index", "frame_index", value, last), "episode_index", step, "episode_index long, frame_index long, window array<double>, is_pad array<boolean>", "at array<long>, vals array<double>, base long, given long")
+    return _stateful(frames.select("episode_index", "frame_index", value, last), "episode_index", step, "episode_index long, frame_index long, window array<double>, is_pad array<boolean>", "at array<long>, vals array<double>, base long, given long", idle)
+
+
+def _ended(rows: pd.DataFrame) -> bool:
+    """Whether the key's episode is over, so that its state can go."""
+    return bool(rows["ended"].any())
 
 
-def merge_actions(chunks: DataFrame, combine: Callable[[float, float], float]) -> DataFrame:
+def _with_end(rows: DataFrame, ended: str | None) -> DataFrame:
+    return rows.withColumn("ended", F.col(ended) if ended else F.lit(False))
+
+
+def merge_actions(chunks: DataFrame, combine: Callable[[float, float], float], ended: str | None = None, idle: str | None = None) -> DataFrame:
     """(robot, timestep, action): queued and incoming actions as they are taken.
 
-    chunks: robot, timestep, action, taken (the latest timestep the robot has executed). Timesteps up to it are dropped as
-    late; a timestep that comes again is combined. What the robot executes next is given out; state is the open queue.
+    chunks: robot, timestep, action, taken (the latest timestep the robot has executed), and a flag that the robot has ended.
+    Timesteps up to taken are dropped as late; a timestep that comes again is combined. What the robot executes next is given
+    out; state is the open queue, and goes with the end or after idle.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         steps, actions, latest = state.get if state.exists else ([], [], -1)
-        queue = dict(zip(steps, actions, strict=True))
-        out = []
-        for r in pd.concat(list(batches)).sort_values(["seq"]).itertuples():
-            for s in sorted(s for s in queue if latest < s <= r.taken):
+        queue, out = dict(zip(steps, actions, strict=True)), []
+        rows = pd.concat(list(batches)).sort_values(["seq", "timestep"])
+        for taken, now in rows.groupby("taken", sort=True):  # all that came while the robot was at one timestep
+            for s in sorted(s for s in queue if s <= taken):
                 out.append((key[0], s, queue.pop(s)))
-            latest = max(latest, int(r.taken))
-            if r.timestep > latest:
-                queue[int(r.timestep)] = combine(queue[r.timestep], r.action) if r.timestep in queue else float(r.action)
-        state.update((list(queue), list(queue.values()), latest))
+            latest = max(latest, int(taken))
+            new = now[now["timestep"] > latest]
+            for s, x in zip(new["timestep"].tolist(), new["action"].tolist(), strict=True):
+                queue[s] = combine(queue[s], x) if s in queue else x
+        if _ended(rows):
+            state.remove()
+        else:
+            state.update((list(queue), list(queue.values()), latest))
         yield pd.DataFrame(out, columns=["robot", "timestep", "action"])
 
-    return _stateful(chunks.select("robot", "seq", "timestep", "action", "taken"), "robot", step, "robot long, timestep long, action double", "steps array<long>, actions array<double>, latest long")
+    rows = _with_end(chunks, ended).select("robot", "seq", "timestep", "action", "taken", "ended")
+    return _stateful(rows, "robot", step, "robot long, timestep long, action double", "steps array<long>, actions array<double>, latest long", idle)
 
 
-def distinct_observations(rows: DataFrame, tolerance: float) -> DataFrame:
+def distinct_observations(rows: DataFrame, tolerance: float, ended: str | None = None, idle: str | None = None) -> DataFrame:
     """(robot, timestep, x): observations that are new: their timestep wasn't seen and x differs from the last kept one by
-    tolerance or more; must_go ones always pass."""
+    tolerance or more; must_go ones always pass. State is the last kept one, and goes with the flag ended or after idle."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, x = state.get if state.exists else (-1, float("nan"))
-        out = []
-        for r in pd.concat(list(batches)).sort_values("timestep").itertuples():
-            if r.must_go or (r.timestep > last and not abs(r.x - x) < tolerance):
-                out.append((key[0], int(r.timestep), float(r.x)))
-                last, x = int(r.timestep), float(r.x)
-        state.update((last, x))
+        rows, out = pd.concat(list(batches)).sort_values("timestep"), []
+        at, xs, must = rows["timestep"].to_numpy(), rows["x"].to_numpy(float), rows["must_go"].to_numpy(bool)
+        i = 0
+        while i < len(at):  # from one kept observation to the next
+            fits = must[i:] | ((at[i:] > last) & ~(np.abs(xs[i:] - x) < tolerance))
+            if not fits.any():
+                break
+            i += int(fits.argmax())
+            last, x = int(at[i]), float(xs[i])
+            out.append((key[0], last, x))
+            i += 1
+        if _ended(rows):
+            state.remove()
+        else:
+            state.update((last, x))
         yield pd.DataFrame(out, columns=["robot", "timestep", "x"])
 
-    return _stateful(rows.select("robot", "timestep", "x", "must_go"), "robot", step, "robot long, timestep long, x double", "last long, x double")
-
+    return _stateful(_with_end(rows, ended).select("robot", "timestep", "x", "must_go", "ended"), "robot", step, "robot long, timestep long, x double", "last long, x double", idle)
 
-def episodes_of(rows: DataFrame) -> DataFrame:
-    """(source, episode, frame_index, seq): rows of each source numbered in episodes that end at done, given out when they end."""
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, episode = state.get if state.exists else ([], 0)
-        held, out = list(held), []
-        for r in pd.concat(list(batches)).sort_values("seq").itertuples():
-            held.append(int(r.seq))
-            if r.done:
-                out += [(key[0], episode, i, s) for i, s in enumerate(held)]
-                held, episode = [], episode + 1
-        state.update((held, episode))
-        yield pd.DataFrame(out, columns=["source", "episode", "frame_index", "seq"])
-
-    return _stateful(rows.select("source", "seq", "done"), "source", step, "source long, episode long, frame_index long, seq long", "held array<long>, episode long")
+def episodes_of(rows: DataFrame, longest: int = 100_000, idle: str | None = None) -> DataFrame:
+    """(source, episode, frame_index, seq): rows of each source numbered in episodes that end at done, given out when they end.
 
+    An episode of more than longest rows is given out as it comes, so that state holds no more; one that never ends goes after idle.
+    """
 
-def differences(rows: DataFrame, dt: float) -> DataFrame:
-    """(episode_index, frame_index, velocity): (x - x before) / dt, 0 at an episode's first frame; state is one value."""
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, episode, given = state.get if state.exists else ([], 0, 0)
+        rows = pd.concat(list(batches)).sort_values("seq")
+        seq = np.concatenate((np.array(list(held), np.int64), rows["seq"].to_numpy(np.int64)))
+        done = np.concatenate((np.zeros(len(held), bool), rows["done"].to_numpy(bool)))
+        before = np.cumsum(done) - done  # episodes that ended earlier
+        starts = np.searchsorted(before, before)
+        frame = np.arange(len(seq)) - starts + np.where(before == 0, given, 0)
+        ended = int(done.sum())
+        closed = before < ended
+        left = seq[~closed]
+        over = len(left) > longest
+        out = closed | over
+        given = (given if not ended else 0) + len(left) * over
+        state.update(([] if over else left.tolist(), episode + ended, given))
+        yield pd.DataFrame({"source": key[0], "episode": episode + before[out], "frame_index": frame[out], "seq": seq[out]})
+
+    return _stateful(rows.select("source", "seq", "done"), "source", step, "source long, episode long, frame_index long, seq long", "held array<long>, episode long, given long", idle)
+
+
+def stepwise(rows: DataFrame, dt: float, jump: float | None = None, ended: str | None = None, idle: str | None = None) -> DataFrame:
+    """(episode_index, frame_index, velocity, jumped, step, held): the stateful steps of an episode, reset at its first frame.
+
+    velocity is (x - x before) / dt and 0 at first; jumped tells that x moved by more than jump; step counts the frames; held is
+    x at the latest rising edge of enabled, 0 before any. rows: episode_index, frame_index, x, enabled. State is four values,
+    and goes with the flag ended or after idle.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         g = pd.concat(list(batches)).sort_values("frame_index")
-        before = g["x"].shift()
-        before.iloc[0] = state.get[0] if state.exists else g["x"].iloc[0]
-        state.update((float(g["x"].iloc[-1]),))
-        yield pd.DataFrame({"episode_index": key[0], "frame_index": g["frame_index"], "velocity": (g["x"] - before) / dt})
+        x, on = g["x"].to_numpy(float), g["enabled"].to_numpy(bool)
+        last, was, count, held = state.get if state.exists else (x[0], False, 0, 0.0)
+        before = np.concatenate(([last], x[:-1]))
+        rising = on & ~np.concatenate(([was], on[:-1]))
+        latched = pd.Series(np.where(rising, x, np.nan)).ffill().fillna(held)
+        if _ended(g):
+            state.remove()
+        else:
+            state.update((float(x[-1]), bool(on[-1]), count + len(x), float(latched.iloc[-1])))
+        moved = np.abs(x - before) > (jump if jump is not None else np.inf)
+        yield pd.DataFrame({"episode_index": key[0], "frame_index": g["frame_index"].to_numpy(), "velocity": (x - before) / dt, "jumped": moved, "step": count + np.arange(1, len(x) + 1), "held": latched.to_numpy()})
 
-    return _stateful(rows.select("episode_index", "frame_index", "x"), "episode_index", step, "episode_index long, frame_index long, velocity double", "x double")
+    rows = _with_end(rows, ended).select("episode_index", "frame_index", "x", "enabled", "ended")
+    return _stateful(rows, "episode_index", step, "episode_index long, frame_index long, velocity double, jumped boolean, step long, held double", "x double, enabled boolean, count long, held double", idle)
 
 
-def latency(rows: DataFrame, size: int = 100) -> DataFrame:
-    """(robot, n, max): after each batch, over the newest size values of each robot."""
+def latency(rows: DataFrame, size: int = 100, ended: str | None = None, idle: str | None = None) -> DataFrame:
+    """(robot, seq, n, max): after each batch, over the newest size values of each robot; seq is the newest. State is the ring,
+    and goes with the flag ended or after idle."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ring = list(state.get[0]) if state.exists else []
-        ring = (ring + pd.concat(list(batches)).sort_values("seq")["value"].tolist())[-size:]
-        state.update((ring,))
-        yield pd.DataFrame({"robot": [key[0]], "n": [len(ring)], "max": [max(ring)]})
+        rows = pd.concat(list(batches)).sort_values("seq")
+        ring = ((list(state.get[0]) if state.exists else []) + rows["value"].tolist())[-size:]
+        if _ended(rows):
+            state.remove()
+        else:
+            state.update((ring,))
+        yield pd.DataFrame({"robot": [key[0]], "seq": [int(rows["seq"].iloc[-1])], "n": [len(ring)], "max": [max(ring)]})
 
-    return _stateful(rows.select("robot", "seq", "value"), "robot", step, "robot long, n long, max double", "ring array<double>")
+    return _stateful(_with_end(rows, ended).select("robot", "seq", "value", "ended"), "robot", step, "robot long, seq long, n long, max double", "ring array<double>", idle)
 
 
 def windowed_latency(rows: DataFrame, time: str = "ts", size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
