@@ -96,7 +96,7 @@ def pieces(documents: DataFrame, text: str = "text", key: str = "doc_id", path:
 def pack(found: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """found, with sequence_id and offset of each piece.
 
-    The pieces are dealt to groups by a hash, each packed by itself; the sequences of a group that stay less full than FULL
+    The pieces are dealt to groups by a hash that also differs for repeated rows, each packed by itself; the sequences of a group that stay less full than FULL
     are opened and packed once more in groups of their pieces. Sequence ids are unique, not consecutive.
     """
 
@@ -113,7 +113,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_P
 
     def dealt(df: DataFrame) -> DataFrame:
         groups = max(1, round(df.count() / group_pieces))
-        return df.withColumn("_g", F.expr(f"pmod(xxhash64(doc_id, piece, ids_crc32), {groups}L)")).groupBy("_g")
+        return df.withColumn("_g", F.expr(f"pmod(xxhash64(doc_id, piece, ids_crc32, monotonically_increasing_id()), {groups}L)")).groupBy("_g")
 
     columns = f"{PIECES}, sequence_id long, offset long, _full boolean"
     first = cut(dealt(found).applyInArrow(packed(0), columns), "packed")

@@ -42,7 +42,8 @@ def unpack_ids(data: bytes, bits: int, first: int, n: int) -> np.ndarray:
 def write(documents: DataFrame, folder: str, text: str = "text", key: str = "doc_id", path: str | None = None, end: int = END, block_ids: int = BLOCK_IDS) -> None:
     """Write the ids of all documents, in the order of key, to folder.
 
-    Shards hold ascending ranges of key; null keys come first, equal keys are ordered by a hash of their text.
+    Shards hold ascending ranges of key; null keys come first, equal keys are ordered by a hash of their text;
+    rows that repeat altogether can be in several shards.
     """
     path = path or default_path()
     small_batches(documents.sparkSession)
@@ -78,8 +79,8 @@ def write(documents: DataFrame, folder: str, text: str = "text", key: str = "doc
         if held:
             yield closed(*joined())
 
-    rows = documents.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
-    rows.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie").select("key", "text").mapInArrow(tidied(blocks), BLOCKS).write.parquet(folder)
+    rows = documents.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"), F.monotonically_increasing_id().alias("row"))
+    rows.repartitionByRange("key", "tie", "row").sortWithinPartitions("key", "tie", "row").select("key", "text").mapInArrow(tidied(blocks), BLOCKS).write.parquet(folder)
 
 
 def read_digests(spark, folder: str) -> DataFrame:
@@ -102,6 +103,33 @@ def read_digests(spark, folder: str) -> DataFrame:
     return placed.mapInArrow(tidied(digests), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def read_ids(spark, folder: str, first: int, n: int) -> np.ndarray:
+    """n ids from number first on, counted over all documents in the files' order: the shards' sizes tell where they are, only the
+    blocks that hold them are read, and only their bytes in these are unpacked. What comes to the driver are these ids alone."""
+    files = spark.read.schema(BLOCKS).parquet(folder)
+    sizes = files.groupBy("shard").agg(F.sum("n_ids").alias("n")).sort("shard").collect()  # a row for each partition written
+    parts, before = [], 0
+    for shard in sizes:
+        low, high = max(0, first - before), min(shard.n, first + n - before)
+        if low < high:
+            held = files.where((F.col("shard") == shard.shard) & (F.col("start") < high) & (F.col("start") + F.col("n_ids") > low)).select("start", "n_ids", "bits", "ids").sort("start")
+            for r in held.toLocalIterator():
+                at, end = max(0, low - r.start), min(r.n_ids, high - r.start)
+                parts.append(unpack_ids(bytes(r.ids), r.bits, at, end - at))
+        before += shard.n
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+
+
+def read_document(spark, folder: str, doc_id: int) -> list[np.ndarray]:
+    """The ids of each document of that id, the end id included, from the blocks that hold it."""
+    held = spark.read.schema(BLOCKS).parquet(folder).where(F.array_contains("doc_ids", doc_id)).select("bits", "doc_ids", "lengths", "ids")
+    found = []
+    for r in held.toLocalIterator():
+        lengths = np.array(r.lengths, np.int64)
+        found += [unpack_ids(bytes(r.ids), r.bits, int(lengths[:i].sum()), int(lengths[i])) for i, d in enumerate(r.doc_ids) if d == doc_id]
+    return found
+
+
 def op10_token_ids(spark, sf_dir: str) -> DataFrame:
     """Null and empty texts have the end id alone; repeated rows are written each time; an empty table gives no rows."""
     import uuid
