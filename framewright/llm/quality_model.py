@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from framewright.llm.common import tidied
+from framewright.llm.common import cut, small_batches, tidied
 from framewright.llm.language import held_out
 
 #: Labelled documents of each class that the model is fitted on, about, and the bytes of whole documents that they have at most.
@@ -52,13 +52,13 @@ def _dictionary(texts: list[str]) -> bytes:
     return zstandard.train_dictionary(DICTIONARY_BYTES, pieces, k=1024, d=8).as_bytes()
 
 
-def _fitting(sizes: list) -> list[tuple[int, int]]:
-    """(y, h), in the order of the keys' hashes h: of each class y as many whole documents as have SAMPLE_BYTES together; one that doesn't fit is passed over."""
+def _fitting(sizes: list) -> list[tuple]:
+    """(y, h, _k, th) in the order of the keys' hashes h: of each class y as many whole documents as have SAMPLE_BYTES together; one that doesn't fit is passed over."""
     total, found = {0: 0, 1: 0}, []
     for r in sorted(sizes, key=lambda r: r.h):
         if total[r.y] + r.bytes <= SAMPLE_BYTES:
             total[r.y] += r.bytes
-            found.append((r.y, r.h))
+            found.append((r.y, r.h, r._k, r.th))
     return found
 
 
@@ -66,17 +66,21 @@ def fit(documents: DataFrame, labels: DataFrame, text: str = "text", label: str
     """Dictionaries for good (label 1) and bad (0) text, and the weights of the calibration.
 
     Of each class, about sample_rows labels with the lowest hashes of key are used, with the whole texts of their
-    documents: that many keys are sent to the documents, so no text is shuffled. Even ones fill the dictionaries, odd ones calibrate. Without rows of both classes,
-    every text scores the share of good labels.
+    documents: that many keys are sent to the documents, and one text for each comes back. Even ones fill the dictionaries, odd
+    ones calibrate. Without rows of both classes, every text scores the share of good labels.
     """
     rows = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("_k"), F.col(label).cast("int").alias("y"), F.xxhash64(F.col(key)).alias("h"))
     counts = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    low = F.create_map(*[x for y in (0, 1) for x in (F.lit(y), F.lit(int((min(1, sample_rows / max(1, counts.get(y, 0))) - 0.5) * (2.0**64 - 2**12))))])
-    keys = rows.where(F.col("h") <= low[F.col("y")])
-    texts = documents.select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    sizes = texts.select("_k", F.octet_length("t").alias("b")).join(F.broadcast(keys), "_k").groupBy("y", "h").agg(F.sum("b").alias("bytes")).collect()  # a row for each key
-    fitting = F.broadcast(documents.sparkSession.createDataFrame(_fitting(sizes), "y int, h long"))
-    sample = texts.join(F.broadcast(keys.join(fitting, ["y", "h"])), "_k").select("y", "h", "t").toPandas().sort_values(["h", "t"])
+    keyed = rows.distinct()  # a key that is labelled many times is one
+    keys_of = {r.y: r.n for r in keyed.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    low = F.create_map(*[x for y in (0, 1) for x in (F.lit(y), F.lit(int((min(1, sample_rows / max(1, keys_of.get(y, 0))) - 0.5) * (2.0**64 - 2**12))))])
+    keys = cut(keyed.where(F.col("h") <= low[F.col("y")]), "label-keys")  # about sample_rows of each class
+    texts = documents.select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("th", F.xxhash64("t"))
+    # of a key with several documents the one whose text has the smallest hash: one text for each key, however often it stands
+    first = texts.select("_k", "th", F.octet_length("t").alias("b")).join(F.broadcast(keys), "_k").groupBy("y", "h", "_k").agg(F.min(F.struct("th", "b")).alias("m"))
+    sizes = first.select("y", "h", "_k", "m.th", F.col("m.b").alias("bytes")).collect()
+    fitting = F.broadcast(documents.sparkSession.createDataFrame(_fitting(sizes), keys.select("y", "h", "_k").withColumn("th", F.lit(0).cast("long")).schema))
+    sample = texts.join(fitting, ["_k", "th"]).groupBy("y", "h", "_k").agg(F.min("t").alias("t")).toPandas().sort_values(["h", "t"])
     halves = {y: sample.loc[sample.y == y, "t"].tolist() for y in (0, 1)}
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
     dictionaries = (_dictionary(halves[1][0::2]), _dictionary(halves[0][0::2]))
@@ -126,6 +130,7 @@ def scored(documents: DataFrame, labels: DataFrame, text: str = "text", key: str
     Labels that are null or neither 0 nor 1, and labels of held-out or missing documents, teach nothing; a key with several
     labels teaches each. Null and empty texts get the score of an even text. Repeated rows score alike. Other columns are not read.
     """
+    small_batches(documents.sparkSession)
     out = held_out(key, 5, 0)
     score = scorer(documents, fit(documents, labels.where(~out), text, label, key))
     found = documents.select(F.col(key).alias("doc_id"), out.alias("held_out"), score(text).alias("score"))
