@@ -16,6 +16,9 @@ _MODULES = {
     "op8_quality_classifier": "quality_model",
     "op9_best_fit_packing": "packing",
     "op10_token_ids": "token_files",
+    "op11_merkle_manifest": "merkle",
+    "op12_first_fit_packing": "first_fit",
+    "op13_lexical_search": "lexical",
 }
 
 
