@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from framewright.llm.common import coded, cut, mix, slices, small_batches, split_words, starts_of, strings, tidied, word_hashes
+from framewright.llm.common import coded, cut, few, mix, slices, small_batches, split_words, starts_of, strings, tidied, word_hashes
 
 #: Together they hit every window of 13 words with at most three of them replaced.
 MASKS = ("110100011", "1101011", "111001001")
@@ -27,6 +27,10 @@ SHORTEST = 10
 #: Bits of the filter of test seeds that every executor gets: 8 MB, whatever the size of the benchmark.
 FILTER_BITS = 1 << 26
 SEGMENT_GAP = 2 * WINDOW
+#: A seed that more stretches hold is dealt to parts of about so many, each of which meets the seed's items by itself.
+PART_HITS = 20_000
+#: Tables of seeds that are dealt out of so many rows at most are broadcast.
+BROADCAST_SEEDS = 1_000_000
 
 _NOISE = re.compile(r"[\W_]+")
 
@@ -76,19 +80,19 @@ def test_words(benchmark: DataFrame, text: str = "text", key: str = "item_id") -
 
 
 def test_seeds(items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
-    """(seed, item_id, item_at)"""
+    """(seed, item, item_at)"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = batch.column("words").value_lengths().to_numpy().astype(np.int64)
-            hashes, ids = batch.column("words").flatten().to_numpy().view(np.uint64), batch.column("item_id")
+            hashes, ids = batch.column("words").flatten().to_numpy().view(np.uint64), batch.column("item")
             owner = np.repeat(np.arange(len(counts)), counts)
             for number, seed, at in _seeds(hashes, counts, masks):
                 own = (counts[owner[at]] >= SHORTEST) if number < len(MASKS) else (counts[owner[at]] == len(masks[number]))
                 seed, at = seed[own], at[own]
-                yield pa.RecordBatch.from_pydict({"seed": pa.array(seed.view(np.int64)), "item_id": ids.take(pa.array(owner[at])), "item_at": pa.array((at - starts_of(counts)[owner[at]]).astype(np.int32))})
+                yield pa.RecordBatch.from_pydict({"seed": pa.array(seed.view(np.int64)), "item": ids.take(pa.array(owner[at])), "item_at": pa.array((at - starts_of(counts)[owner[at]]).astype(np.int32))})
 
-    return items.mapInArrow(tidied(run), "seed long, item_id long, item_at int")
+    return items.mapInArrow(tidied(run), "seed long, item long, item_at int")
 
 
 def _filter(seeds: DataFrame) -> np.ndarray:
@@ -165,6 +169,16 @@ def _best_window(same: np.ndarray, item_words: int) -> tuple[int, int, int]:
     return (window, int(sums[best]), best) if sums[best] >= needed else (0, 0, 0)
 
 
+def _met(hits: DataFrame, seeds: DataFrame) -> DataFrame:
+    """hits (segment, at, seed) joined with seeds (seed, item, item_at). A seed's hits, a third of all perhaps, are dealt to parts,
+    and its items, which are few, go to each part."""
+    parts = hits.groupBy("seed").agg(F.ceil(F.count(F.lit(1)) / PART_HITS).cast("int").alias("parts")).where("parts > 1")
+    parts = few(cut(parts, "hot-seeds"), BROADCAST_SEEDS)
+    dealt = hits.join(parts, "seed", "left").select("seed", "segment", "at", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("segment", "at"), F.col("parts")).cast("int")).alias("part"))
+    copied = seeds.join(parts, "seed", "left").select("seed", "item", "item_at", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    return dealt.join(copied, ["seed", "part"])
+
+
 def contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item: str = "item_id") -> DataFrame:
     """doc_id, item_id, doc_at, window and equal: each item found in each document, with the first word and size of the best
     window in the document and how many of its words are equal.
@@ -173,18 +187,19 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text",
     as does a tie (the first place). Empty tables give no rows. Documents with null ids give rows with null ids.
     """
     small_batches(documents.sparkSession)
-    items = cut(test_words(benchmark, item_text, item), "test-items")
+    items = cut(test_words(benchmark, item_text, item).withColumn("item", F.xxhash64("words")), "test-items")
+    distinct = cut(items.groupBy("words").agg(F.first("item").alias("item")), "distinct-items")  # items of the same words are looked for once
     lengths = [r.n for r in items.select(F.size("words").alias("n")).where(F.col("n") < SHORTEST).distinct().collect()]  # nine at most
     masks = MASKS + tuple("1" * n for n in sorted(lengths))
-    seeds = cut(test_seeds(items, masks), "test-seeds")
+    seeds = cut(test_seeds(distinct, masks), "test-seeds")
     stretch = cut(segments(documents, _filter(seeds), masks, text, key).withColumn("segment", F.monotonically_increasing_id()), "segments")
     hits = stretch.select("segment", F.explode(F.arrays_zip("at", "seeds")).alias("h")).select("segment", F.col("h.at").alias("at"), F.col("h.seeds").alias("seed"))
-    pairs = hits.join(seeds, "seed").select("segment", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-    aligned = pairs.join(stretch.select("segment", "doc_id", "start", "words"), "segment").join(items.select("item_id", F.col("words").alias("item")), "item_id")
+    pairs = _met(hits, seeds).select("segment", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    aligned = pairs.join(stretch.select("segment", "doc_id", "start", "words"), "segment").join(distinct.select("item", F.col("words").alias("wanted")), "item")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, wanted = batch.column("words"), batch.column("item")
+            docs, wanted = batch.column("words"), batch.column("wanted")
             out: list[tuple[int, int, int]] = []
             for i, shift in enumerate(batch.column("shift").to_numpy()):
                 d, q = docs[i].values.to_numpy(), wanted[i].values.to_numpy()
@@ -192,11 +207,12 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text",
                 window, equal, place = _best_window(q[low:high] == d[low + shift : high + shift], len(q)) if high > low else (0, 0, 0)
                 out.append((window, equal, place + low + shift))
             window, equal, place = (np.array(c, np.int64) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "item_id": batch.column("item_id"), "doc_at": pa.array(batch.column("start").to_numpy() + place), "window": pa.array(window), "equal": pa.array(equal)})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "item": batch.column("item"), "doc_at": pa.array(batch.column("start").to_numpy() + place), "window": pa.array(window), "equal": pa.array(equal)})
 
-    found = aligned.select("doc_id", "item_id", "start", "words", "shift", "item").mapInArrow(tidied(run), "doc_id long, item_id long, doc_at long, window long, equal long").where("window > 0")
-    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("equal", (-F.col("doc_at")).alias("back"), "window")).alias("b"))
-    return best.select("doc_id", "item_id", (-F.col("b.back")).alias("doc_at"), "b.window", "b.equal")
+    found = aligned.select("doc_id", "item", "start", "words", "shift", "wanted").mapInArrow(tidied(run), "doc_id long, item long, doc_at long, window long, equal long").where("window > 0")
+    best = found.groupBy("doc_id", "item").agg(F.max(F.struct("equal", (-F.col("doc_at")).alias("back"), "window")).alias("b"))
+    named = best.join(items.select("item", "item_id").distinct(), "item")
+    return named.select("doc_id", "item_id", (-F.col("b.back")).alias("doc_at"), "b.window", "b.equal")
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:

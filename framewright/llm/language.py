@@ -87,15 +87,21 @@ def _likelihoods(texts: pa.Array, matrix: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """The model of the labelled rows: of those with the lowest hashes of key, about sample_rows, seven eighths give the matrix
-    and one eighth what is usual. Rows with a null lang or text teach nothing. No labelled rows: no languages.
+    """The model of the labelled rows: of those with the lowest hashes of key and text, about sample_rows, seven eighths give the
+    matrix and one eighth what is usual. Rows with a null lang or text teach nothing; rows without a key teach by their text, and
+    where there are more rows than sample_rows, rows that repeat altogether teach once. No labelled rows: no languages.
     """
     small_batches(labelled.sparkSession)
-    rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(key)).alias("h")).where("text is not null and lang is not null")
-    n = rows.select("lang", "h").count()
-    if n > sample_rows:
-        rows = rows.where(F.col("h") < F.lit(int((sample_rows / n - 0.5) * 2.0**64)))
-    usual = F.pmod(F.xxhash64("h"), F.lit(8)) == 0
+    own = F.when(F.col(key).isNull(), F.xxhash64(text)).otherwise(F.xxhash64(F.col(key)))
+    rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"), own.alias("h"), F.xxhash64(key, text).alias("s")).where("text is not null and lang is not null")
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("s", 0.02).alias("distinct"), F.min("s").alias("least")).first()
+    if size.n > sample_rows:
+        limit = min(2**63 - 1, int((sample_rows / size.distinct - 0.5) * 2.0**64)) if size.distinct > sample_rows else 2**63 - 1
+        rows = rows.where(F.col("s") <= F.lit(max(limit, size.least))).groupBy("s", "lang").agg(F.first("text").alias("text"), F.first("h").alias("h"))
+    rows = rows.withColumn("usual", F.pmod(F.xxhash64("h"), F.lit(8)) == 0)
+    lone = rows.groupBy("lang").agg(F.bool_and("usual").alias("lone")).where("lone").select("lang")  # all of whose rows would be kept from the matrix
+    rows = rows.join(F.broadcast(lone.withColumn("lone", F.lit(True))), "lang", "left").withColumn("usual", F.col("usual") & F.col("lone").isNull())
+    usual = F.col("usual")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -131,8 +137,8 @@ def _usual(rows: DataFrame, languages: list[str], matrix: np.ndarray) -> np.ndar
         for batch in batches:
             letters, sums = _likelihoods(batch.column("text"), table)
             at = np.array([names.index(x) if x in names else -1 for x in batch.column("lang").to_pylist()], np.int64)
-            ok = (letters > 0) & (at >= 0)
-            yield pa.RecordBatch.from_pydict({"lang": batch.column("lang").filter(pa.array(ok)), "n": pa.array(letters[ok]), "m": pa.array((sums[np.arange(len(at)), at] / np.maximum(letters, 1))[ok])})
+            ok = np.flatnonzero((letters > 0) & (at >= 0))
+            yield pa.RecordBatch.from_pydict({"lang": batch.column("lang").take(pa.array(ok)), "n": pa.array(letters[ok]), "m": pa.array(sums[ok, at[ok]] / letters[ok])})
 
     of = rows.select("text", "lang").mapInArrow(tidied(likely), "lang string, n long, m double").groupBy("lang")
     # rows of n letters have a mean whose variance is between + within / n: the slope over 1 / n and what is left
