@@ -29,25 +29,30 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.passing(docs)
 
 
+def _hashed(docs: DataFrame) -> DataFrame:
+    """Each row whole, in one column, beside its text and the text's hashes: no column of docs can clash with them."""
+    return docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id"), F.col("text"), F.xxhash64("text").alias("hash"), F.md5("text").alias("digest"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each component of five-word shingle sets with a similarity of 0.8 or more: the text with the
     smallest hash, and of rows with that text the one with the smallest id, null ids last. Texts without words all stay, null
-    ones too; an empty table gives none."""
+    ones too; an empty table gives none. Texts are told apart by 64 and 128 bits: of two with one 64-bit hash both stay."""
+    hashed = _hashed(docs)
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    hashed = docs.where(worded).withColumn("_h", F.xxhash64("text"))
-    found = jaccard.JaccardJoin(5, 4, 5).classes(hashed, key="_h")
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_h")).distinct()
-    rest = [c for c in docs.columns if c != "doc_id"]
-    once = hashed.groupBy("_h").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_n"), "doc_id", *rest)).alias("row"))
-    return once.join(first, "_h", "left_semi").select(*[F.col("row")[c].alias(c) for c in docs.columns]).unionByName(docs.where(~worded))
+    found = jaccard.JaccardJoin(5, 4, 5).classes(hashed.where(worded), key="hash")
+    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("hash")).distinct()
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "number")
+    once = hashed.where(worded).withColumn("number", F.monotonically_increasing_id()).groupBy("hash", "digest").agg(F.min_by("row", order).alias("row"))
+    return once.join(first, "hash", "left_semi").select("row.*").unionByName(hashed.where(~worded).select("row.*"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents in which an item of the benchmark is found, by their text, so that null and repeated ids make no
     difference. Null and empty texts stay; without items everything stays; an empty table gives none."""
-    hashed = docs.withColumn("_h", F.xxhash64("text"))
-    hits = cut(decontamination.contaminated(hashed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="_h").select(F.col("doc_id").alias("_h")).distinct(), "hits")
-    return hashed.join(few(hits, BROADCAST_TEXTS), "_h", "left_anti").select(*docs.columns)
+    hashed = _hashed(docs)
+    hits = decontamination.contaminated(hashed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="hash").select(F.col("doc_id").alias("hash")).distinct()
+    return hashed.join(few(cut(hits, "hits"), BROADCAST_TEXTS), "hash", "left_anti").select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
