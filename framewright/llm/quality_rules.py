@@ -2,7 +2,8 @@
 
 A sketch counts, for one measure, the values in buckets that keep the ten leading bits of an integer: quantiles are at most 1/512
 too low, sketches merge by adding counts, and a group has a few thousand buckets at most, however many documents it has. A group
-of fewer than LEAST_ROWS documents takes the merged sketches of its language, a language of fewer those of all documents.
+of fewer than LEAST_ROWS documents takes the merged sketches of its language, a language of fewer those of all documents; so
+does a group without a document above the median. Where no document of all is above it, there is no limit.
 """
 
 from __future__ import annotations
@@ -21,14 +22,17 @@ BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repea
 NAMES = [column.split()[0] for column in BASE.split(", ")]
 SYMBOLS = "[#*$%&|<>]"
 
-#: measure: (so many thousandths a word; the upper quantile in hundredths; how often its distance from the median goes on top;
-#: the limit of groups without spread, where the upper quantile is the median).
+#: measure: (so many thousandths a word; the upper quantile in hundredths; how often its distance from the median goes on top).
+#: Counts that most documents have none of are taken one higher: that is the rate a document of its length can't rule out, so
+#: that a group's lengths give the measure a spread of its own where its counts give none.
 RULES = {
-    "symbols": ("1000 * n_symbols div n_words", 75, 12, 150),
-    "dup_lines": ("1000 * n_dup_lines div n_words", 90, 20, 30),
-    "repeats": ("1000 * n_repeat_words div n_words", 90, 20, 250),
-    "word_length": ("1000 * word_chars div n_words", 75, 12, 12_000),
+    "symbols": ("1000 * (n_symbols + 1) div n_words", 75, 12),
+    "dup_lines": ("1000 * (n_dup_lines + 1) div n_words", 90, 8),
+    "repeats": ("1000 * (n_repeat_words + 1) div n_words", 90, 20),
+    "word_length": ("1000 * word_chars div n_words", 75, 12),
 }
+#: Quantiles that stand in, in this order, where the upper quantile is the median, as in a group that is mostly copies of one text.
+FURTHER = (95, 99, 100)
 #: Documents that pass the base rules which a group needs for limits of its own.
 LEAST_ROWS = 100
 #: Tables of limits of so many rows at most, under 100 bytes each, are broadcast.
@@ -99,7 +103,7 @@ def base_statistics(text: Column) -> Column:
 
 
 def thresholds(stats: DataFrame) -> DataFrame:
-    """(lang, source, limit_<measure>) of each group with documents that pass the base rules."""
+    """(lang, source, limit_<measure>) of each group with documents that pass the base rules; null where there is none."""
     value = F.explode(F.create_map(*[x for name, rule in RULES.items() for x in (F.lit(name), F.expr(rule[0]))]))
     v = stats.where("not base_failed").select("lang", "source", value.alias("measure", "value"))
     shift = F.expr("greatest(length(bin(value)) - 10, 0)")
@@ -110,17 +114,18 @@ def thresholds(stats: DataFrame) -> DataFrame:
     merged = sketch.select(F.expr(groups).alias("g"), "measure", "bucket", "n").groupBy("g", "measure", "bucket").agg(F.sum("n").alias("n"))
     upper = F.create_map(*[x for name, rule in RULES.items() for x in (F.lit(name), F.lit(rule[1]))])
     quantile = "aggregate(array_sort(collect_list(struct(bucket, n))), named_struct('seen', 0L, 'q', cast(null as bigint)), (a, x) -> named_struct('seen', a.seen + x.n, 'q', if(a.q is null and 100 * (a.seen + x.n) >= {p} * sum(n), x.bucket, a.q)), a -> a.q)"
-    q = merged.withColumn("upper", upper[F.col("measure")]).groupBy("g", "measure").agg(F.sum("n").alias("rows"), F.expr(quantile.format(p=50)).alias("mid"), F.expr(quantile.format(p="max(upper)")).alias("high"))
-    q = cut(q.select("g.*", "measure", "rows", "mid", "high"), "quantiles")
+    asked_of = {"mid": 50, "p_upper": "max(upper)"} | {f"p_{p}": p for p in FURTHER}
+    q = merged.withColumn("upper", upper[F.col("measure")]).groupBy("g", "measure").agg(F.sum("n").alias("rows"), *[F.expr(quantile.format(p=p)).alias(name) for name, p in asked_of.items()])
+    high = F.coalesce(*[F.when(F.col(name) > F.col("mid"), F.col(name)) for name in list(asked_of)[1:]])
+    q = cut(q.select("g.*", "measure", "rows", "mid", high.alias("high")), "quantiles")
 
     asked = q.where("level = 0").select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), "measure", F.expr(groups).alias("g")).select("of_lang", "of_source", "measure", "g.*")
-    usable = q.where((F.col("rows") >= LEAST_ROWS) | (F.col("level") == 2)).withColumnsRenamed({c: f"_{c}" for c in ("level", "lang", "source", "measure")})
+    usable = q.where(((F.col("rows") >= LEAST_ROWS) & F.col("high").isNotNull()) | (F.col("level") == 2)).withColumnsRenamed({c: f"_{c}" for c in ("level", "lang", "source", "measure")})
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("level", "lang", "source", "measure")]
     first = asked.join(usable, same[0] & same[1] & same[2] & same[3]).groupBy("of_lang", "of_source", "measure").agg(F.min(F.struct("level", "mid", "high")).alias("q"))
 
     def limit(name: str) -> Column:
-        _, _, times, even = RULES[name]
-        return F.max(F.when(F.col("measure") == name, F.when(F.col("q.high") > F.col("q.mid"), F.col("q.high") + times * (F.col("q.high") - F.col("q.mid"))).otherwise(even)))
+        return F.max(F.when(F.col("measure") == name, F.col("q.high") + RULES[name][2] * (F.col("q.high") - F.col("q.mid"))))
 
     return first.groupBy(F.col("of_lang").alias("lang"), F.col("of_source").alias("source")).agg(*[limit(m).alias(f"limit_{m}") for m in RULES])
 
@@ -129,7 +134,7 @@ def _judged(stats: DataFrame, limits: DataFrame) -> DataFrame:
     """stats with kept, by the limits of its language and source."""
     limits = few(cut(limits, "limits"), BROADCAST_ROWS).withColumnsRenamed({"lang": "_l", "source": "_s"})
     joined = stats.join(limits, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left")
-    fits = " and ".join(f"{rule[0]} <= limit_{m}" for m, rule in RULES.items())
+    fits = " and ".join(f"coalesce({rule[0]} <= limit_{m}, true)" for m, rule in RULES.items())
     return joined.withColumn("kept", F.expr(f"if(base_failed, false, {fits})")).drop("_l", "_s")
 
 
@@ -165,8 +170,10 @@ def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-_LIMITS = ", ".join(f"max(case when measure = '{m}' then case when high > mid then high + {times} * (high - mid) else {even} end end) as limit_{m}" for m, (_, _, times, even) in RULES.items())
-_VALUES = " union all ".join(f"select lang, source, '{m}' as measure, {upper} as upper, {rule.replace(' div ', ' // ')} as value from stats where not base_failed" for m, (rule, upper, _, _) in RULES.items())
+_LIMITS = ", ".join(f"max(case when measure = '{m}' then high + {times} * (high - mid) end) as limit_{m}" for m, (_, _, times) in RULES.items())
+_HIGH = "coalesce(" + ", ".join(f"case when p_{p} > mid then p_{p} end" for p in ("upper", *FURTHER)) + ")"
+_QUANTILES = ", ".join(f"min(case when 100 * up >= {p} * total then bucket end) as p_{p}" for p in ("upper", *FURTHER))
+_VALUES = " union all ".join(f"select lang, source, '{m}' as measure, {upper} as upper, {rule.replace(' div ', ' // ')} as value from stats where not base_failed" for m, (rule, upper, _) in RULES.items())
 ORACLE_SQL = {
     "op6_quality_rules": rf"""
 with words as (select doc_id, lang, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
@@ -182,12 +189,12 @@ measured as ({_VALUES}),
 sketch as (select lang, source, measure, upper, (value >> s) << s as bucket, count(*) as n from (select *, greatest(length(bin(value)) - 10, 0)::bigint as s from measured) group by all),
 merged as (select 0 as level, * from sketch union all select 1, lang, null, measure, upper, bucket, sum(n) from sketch group by all union all select 2, null, null, measure, upper, bucket, sum(n) from sketch group by all),
 seen as (select *, sum(n) over (partition by level, lang, source, measure order by bucket) as up, sum(n) over (partition by level, lang, source, measure) as total from merged),
-quantiles as (select level, lang, source, measure, total, min(case when 2 * up >= total then bucket end) as mid, min(case when 100 * up >= upper * total then bucket end) as high from seen group by all),
-usable as (select * from quantiles where total >= {LEAST_ROWS} or level = 2),
+quantiles as (select *, {_HIGH} as high from (select level, lang, source, measure, total, min(case when 2 * up >= total then bucket end) as mid, {_QUANTILES} from seen group by all)),
+usable as (select * from quantiles where total >= {LEAST_ROWS} and high is not null or level = 2),
 ranked as (select g.lang, g.source, g.measure, u.mid, u.high, row_number() over (partition by g.lang, g.source, g.measure order by u.level) as r from quantiles as g join usable as u
   on g.level = 0 and g.measure = u.measure and (u.level = 2 or u.lang is not distinct from g.lang) and (u.level > 0 or u.source is not distinct from g.source)),
 limits as (select lang, source, {_LIMITS} from ranked where r = 1 group by all)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  case when base_failed then false else {" and ".join(f"{rule.replace(' div ', ' // ')} <= limit_{m}" for m, (rule, _, _, _) in RULES.items())} end as kept
+  case when base_failed then false else {" and ".join(f"coalesce({rule.replace(' div ', ' // ')} <= limit_{m}, true)" for m, (rule, _, _) in RULES.items())} end as kept
 from stats left join limits on stats.lang is not distinct from limits.lang and stats.source is not distinct from limits.source"""
 }

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from framewright.llm import decontamination, language
+from framewright.llm import decontamination, language, quality_rules
 from test_text_operators import LONG, docs
 
 TEXTS = [" ".join(f"{'abcdefgh'[(i * k) % 8]}{k}x" for k in range(80)) for i in range(1, 6)]
@@ -63,3 +63,17 @@ def test_seeds_of_many_items_and_documents(spark, monkeypatch):
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     got = decontamination.contaminated(docs(spark, rows), benchmark).select("doc_id", "item_id").collect()
     assert sorted(map(tuple, got)) == sorted((d, i) for d in range(60) for i, _ in items)
+
+
+def test_limits_of_groups_without_spread(spark):
+    plain = " ".join(f"word{k}x" for k in range(80))
+    other = lambda i: " ".join(f"{'abcd'[k % 4]}{i}y{k}" for k in range(60 + i))
+    copies = [(i, plain, "en", "copies") for i in range(300)] + [(400 + i, other(i), "en", "copies") for i in range(9)] + [(500, "# $ " * 60 + plain, "en", "copies")]
+    mixed = [(1000 + i, other(i % 90), "en", "mixed") for i in range(200)] + [(1900, "# $ " * 60 + plain, "en", "mixed")]
+    limits = {r.source: r for r in quality_rules.thresholds(quality_rules._statistics(docs(spark, copies + mixed), "text", "lang", "source")).collect()}
+    assert limits["copies"].limit_word_length is None  # no document is above the median
+    assert limits["copies"].limit_symbols != limits["mixed"].limit_symbols  # each has its own, from its documents
+    kept = {r.doc_id: r.kept for r in quality_rules.judged(docs(spark, copies + mixed)).collect()}
+    assert not kept[1900] and all(k for i, k in kept.items() if i not in (500, 1900))
+    even = quality_rules.thresholds(quality_rules._statistics(docs(spark, copies[:200]), "text", "lang", "source")).first()
+    assert even.limit_symbols is None and all(r.kept for r in quality_rules.judged(docs(spark, copies[:200])).collect())
