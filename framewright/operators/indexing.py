@@ -8,6 +8,8 @@ from framewright.sources.scratch import cut
 
 #: Consecutive keys whose sizes are summed in one window partition.
 BLOCK = 65_536
+#: Sizes that are summed up exactly.
+EXACT = "decimal(38, 9)"
 
 
 def with_offsets(episodes: DataFrame, key: str = "episode_index", length: str = "length", start: str = "dataset_from_index", end: str = "dataset_to_index", block: float = BLOCK, kind: str = "long") -> DataFrame:
@@ -24,6 +26,17 @@ def with_offsets(episodes: DataFrame, key: str = "episode_index", length: str =
     return out.withColumn(start, (F.col(end) - F.col(length)).cast(kind)).select(*episodes.columns, start, end)
 
 
+def with_sums(episodes: DataFrame, key: str, sums: dict[str, tuple[str, str]], block: float = BLOCK) -> DataFrame:
+    """Adds (start, end) for each length in sums (length: (start, end)) in one pass: as with_offsets() for several of them."""
+    blocked = episodes.withColumn("_block", F.floor(F.col(key) / block))
+    inside = Window.partitionBy("_block").orderBy(key)
+    within = blocked.withColumns({end: F.sum(length).over(inside) for length, (_, end) in sums.items()})
+    totals = blocked.groupBy("_block").agg(*[F.sum(length).alias(f"_of_{length}") for length in sums])
+    before = totals.select("_block", *[(F.sum(f"_of_{n}").over(Window.orderBy("_block")) - F.col(f"_of_{n}")).alias(f"_before_{n}") for n in sums])  # a row for each block
+    ended = within.join(before, "_block").withColumns({end: (F.col(end) + F.col(f"_before_{n}")).cast("long") for n, (_, end) in sums.items()})
+    return ended.select(*episodes.columns, *[c for n, (start, end) in sums.items() for c in ((F.col(end) - F.col(n)).cast("long").alias(start), F.col(end))])
+
+
 def dense_rank_of(keys: DataFrame, key: str = "episode_index", rank: str = "new_index", block: int = BLOCK) -> DataFrame:
     """(key, rank): the position, from 0, of each distinct key in order."""
     distinct = keys.select(key).distinct().withColumn("_one", F.lit(1).cast("long"))
@@ -32,9 +45,8 @@ def dense_rank_of(keys: DataFrame, key: str = "episode_index", rank: str = "new_
 
 def reindexed(frames: DataFrame, key: str = "episode_index", order: str = "frame_index") -> tuple[DataFrame, DataFrame]:
     """frames with dense episode ids, contiguous frame_index and index; and the new episode table (old id, new id, length, offsets)."""
-    lengths = frames.groupBy(key).agg(F.count("*").alias("length"))
-    ranks = dense_rank_of(lengths, key, "new_episode_index")
-    episodes = with_offsets(lengths.join(ranks, key), "new_episode_index", "length")
+    lengths = frames.groupBy(key).agg(F.count("*").alias("length")).withColumn("_one", F.lit(1).cast("long"))
+    episodes = with_sums(lengths, key, {"_one": ("new_episode_index", "_end"), "length": ("dataset_from_index", "dataset_to_index")}).drop("_one", "_end")
     w = Window.partitionBy(key).orderBy(order)
     rest = [c for c in frames.columns if c not in (key, order, "index")]
     numbered = frames.withColumn("_frame", (F.row_number().over(w) - 1).cast("long")).join(episodes.select(key, "new_episode_index", "dataset_from_index"), key)
@@ -46,19 +58,25 @@ def placed(episodes: DataFrame, key: str, size: str, limit: float, max_episodes:
     """(key, batch, chunk_index, file_index): episodes packed in order, a new file where the current one with the next
     would pass a limit; an episode over a limit has a file to itself.
 
-    From the running sums each episode tells where the next file would begin if it began one itself; following these steps from
-    the first episode, with jumps that double each round, gives the files. No task sees more than a block of episodes.
+    Sizes and limits are taken in decimals of nine places, so that sums are exact. From the running sums each episode tells where
+    the next file would begin if it began one itself; following these steps from the first episode, with jumps that double each
+    round, gives the files. No task sees more than a block of episodes, or a sampled range of sums, however sizes differ.
     """
-    e = episodes.select(key, F.col(size).cast("double").alias("_s"), F.col(frames).cast("long").alias("_f"))
+    e = episodes.select(key, F.col(size).cast(EXACT).alias("_s"), F.col(frames).cast("long").alias("_f"))
     e = cut(e.join(dense_rank_of(e, key, "_r"), key), "ranked")
-    sums = cut(with_offsets(with_offsets(e, "_r", "_s", "_s0", "_s1", kind="double"), "_r", "_f", "_f0", "_f1"), "sums")
+    sums = cut(with_offsets(with_offsets(e, "_r", "_s", "_s0", "_s1", kind=EXACT), "_r", "_f", "_f0", "_f1"), "sums")
 
     def first_over(low: str, high: str, most: float) -> DataFrame:
         """(_r, _j): the first rank whose sum passes that before _r by more than most, that is the number of sums that don't."""
-        width = max(1.0, float(sums.agg(F.max(high)).first()[0] or 0) / BLOCK)
-        points = sums.select(F.col(high).cast("double").alias("_at"), F.lit(1).cast("long").alias("_one"), F.lit(None).cast("long").alias("_r"))
-        asked = sums.select((F.col(low) + F.lit(most)).cast("double").alias("_at"), F.lit(0).cast("long").alias("_one"), "_r")
-        return with_offsets(points.unionByName(asked), "_at", "_one", "_", "_j", width).where("_r is not null").select("_r", "_j")
+        points = sums.select(F.col(high).cast(EXACT).alias("_at"), F.lit(0).alias("_asked"), "_r")
+        asked = sums.select((F.col(low) + F.lit(most).cast(EXACT)).cast(EXACT).alias("_at"), F.lit(1).alias("_asked"), "_r")
+        # ranges are sampled, so each holds about as many rows; at one sum the points come first
+        dealt = points.unionByName(asked).repartitionByRange("_at", "_asked", "_r").sortWithinPartitions("_at", "_asked", "_r")
+        dealt = cut(dealt.withColumn("_part", F.spark_partition_id()), "dealt")
+        totals = dealt.groupBy("_part").agg(F.sum(1 - F.col("_asked")).alias("_n"))
+        before = totals.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each range
+        inside = F.sum(1 - F.col("_asked")).over(Window.partitionBy("_part").orderBy("_at", "_asked", "_r"))
+        return dealt.withColumn("_in", inside).where("_asked = 1").join(before, "_part").select("_r", (F.col("_in") + F.col("_before")).alias("_j"))
 
     steps = first_over("_s0", "_s1", limit)
     if max_frames:

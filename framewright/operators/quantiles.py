@@ -1,4 +1,4 @@
-"""Exact quantiles of few large groups, without a buffer of a group's values."""
+"""Quantiles of few large groups, without a buffer of a group's values: exact ones, and sketches that can be stored and merged."""
 
 from __future__ import annotations
 
@@ -47,3 +47,35 @@ def exact_quantiles(values: DataFrame, v: str, quantiles: dict[str, float], keys
     found = joined(inside, asked).where((F.col("_rank") - F.col("_before") >= F.col("_low")) & (F.col("_rank") - F.col("_before") < F.col("_high")))
     share = F.when(F.col("_rank") == F.col("at"), 1.0).when(F.col("_rank") < F.col("at"), F.col("_rank") + 1 - F.col("at")).otherwise(F.col("at") + 1 - F.col("_rank"))
     return found.groupBy(*by).agg(*[F.sum(F.when(F.col("name") == name, F.col("_v") * share)).alias(name) for name in quantiles])
+
+
+#: A sketch: how many values are in each bucket, by bucket. Values of a bucket are at most 1 / STEPS of their size apart.
+SKETCH = "array<struct<bucket: bigint, n: bigint>>"
+#: The quantiles of a sketch are off by so much of their size at most.
+SKETCH_ERROR = 0.5 / STEPS
+
+
+def sketches(values: DataFrame, v: str, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, sketch): a sketch of v for each key; nulls and NaN are left out. A sketch has some thousands of buckets at most."""
+    rows = values.where(F.col(v).isNotNull() & ~F.isnan(v)).groupBy(*keys, bucket(F.col(v)).alias("bucket")).agg(F.count("*").alias("n"))
+    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("sketch"))
+
+
+def merged_sketches(parts: DataFrame, keys: tuple[str, ...], sketch: str = "sketch") -> DataFrame:
+    """(keys, sketch) of all values that the parts' sketches count; null where a part has none."""
+    whole = parts.groupBy(*keys).agg(F.bool_and(F.col(sketch).isNotNull()).alias("_all")).where("_all").drop("_all")
+    counted = parts.select(*keys, F.inline(sketch)).groupBy(*keys, "bucket").agg(F.sum("n").alias("n"))
+    return counted.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("sketch")).join(whole, list(keys), "left_semi")
+
+
+def sketch_quantile(sketch: Column, q: float) -> Column:
+    """The linearly interpolated quantile; each value stands for the middle of its bucket."""
+
+    def at(rank: Column) -> Column:
+        reached = F.aggregate(sketch, F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("found")), lambda a, x: F.struct((a["seen"] + x["n"]).alias("seen"), F.coalesce(a["found"], F.when(a["seen"] + x["n"] > rank, x["bucket"])).alias("found")), lambda a: a["found"])
+        size = F.exp((F.abs(reached) - MIDDLE + 0.5) / STEPS)
+        return F.when(reached == 0, 0.0).when(F.abs(reached) == (1 << 30), F.signum(reached) * float("inf")).otherwise(F.signum(reached) * size)
+
+    rank = (F.aggregate(sketch, F.lit(0).cast("long"), lambda a, x: a + x["n"]) - 1) * q
+    low, high = at(F.floor(rank)), at(F.ceil(rank))
+    return F.when(low == high, low).otherwise(low + (high - low) * (rank - F.floor(rank)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from framewright.operators.quantiles import exact_quantiles
+from framewright.operators.quantiles import SKETCH_ERROR, exact_quantiles, merged_sketches, sketch_quantile, sketches  # noqa: F401
 
 QUANTILES = (0.01, 0.10, 0.50, 0.90, 0.99)
 
@@ -40,6 +40,17 @@ def feature_stats(frames: DataFrame, features: list[str], keys: tuple[str, ...]
     return out.select(*keys, "feature", "dim", "count", "min", "max", "mean", "std", *[F.when(F.col("count") < 2, F.col("mean")).otherwise(F.col(n)).alias(n) for n in names])
 
 
+def with_sketches(stats: DataFrame, frames: DataFrame, features: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """stats of frames with a mergeable sketch of each feature and dim, from which sketched() takes quantiles; null where there are no numbers."""
+    by = (*keys, "feature", "dim")
+    return stats.join(sketches(long_vectors(frames, features, keys), "v", by), list(by), "left")
+
+
+def sketched(stats: DataFrame, quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
+    """stats with quantiles from its sketches, right within SKETCH_ERROR of their size; with fewer than two rows they are the mean."""
+    return stats.select("*", *[F.when(F.col("count") < 2, F.col("mean")).otherwise(sketch_quantile(F.col("sketch"), q)).alias(quantile_name(q)) for q in quantiles])
+
+
 def positional_stats(frames: DataFrame, feature: str, dims: int) -> DataFrame:
     """min, max, mean and std of a short vector's dimensions, without a row for each element."""
     v = [F.col(feature)[i].cast("double") for i in range(dims)]
@@ -49,7 +60,8 @@ def positional_stats(frames: DataFrame, feature: str, dims: int) -> DataFrame:
 
 def merged_stats(parts: DataFrame, quantiles: tuple[float, ...] = ()) -> DataFrame:
     """One row for each feature and dim from rows of several parts: count-weighted means, variances with the distance of
-    means, and count-weighted quantiles (an approximation) where all parts have them. A feature may be in some parts only."""
+    means, and count-weighted quantiles (an approximation) where all parts have them. Sketches are merged where all parts have
+    them, and give quantiles with a known error. A feature may be in some parts only."""
     n, mean, std = F.col("count"), F.col("mean"), F.col("std")
     named = [quantile_name(q) for q in quantiles]
     g = parts.groupBy("feature", "dim").agg(
@@ -57,7 +69,8 @@ def merged_stats(parts: DataFrame, quantiles: tuple[float, ...] = ()) -> DataFra
         *[F.when(F.count_if(F.col(q).isNull()) == 0, F.sum(n * F.col(q))).alias(f"_{q}") for q in named],
     )
     m = F.col("_m") / F.col("count")
-    return g.select("feature", "dim", "count", "min", "max", m.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.col("_s") / F.col("count") - m * m)).alias("std"), *[(F.col(f"_{q}") / F.col("count")).alias(q) for q in named])
+    out = g.select("feature", "dim", "count", "min", "max", m.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.col("_s") / F.col("count") - m * m)).alias("std"), *[(F.col(f"_{q}") / F.col("count")).alias(q) for q in named])
+    return out.join(merged_sketches(parts, ("feature", "dim")), ["feature", "dim"], "left") if "sketch" in parts.columns else out
 
 
 def as_document(stats: DataFrame, names: tuple[str, ...] = ("min", "max", "mean", "std", "count")) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from framewright.functions.vectors import real_dims
+from framewright.operators.indexing import with_offsets
 from framewright.operators import labels as L, stats as S, windows as W
 from framewright.plans.registry import query
+from framewright.plans.stream_queries import Planted, failing_at
 from framewright.plans.views import episodes_ev, ev, frames_ev, frames_li, li, table
 from framewright.sources import dataset as D, schema as C
 from framewright.sources.scratch import new_folder
@@ -96,14 +98,80 @@ def s10_appended_stats(spark, sf):
     return s.select("feature", "dim", "count", "min", "max", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
-def _appended(spark, sf):
-    root = new_folder(spark, "growing")
-    buffer = frames_ev(spark, sf).select(F.col("episode_index").alias("source"), F.col("frame_index").alias("step"), F.col("label").alias("task"), "x")
-    for half in (0, 1):
-        D.appended(spark, root, buffer.where(F.col("source") % 2 == half), 30, ["x"])
+def _buffer(spark, sf):
+    return frames_ev(spark, sf).select(F.col("episode_index").alias("source"), F.col("frame_index").alias("step"), F.col("label").alias("task"), "x")
+
+
+def _appended(spark, sf, steps=()):
+    """A dataset of two halves; before the second is appended, a writer fails at each of the steps named."""
+    root, buffer = new_folder(spark, "growing"), _buffer(spark, sf)
+    D.appended(spark, root, buffer.where(F.col("source") % 2 == 0), 30, ["x"])
+    for step in steps:
+        try:
+            D.appended(spark, root, buffer.where(F.col("source") % 2 == 1), 30, ["x"], told=failing_at(step))
+        except Planted:
+            continue
+        raise RuntimeError(f"{step} was never reached")
+    D.appended(spark, root, buffer.where(F.col("source") % 2 == 1), 30, ["x"])
     return root
 
 
+@query(ev(_TWICE + ", t as (select label, row_number() over (order by min(i)) - 1 as task_index from g group by 1) select e as episode_index, i as index, x, task_index from g join t using (label)"))
+def s10_recovered_append(spark, sf):
+    """Writers that fail before each of their writes leave nothing behind that is read, and the one that gets through appends once."""
+    return D.stored(spark, _appended(spark, sf, ("frames", "episodes", "tasks", "stats", "commit")))["frames"].select("episode_index", "index", "x", "task_index")
+
+
+_BUCKETS = """, b as (select case when x = 0 then 0 else sign(x) * (floor(ln(abs(x)) * 256) + 1048576) end::bigint as b, count(*) as n from frames_ev group by 1),
+u as (select b, sum(n) over (order by b) as up, sum(n) over () as total from b),
+m as (select *, case when b = 0 then 0 else sign(b) * exp((abs(b) - 1048576 + 0.5) / 256) end as v from u),
+q as (select p.name, p.q * (any_value(total) - 1) as spot, p.q, min(v) filter (up > floor(p.q * (total - 1))) as low, min(v) filter (up > ceil(p.q * (total - 1))) as high from m, (values ('q01', 0.01::double), ('q10', 0.1), ('q50', 0.5), ('q90', 0.9), ('q99', 0.99)) as p(name, q) group by 1, 3)"""
+
+
+@query(ev(_BUCKETS + " select 'x' as feature, name, round(low + (high - low) * (spot - floor(spot)), 6) as value from q"))
+def s10_appended_quantiles(spark, sf):
+    """Quantiles from the sketches that were stored with each half and merged on appending."""
+    s = S.sketched(D.stored(spark, _appended(spark, sf))["stats"])
+    names = [S.quantile_name(q) for q in S.QUANTILES]
+    melted = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.round(n, 6).alias("value")) for n in names])).alias("m")
+    return s.select("feature", melted).select("feature", "m.name", "m.value")
+
+
+@query(ev(", q as (select quantile_cont(x, [0.01, 0.1, 0.5, 0.9, 0.99]) as q from frames_ev) select 'x' as feature, true as within from q"))
+def a03_merged_sketches(spark, sf):
+    """Whether the quantiles of merged sketches, one for each episode, are as near to the exact ones as they say."""
+    f = frames_ev(spark, sf)
+    parts = S.with_sketches(S.feature_stats(f, ["x"], ("episode_index",), ()), f, ["x"], ("episode_index",)).drop("episode_index")
+    merged, exact = S.sketched(S.merged_stats(parts)), S.feature_stats(f, ["x"])
+    names = [S.quantile_name(q) for q in S.QUANTILES]
+    near = [F.abs(merged[n] - exact[n]) <= F.abs(exact[n]) * S.SKETCH_ERROR * 1.001 for n in names]
+    both = merged.join(exact, ["feature", "dim"])
+    within = near[0]
+    for n in near[1:]:
+        within = within & n
+    return both.select("feature", within.alias("within"))
+
+
+@query(ev(_TWICE + ", t as (select label, row_number() over (order by min(i)) - 1 as task_index from g group by 1), d as (select e, i, x, label, 0 as k from g union all select e, i, x, label || '_b', 1 from g where e % 3 = 0), r as (select *, dense_rank() over (order by k, e) - 1 as ne, row_number() over (order by k, i) - 1 as ni from d), w as (select label, row_number() over (order by min(ni)) - 1 as task_index from r group by 1) select ne as episode_index, ni as index, x, label as task from r"))
+def u01_merged_by_reference(spark, sf):
+    """Two stored datasets, one of them appended to, as one without a copy of their frames; their tasks are others."""
+    first, second, both = _appended(spark, sf), new_folder(spark, "second"), new_folder(spark, "both")
+    held = D.stored(spark, first)
+    some = held["frames"].where("episode_index % 3 = 0").join(held["tasks"], "task_index")
+    D.appended(spark, second, some.select(F.col("episode_index").alias("source"), F.col("frame_index").alias("step"), F.concat("task", F.lit("_b")).alias("task"), "x"), 30, ["x"])
+    D.merged_by_reference(spark, both, [first, second])
+    found = D.stored(spark, both)
+    return found["frames"].join(found["tasks"], "task_index").select("episode_index", "index", "x", "task")
+
+
+@query(ev("select index, episode_index, x from frames_ev where episode_index % 37 = 5"))
+def s02_episodes_by_file(spark, sf):
+    """Frames of some episodes, from the files that hold them."""
+    root = new_folder(spark, "rotated")
+    place = D.write_rotated(frames_ev(spark, sf).select("index", "episode_index", "x"), root, 0.005, 4)
+    return D.scan_placed(spark, root, place, place.where("episode_index % 37 = 5")).select("index", "episode_index", "x")
+
+
 @query(ev("select index, x::float as x from frames_ev where index % 3 = 0"))
 def s11_sidecar_round_trip(spark, sf):
     root = new_folder(spark, "sidecar")
@@ -168,6 +236,18 @@ def s18_exported_log(spark, sf):
     return D.exported_log(log, 40, 13, 40).select("ring", "slot", "episode_index", "frame_index")
 
 
+@query("""with k as (select event_id, row_number() over (order by event_id) - 1 as slot, event_type = 'purchase' as done from events), a as (select *, (slot - 777 + n) % n as age from k, (select count(*) as n from events)),
+e as (select slot, age, coalesce(sum(done::int) over (order by age rows between unbounded preceding and 1 preceding), 0)::bigint as episode_index from a)
+select slot, episode_index, row_number() over (partition by episode_index order by age) - 1 as frame_index from e""")
+def s18_one_large_ring(spark, sf):
+    """All events in one ring, read from slot 777 on; no task has more than a block of 500 slots."""
+    events = table(spark, sf, "events")
+    n = events.count()
+    log = with_offsets(events.select("event_id", (F.col("event_type") == "purchase").alias("done")).withColumn("one", F.lit(1).cast("long")), "event_id", "one", "slot", "end")
+    log = log.select(F.lit(0).alias("ring"), "slot", "done", F.lit(False).alias("truncated"))
+    return D.exported_log(log, n, 777, n, block=500).select("slot", "episode_index", "frame_index")
+
+
 @query(ev(", k as (select *, case when frame_index % 5 = 2 then x / 500 end as y from frames_ev) select index, episode_index, frame_index, round(y, 6) as progress_sparse from k where y is not null"))
 def s19_progress_table(spark, sf):
     f = frames_ev(spark, sf).withColumn("y", F.when(F.col("frame_index") % 5 == 2, F.col("x") / 500)).withColumn("progress_dense", W.interpolated("y"))

@@ -9,24 +9,25 @@ from framewright.plans.registry import query
 from framewright.plans.views import episodes_ev, ev, frames_ev, gap, table
 from framewright.sources import dataset as D
 from framewright.sources.scratch import cut, new_folder
-from framewright.streaming import stateful as R
+from framewright.streaming import annotation as A, stateful as R
 
 
-#: Rows of a slice, about; there are four slices at least.
+#: Rows of a file, about; there are four files at least.
 SLICE_ROWS = 1_000_000
 
 
 def _source(rows: DataFrame) -> DataFrame:
-    """rows as a stream of files, each a slice of _seq and one batch: the files are written one after the other, as they would
-    come, since a stream takes files by the time they were written."""
+    """rows as a stream of files, each a range of _seq and one batch. They are written at once; as a stream takes files by the time
+    they were changed, the files are then given the times at which they would have come."""
     spark, root = rows.sparkSession, new_folder(rows.sparkSession, "stream")
     rows = cut(rows, "rows")
-    found = rows.agg(F.min("_seq").alias("lo"), F.max("_seq").alias("hi"), F.count("*").alias("n")).first()
-    slices = max(4, -(-found.n // SLICE_ROWS))
-    width = ((found.hi or 0) - (found.lo or 0)) // slices + 1
-    for k in range(slices):
-        low = (found.lo or 0) + k * width
-        rows.where((F.col("_seq") >= low) & (F.col("_seq") < low + width)).coalesce(1).sortWithinPartitions("_seq").write.mode("append").parquet(f"{root}/data")
+    slices = max(4, -(-rows.count() // SLICE_ROWS))
+    rows.repartitionByRange(slices, "_seq").sortWithinPartitions("_seq").write.parquet(f"{root}/data")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/data")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted(f.getPath().toString() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-"))  # numbered by range
+    for k, file in enumerate(files):
+        fs.setTimes(spark._jvm.org.apache.hadoop.fs.Path(file), 1_600_000_000_000 + 1_000 * k, -1)
     return D.stream_frames(spark, root, rows.schema, files_per_trigger=1)
 
 
@@ -126,12 +127,49 @@ def r08_two_pass_labels(spark, sf):
     return L.binarized(table_, L.task_thresholds(table_)).select("index", "indicator")
 
 
-@query(ev("select index, x * 2 as score from frames_ev"))
+class Planted(RuntimeError):
+    """A failure that a query plants on purpose."""
+
+
+def failing_at(step: str):
+    """To be told of steps; fails at the one named."""
+
+    def told(name: str) -> None:
+        if name == step:
+            raise Planted(step)
+
+    return told
+
+
+@query(ev(", t as (select task_index, quantile_cont(x * 2, 0.7) as q from frames_ev group by 1) select index, x * 2 as score, (x * 2 >= q)::int::bigint as indicator from frames_ev join t using (task_index)"))
 def r07_resumed_annotation(spark, sf):
-    """Half of the episodes are done; the rest are found by an anti join, scored and appended."""
-    f, out = frames_ev(spark, sf), new_folder(spark, "annotated")
-    score = lambda d: d.select("episode_index", "index", (F.col("x") * 2).alias("score"))
-    score(f.where("episode_index % 2 = 0")).write.mode("append").parquet(out)
-    done = spark.read.parquet(out).select("episode_index").distinct()
-    score(f.join(done, "episode_index", "left_anti")).write.mode("append").parquet(out)
-    return spark.read.parquet(out).select("index", "score")
+    """Scoring that fails three times: with a batch scored but not recorded, with all scored and nothing merged, with all merged
+    and nothing committed. Each call goes on where the one before was broken off."""
+    f = frames_ev(spark, sf).select("episode_index", "index", "task_index", "x")
+    e, root, out = cut(episodes_ev(spark, sf).select("episode_index", "length"), "episodes"), new_folder(spark, "frames"), new_folder(spark, "annotated")
+    cut(f, "rows").repartitionByRange(4, "episode_index").write.parquet(f"{root}/data")
+    run = lambda told=lambda step: None: A.annotated(spark, root, f.schema, e, out, F.col("x") * 2, files_per_trigger=1, told=told)
+    for step in ("status 2", "merge", "commit"):
+        try:
+            run(failing_at(step))
+        except Exception as failure:
+            if "Planted" not in str(failure) and not isinstance(failure, Planted):
+                raise
+        else:
+            raise RuntimeError(f"{step} was never reached")
+    return run().select("index", F.col("advantage").alias("score"), "indicator")
+
+
+@query(ev(", n as (select count(*) as n from episodes_ev) select status, case when status = 'inference' then 0 else n end as done, n as total from n, (values ('inference'), ('merging'), ('completed')) as t(status)"))
+def r07_annotation_status(spark, sf):
+    """What the status says before, after a failure between scoring and merging, and at the end."""
+    f = frames_ev(spark, sf).select("episode_index", "index", "task_index", "x")
+    e, root, out = cut(episodes_ev(spark, sf).select("episode_index", "length"), "episodes"), new_folder(spark, "frames"), new_folder(spark, "annotated")
+    f.repartitionByRange(4, "episode_index").write.parquet(f"{root}/data")
+    seen = [A.progress(spark, out, e)]
+    try:
+        A.annotated(spark, root, f.schema, e, out, F.col("x"), told=failing_at("merge"))
+    except Planted:
+        seen.append(A.progress(spark, out, e))
+    A.annotated(spark, root, f.schema, e, out, F.col("x"))
+    return seen[0].union(seen[1]).union(A.progress(spark, out, e))

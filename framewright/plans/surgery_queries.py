@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from framewright.operators import indexing as I, sampling as T, stats as S, steps as P, surgery as G
@@ -191,6 +193,16 @@ def w24_size_packing(spark, sf):
     return I.placed(episodes_ev(spark, sf), "episode_index", "length", 500, 6, chunk_files=4)
 
 
+@query(f"""with recursive {ev('')[5:]}, o as (select episode_index, (case when episode_index = 7 then 1000000 else 1 end * length::decimal(38, 9) * 0.1)::decimal(38, 9) as size, row_number() over (order by episode_index) as r from episodes_ev),
+p as (select r, episode_index, size as s, 0::bigint as b from o where r = 1 union all
+  select o.r, o.episode_index, (case when p.s + o.size > 30 then o.size else p.s + o.size end)::decimal(38, 9), case when p.s + o.size > 30 then p.b + 1 else p.b end from p join o on o.r = p.r + 1)
+select episode_index, b as batch from p""")
+def w24_fractional_packing(spark, sf):
+    """Tenths, which doubles can't add up exactly, and one episode a million times larger than the rest."""
+    tenth = (F.when(F.col("episode_index") == 7, 1_000_000).otherwise(1).cast("long") * F.col("length")).cast("decimal(20, 0)") * F.lit(Decimal("0.1"))
+    return I.placed(episodes_ev(spark, sf).withColumn("size", tenth), "episode_index", "size", 30).select("episode_index", "batch")
+
+
 @query(ev("select episode_index, task_index, round(sum(length / 10) over w - length / 10, 6) as from_timestamp, round(sum(length / 10) over w, 6) as to_timestamp from episodes_ev window w as (partition by task_index order by episode_index)"))
 def w25_rebased_videos(spark, sf):
     e = G.rebased_videos(episodes_ev(spark, sf), 10, ("task_index",))

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from framewright.operators.indexing import placed, with_offsets
+from framewright.operators.indexing import BLOCK, placed, with_offsets
 from framewright.operators.labels import report_label
-from framewright.operators.stats import feature_stats, merged_stats
+from framewright.operators.stats import feature_stats, merged_stats, with_sketches
+from framewright.sources import commits
 from framewright.sources.schema import schema_of
-from framewright.sources.scratch import cut
+from framewright.sources.scratch import cut, few
 
 #: Up to so many episodes are a pushed-down list; more are a semi join.
 LISTED_EPISODES = 1_000
@@ -54,8 +57,8 @@ def column_bytes(frames: DataFrame) -> Column:
     return reduce(lambda a, b: a + b, [of(F.col(f"`{n}`"), t) for n, t in frames.dtypes], F.lit(0)).cast("long")
 
 
-def write_rotated(frames: DataFrame, root: str, max_mb: float = 100, chunk_files: int = 1000, first_file: int = 0) -> DataFrame:
-    """Whole episodes in order in files root/data/chunk_index=.../file_index=..., a new one where the next episode would bring
+def write_rotated(frames: DataFrame, root: str, max_mb: float = 100, chunk_files: int = 1000, first_file: int = 0, folder: str = "data") -> DataFrame:
+    """Whole episodes in order in files root/folder/chunk_index=.../file_index=..., a new one where the next episode would bring
     the columns' bytes over max_mb. Gives the map (episode_index, chunk_index, file_index), numbered on from first_file.
 
     A file is one task's work: a file is as large as max_mb or one episode at most.
@@ -65,40 +68,101 @@ def write_rotated(frames: DataFrame, root: str, max_mb: float = 100, chunk_files
     number = F.col("batch") + first_file
     place = cut(place.select("episode_index", F.floor(number / chunk_files).alias("chunk_index"), (number % chunk_files).alias("file_index")), "places")
     rows = frames.join(place, "episode_index").repartition("chunk_index", "file_index").sortWithinPartitions("chunk_index", "file_index", "index")
-    rows.write.mode("append" if first_file else "overwrite").partitionBy("chunk_index", "file_index").parquet(f"{root}/data")
+    rows.write.mode("append" if first_file else "overwrite").partitionBy("chunk_index", "file_index").parquet(f"{root}/{folder}")
     return place
 
 
-def appended(spark: SparkSession, root: str, buffer: DataFrame, fps: float, features: list[str], max_mb: float = 100) -> None:
+def appended(spark: SparkSession, root: str, buffer: DataFrame, fps: float, features: list[str], max_mb: float = 100, told: Callable[[str], None] = lambda step: None) -> None:
     """Add the buffer's episodes (source, step, task, ...) to the stored dataset at root, or begin one.
 
-    They take the next ids, indices, tasks and files; their rows are added to the episode table, and the statistics of
-    features are merged with the stored ones by count. What is stored is added to and, where it is small, replaced by a new
-    version: tasks and statistics are kept by version, the newest counts.
+    They take the next ids, indices, tasks and files. Frames, episodes, tasks and statistics go to a part of their own under
+    root/data and the like, and all become visible when the record of the next version is committed: a writer that fails on the way leaves
+    the dataset as it was, and one that runs again writes another part. Of two writers at once the later one raises Conflict.
+    Statistics, with mergeable quantile sketches, are merged with the stored ones. told is called with each step's name before it.
     """
     old = stored(spark, root)
     last = old["episodes"].agg(F.max("episode_index").alias("e"), F.max("dataset_to_index").alias("i"), F.max(F.col("chunk_index") * 1000 + F.col("file_index")).alias("f")).first() if old else None
+    name = uuid.uuid4().hex
     frames, episodes, tasks = ingest(buffer, fps, old["tasks"] if old else None, last.e + 1 if old else 0, last.i if old else 0)
     frames = cut(frames, "new-frames")
-    place = write_rotated(frames, root, max_mb, first_file=last.f + 1 if old else 0)
-    episodes.join(place, "episode_index").write.mode("append").parquet(f"{root}/meta/episodes")
-    stats = feature_stats(frames, features, quantiles=())
-    version = old["version"] + 1 if old else 0
-    if old:
-        stats = merged_stats(stats.unionByName(old["stats"]))
-    cut(stats, "stats").write.parquet(f"{root}/meta/stats/version={version}")
-    cut(tasks, "tasks").write.parquet(f"{root}/meta/tasks/version={version}")
+    told("frames")
+    place = write_rotated(frames, root, max_mb, first_file=last.f + 1 if old else 0, folder=f"data/part={name}")
+    told("episodes")
+    episodes.join(place, "episode_index").write.parquet(f"{root}/episodes/part={name}")
+    told("tasks")
+    tasks.write.parquet(f"{root}/tasks/part={name}")
+    told("stats")
+    stats = with_sketches(feature_stats(frames, features, quantiles=()), frames, features)
+    (merged_stats(stats.unionByName(old["stats"])) if old else stats).write.parquet(f"{root}/stats/part={name}")
+    told("commit")
+    before = old["record"]["parts"] if old else []
+    commits.commit(spark, root, {"version": len(before), "parts": [*before, {"root": root, "part": name}], "tasks": f"{root}/tasks/part={name}", "stats": f"{root}/stats/part={name}"})
 
 
 def stored(spark: SparkSession, root: str) -> dict | None:
-    """frames, episodes, tasks and stats of the dataset that appended() keeps at root, and its version; None where there is none."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/meta/tasks")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    """frames, episodes, tasks and stats of the newest version of the dataset at root, and its record; None where there is none.
+
+    A part whose ids or tasks are others in this dataset is read with its shifts and its map of task ids.
+    """
+    record = commits.newest(spark, root)
+    if record is None:
         return None
-    tasks = spark.read.parquet(f"{root}/meta/tasks")
-    version = tasks.agg(F.max("version")).first()[0]
-    newest = lambda df: df.where(F.col("version") == version).drop("version")
-    return {"frames": spark.read.parquet(f"{root}/data"), "episodes": spark.read.parquet(f"{root}/meta/episodes"), "tasks": newest(tasks), "stats": newest(spark.read.parquet(f"{root}/meta/stats")), "version": version}
+
+    def shifted(df: DataFrame, part: dict) -> DataFrame:
+        moved = {"episode_index": part.get("episodes", 0), **dict.fromkeys(("index", "dataset_from_index", "dataset_to_index"), part.get("rows", 0))}
+        df = df.withColumns({c: F.col(c) + by for c, by in moved.items() if by and c in df.columns})
+        if "map" in part and "task_index" in df.columns:
+            names = few(spark.read.parquet(part["map"]))
+            df = df.join(names, "task_index").drop("task_index").withColumnRenamed("new_task_index", "task_index")
+        return df
+
+    def of(kind: str) -> DataFrame:
+        groups: dict[str, list[dict]] = {}  # parts that are shifted alike are read together
+        for p in record["parts"]:
+            groups.setdefault(json.dumps({**p, "part": ""}, sort_keys=True), []).append(p)
+        read = [shifted(spark.read.option("basePath", f"{g[0]['root']}/{kind}").parquet(*[f"{p['root']}/{kind}/part={p['part']}" for p in g]).drop("part"), g[0]) for g in groups.values()]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), read)
+
+    frames, episodes = of("data"), of("episodes")
+    return {"frames": frames, "episodes": episodes, "tasks": spark.read.parquet(record["tasks"]), "stats": spark.read.parquet(record["stats"]), "record": record}
+
+
+def merged_by_reference(spark: SparkSession, root: str, sources: list[str]) -> None:
+    """A dataset at root that consists of the stored datasets at sources, one after the other, without a copy of their frames.
+
+    Its record names the sources' parts with what their ids and indices are shifted by and a map of their task ids; ids are
+    dense over all sources, tasks are numbered in the order that sources have them. Only tasks and statistics are written.
+    Later appends to a source don't show in it. Appends to root go on from there.
+    """
+    name, parts, episodes, rows, tasks, stats = uuid.uuid4().hex, [], 0, 0, None, []
+    for k, source in enumerate(sources):
+        held = stored(spark, source)
+        new = held["tasks"].join(tasks, "task", "left_anti") if tasks is not None else held["tasks"]
+        base = tasks.count() if tasks is not None else 0
+        new = new.withColumn("task_index", (F.row_number().over(Window.orderBy("task_index")) - 1 + base).cast("long"))  # the task table is small
+        tasks = cut(tasks.unionByName(new) if tasks is not None else new, "tasks")
+        maps: dict[str | None, str] = {}  # parts with one map of task ids get one map again
+        for part in held["record"]["parts"]:
+            if (old := part.get("map")) not in maps:
+                own = spark.read.parquet(old) if old else held["tasks"].select("task_index", F.col("task_index").alias("new_task_index"))
+                there = own.join(held["tasks"].withColumnRenamed("task_index", "new_task_index"), "new_task_index").select("task_index", "task")
+                maps[old] = f"{root}/maps/part={name}/{k}-{len(maps)}"
+                there.join(tasks.withColumnRenamed("task_index", "new_task_index"), "task").select("task_index", "new_task_index").write.parquet(maps[old])
+            parts.append({**part, "episodes": part.get("episodes", 0) + episodes, "rows": part.get("rows", 0) + rows, "map": maps[old]})
+        size = held["episodes"].agg(F.max("episode_index").alias("e"), F.max("dataset_to_index").alias("i")).first()
+        episodes, rows = episodes + size.e + 1, rows + size.i
+        stats.append(held["stats"])
+    tasks.write.parquet(f"{root}/tasks/part={name}")
+    merged_stats(concatenated(stats)).write.parquet(f"{root}/stats/part={name}")
+    commits.commit(spark, root, {"version": len(parts) - 1, "parts": parts, "tasks": f"{root}/tasks/part={name}", "stats": f"{root}/stats/part={name}"})
+
+
+def scan_placed(spark: SparkSession, root: str, places: DataFrame, episodes: DataFrame) -> DataFrame:
+    """Frames under root/data of the episodes asked for, from the files that places (episode_index, chunk_index, file_index) gives
+    them. The join is on the folders' columns too, so that Spark opens only those files: it prunes them when the join's small side is known."""
+    asked = places.join(episodes.select("episode_index").distinct(), "episode_index").select("chunk_index", "file_index", "episode_index")
+    asked = few(cut(asked, "asked").where("file_index >= 0"))  # always so; without a filter on it Spark doesn't take a side for small
+    return spark.read.parquet(f"{root}/data").join(asked, ["chunk_index", "file_index", "episode_index"])
 
 
 def write_manifest(spark: SparkSession, root: str, manifest: dict) -> None:
@@ -209,16 +273,26 @@ def imported_episodes(records: DataFrame, path: str) -> DataFrame:
     return flat.select("episode", F.col("frame_index").cast("long").alias("frame_index"), F.concat("s.joint", "s.gripper").cast("array<float>").alias("state"), F.col("s.instruction").alias("task"), "success")
 
 
-def exported_log(log: DataFrame, capacity: int, position: int, size: int, ring: str = "ring") -> DataFrame:
+def exported_log(log: DataFrame, capacity: int, position: int, size: int, ring: str = "ring", block: int = BLOCK) -> DataFrame:
     """Episodes of rings of transitions (ring, slot, done, truncated, ...) in the order they came: a new one after each end, the
-    last may be partial. Each ring is one ordered stream of at most capacity slots, and is worked on by itself.
+    last may be partial. A ring may be large: it is worked on in blocks of slots, and only what blocks add up to, one row each,
+    meets in one task: the rows and ends before a block, and where the latest of those ends was.
     """
     age = F.pmod(F.col("slot") - F.lit(position - size), F.lit(capacity))
-    w = Window.partitionBy(ring).orderBy("_age")
-    ends = (F.col("done") | F.col("truncated")).cast("long")
-    rows = log.withColumn("_age", age).where(F.col("_age") < size)
-    rows = rows.withColumn("episode_index", F.coalesce(F.sum(ends).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return rows.withColumn("frame_index", (F.row_number().over(Window.partitionBy(ring, "episode_index").orderBy("_age")) - 1).cast("long")).drop("_age")
+    rows = log.withColumn("_age", age).where(F.col("_age") < size).withColumn("_block", F.floor(F.col("_age") / block)).withColumn("_end", (F.col("done") | F.col("truncated")).cast("long"))
+    inside = Window.partitionBy(ring, "_block").orderBy("_age")
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"_row": F.row_number().over(inside).cast("long"), "_ends": F.coalesce(F.sum("_end").over(before), F.lit(0))})
+    rows = rows.withColumn("_last", F.max(F.when(F.col("_end") == 1, F.col("_row"))).over(before))
+    blocks = rows.groupBy(ring, "_block").agg(F.count("*").alias("_n"), F.sum("_end").alias("_e"), F.max(F.when(F.col("_end") == 1, F.col("_row"))).alias("_l"))
+    along = Window.partitionBy(ring).orderBy("_block")
+    ahead = along.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_rows0", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).withColumn("_ends0", F.coalesce(F.sum("_e").over(ahead), F.lit(0)))
+    blocks = blocks.withColumn("_last0", F.coalesce(F.max(F.col("_l") + F.col("_rows0")).over(ahead), F.lit(0))).select(ring, "_block", "_rows0", "_ends0", "_last0")
+    placed_ = rows.join(blocks, [ring, "_block"])
+    start = F.coalesce(F.col("_last") + F.col("_rows0"), F.col("_last0"))
+    out = placed_.withColumns({"episode_index": F.col("_ends") + F.col("_ends0"), "frame_index": F.col("_row") + F.col("_rows0") - start - 1})
+    return out.select(*log.columns, "episode_index", "frame_index")
 
 
 def rollout_dataset(rollouts: DataFrame, labels: DataFrame, bookkeeping: tuple[str, ...] = ()) -> DataFrame:
