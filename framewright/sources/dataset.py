@@ -18,6 +18,8 @@ from framewright.sources.scratch import cut, few
 
 #: Up to so many episodes are a pushed-down list; more are a semi join.
 LISTED_EPISODES = 1_000
+#: Up to so many files are named in a scan's filter; more are pruned when the join's small side is known.
+LISTED_FILES = 1_000
 
 
 def scan_frames(spark: SparkSession, root: str, features: dict[str, dict] | None = None, episodes: list[int] | DataFrame | None = None) -> DataFrame:
@@ -159,10 +161,17 @@ def merged_by_reference(spark: SparkSession, root: str, sources: list[str]) -> N
 
 def scan_placed(spark: SparkSession, root: str, places: DataFrame, episodes: DataFrame) -> DataFrame:
     """Frames under root/data of the episodes asked for, from the files that places (episode_index, chunk_index, file_index) gives
-    them. The join is on the folders' columns too, so that Spark opens only those files: it prunes them when the join's small side is known."""
+    them. Only those files are opened: the join is on the folders' columns too, and a few files are named in the scan's filter."""
     asked = places.join(episodes.select("episode_index").distinct(), "episode_index").select("chunk_index", "file_index", "episode_index")
-    asked = few(cut(asked, "asked").where("file_index >= 0"))  # always so; without a filter on it Spark doesn't take a side for small
-    return spark.read.parquet(f"{root}/data").join(asked, ["chunk_index", "file_index", "episode_index"])
+    asked = cut(asked, "asked").where("file_index >= 0")  # always so; without a filter on it Spark doesn't take a side for small
+    frames = spark.read.parquet(f"{root}/data")
+    listed = asked.select("chunk_index", "file_index").distinct().limit(LISTED_FILES + 1).collect()
+    if len(listed) <= LISTED_FILES:  # by name; pruning by the join knows chunks and files, but not which file of which chunk
+        by_chunk: dict[int, list[int]] = {}
+        for r in listed:
+            by_chunk.setdefault(r.chunk_index, []).append(r.file_index)
+        frames = frames.where(reduce(lambda a, b: a | b, [(F.col("chunk_index") == c) & F.col("file_index").isin(f) for c, f in by_chunk.items()], F.lit(False)))
+    return frames.join(few(asked), ["chunk_index", "file_index", "episode_index"])
 
 
 def write_manifest(spark: SparkSession, root: str, manifest: dict) -> None:
