@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.functions import udtf
 
 Step = Callable[[DataFrame], DataFrame]
 #: The fields of a transition that a step can be for; observation is a struct, the others are columns.
@@ -56,3 +57,9 @@ def expanded(rows: DataFrame, keys: list[str], elements: Column) -> DataFrame:
 def expanded_by(rows: DataFrame, columns: list[str], expand: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """As expanded(), by a user's function from a batch of rows to any number of rows, where columns can't express it."""
     return rows.select(*columns).mapInPandas(lambda batches: map(expand, batches), schema)
+
+
+def expanded_along(rows: DataFrame, handler: type, schema: str, key: str = "episode_index", order: str = "frame_index") -> DataFrame:
+    """The rows that a user's handler makes of each key's rows in order, keeping what it likes between them: a new one is made for
+    each key, eval(row) may give rows for each of its rows, and terminate() after the last. A key's rows are never held together."""
+    return udtf(handler, returnType=schema)(rows.asTable().partitionBy(key).orderBy(order))

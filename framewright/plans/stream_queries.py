@@ -9,7 +9,7 @@ from framewright.plans.registry import query
 from framewright.plans.views import episodes_ev, ev, frames_ev, gap, table
 from framewright.sources import dataset as D
 from framewright.sources.scratch import cut, new_folder
-from framewright.streaming import annotation as A, stateful as R
+from framewright.streaming import annotation as A, elements as E, stateful as R
 
 
 #: Rows of a file, about; there are four files at least.
@@ -17,20 +17,31 @@ SLICE_ROWS = 1_000_000
 
 
 def _source(rows: DataFrame) -> DataFrame:
-    """rows as a stream of files, each a range of _seq and one batch. They are written at once; as a stream takes files by the time
-    they were changed, the files are then given the times at which they would have come."""
+    """rows as a stream of files, each a range of _seq and one batch, or the rows of one _slice where they have that. They are
+    written at once; as a stream takes files by the time they were changed, the files are then given the times at which they would have come."""
     spark, root = rows.sparkSession, new_folder(rows.sparkSession, "stream")
     rows = cut(rows, "rows")
+    if "_slice" in rows.columns:
+        slices = rows.agg(F.max("_slice")).first()[0] + 1
+        rows.repartitionByRange(slices, "_slice").sortWithinPartitions("_slice").write.partitionBy("_slice").parquet(f"{root}/data")
+        _timed(spark, f"{root}/data", "_slice=", lambda name: int(name.split("=")[1]))
+        return D.stream_frames(spark, root, rows.drop("_slice").schema, files_per_trigger=1)
     slices = max(4, -(-rows.count() // SLICE_ROWS))
     rows.repartitionByRange(slices, "_seq").sortWithinPartitions("_seq").write.parquet(f"{root}/data")
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/data")
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    files = sorted(f.getPath().toString() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-"))  # numbered by range
-    for k, file in enumerate(files):
-        fs.setTimes(spark._jvm.org.apache.hadoop.fs.Path(file), 1_600_000_000_000 + 1_000 * k, -1)
+    _timed(spark, f"{root}/data", "part-", str)  # parts are numbered by range
     return D.stream_frames(spark, root, rows.schema, files_per_trigger=1)
 
 
+def _timed(spark, folder: str, prefix: str, order) -> None:
+    """Give what lies in folder under names with the prefix, and the files in it, times a second apart, by the order of the names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted((f for f in fs.listStatus(path) if f.getPath().getName().startswith(prefix)), key=lambda f: order(f.getPath().getName()))
+    for k, f in enumerate(found):
+        for file in fs.listStatus(f.getPath()) if f.isDirectory() else [f]:
+            fs.setTimes(file.getPath(), 1_600_000_000_000 + 1_000 * k, -1)
+
+
 def _run(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     out, check = new_folder(spark, "out"), new_folder(spark, "check")
@@ -89,6 +100,29 @@ def r06_episode_sessions(spark, sf):
     return _run(R.episodes_of(_source(f)))
 
 
+@query(ev(", d as (select episode_index as source, frame_index as seq, label = 'purchase' as done, coalesce(sum((label = 'purchase')::int) over (partition by episode_index order by frame_index rows between unbounded preceding and 1 preceding), 0)::bigint as episode from frames_ev), k as (select *, bool_or(done) over (partition by source, episode) as ended from d) select source, episode, row_number() over (partition by source, episode order by seq) - 1 as frame_index, seq from k where ended"))
+def r06_long_sessions(spark, sf):
+    """The same by lists that only grow until an episode ends."""
+    f = frames_ev(spark, sf).select(F.col("episode_index").alias("source"), F.col("frame_index").alias("seq"), (F.col("label") == "purchase").alias("done"), F.col("frame_index").alias("_seq"))
+    return _run(E.long_episodes_of(_source(f)))
+
+
+@query(ev(""", l as (select max(frame_index) as most from frames_ev), k as (select episode_index as robot, frame_index as f, x from frames_ev, l where frame_index % 20 <> 3 or most < 20 * (frame_index // 20 + 2)),
+e as (select robot, max(f) as last from k group by 1), s as (select distinct robot, f + d as s from k, (values (2), (3)) as t(d)),
+a as (select s.robot, s.s, e.last, old.x as old, new.x as new from s join e using (robot) left join k old on old.robot = s.robot and old.f = s.s - 3 left join k new on new.robot = s.robot and new.f = s.s - 2)
+select robot, s as timestep, round(case when old is null then new when new is null then old + 1 else 0.3 * (old + 1) + 0.7 * new end, 6) as action, s > last - 1 as closed from a, l where s <= last - 1 or last + 30.5 < most - 10"""))
+def r04_queued_actions(spark, sf):
+    """A frame a minute; every twentieth comes two batches late, under the watermark, and is dropped whole with what it took. Queues of
+    robots that have been silent for half an hour are closed."""
+    most = table(spark, sf, "events").groupBy("user_id").count().agg(F.max("count")).first()[0] - 1
+    i = F.col("frame_index")
+    late = F.when((i % 20 == 3) & (F.lit(most) >= 20 * (F.floor(i / 20) + 2)), 2).otherwise(0)
+    f = frames_ev(spark, sf).select(F.col("episode_index").alias("robot"), i.alias("seq"), "x", (F.floor(i / 20) + late).cast("int").alias("_slice"))
+    sent = F.explode(F.array(*[F.struct((F.col("seq") + d).alias("timestep"), (F.col("x") + more).alias("action")) for d, more in ((2, 0.0), (3, 1.0), (-2, 9.0))]))
+    chunks = f.select("robot", "seq", sent.alias("c"), "_slice").select("robot", "seq", "c.timestep", "c.action", (F.col("seq") - 1).alias("taken"), F.timestamp_seconds(1_700_000_000 + 60 * F.col("seq")).alias("ts"), "_slice")
+    return _run(E.queued_actions(_source(chunks), lambda old, new: 0.3 * old + 0.7 * new, idle_ms=1_830_000)).withColumn("action", F.round("action", 6))
+
+
 @query(ev(""", p as (select *, coalesce(lag(x) over w, x) as before, is_intervention > 0.5 as e, coalesce(lag(is_intervention > 0.5) over w, false) as was from frames_ev window w as (partition by episode_index order by frame_index))
 select episode_index, frame_index, round((x - before) / 0.1, 6) as velocity, abs(x - before) > 100 as jumped, frame_index + 1 as step,
   coalesce(last_value(case when e and not was then x end ignore nulls) over (partition by episode_index order by frame_index rows unbounded preceding), 0) as held from p"""))
@@ -114,6 +148,18 @@ def r10_latency_windows(spark, sf):
     return w.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n", F.round("mean", 6).alias("mean"))
 
 
+@query("""with b as (select min(epoch(ts)) as lo, max(epoch(ts)) as hi from events), e as (select ts, value, event_id, least(3, floor(4 * (epoch(ts) - lo) / (hi - lo))) as slice from events, b),
+w as (select time_bucket(interval '1 hour', ts) as start, count(*) as n, round(avg(value), 6) as mean from e where slice > 0 or event_id % 3 > 0 group by 1)
+select start, n, mean from w where start + interval '1 hour' <= (select max(ts) from events) - interval '10 minutes'""")
+def r10_late_windows(spark, sf):
+    """A third of the rows of the first quarter of the time come with the last: their windows are closed, and they are dropped."""
+    e = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "value", "event_id", F.col("ts").cast("timestamp").cast("double").alias("t"))
+    ends = e.agg(F.min("t").alias("lo"), F.max("t").alias("hi")).first()
+    quarter = F.least(F.lit(3), F.floor(4 * (F.col("t") - ends.lo) / (ends.hi - ends.lo))).cast("int")
+    slices = e.withColumn("_slice", F.when((quarter == 0) & (F.col("event_id") % 3 == 0), 3).otherwise(quarter)).select("ts", "value", "_slice")
+    return _run(R.windowed_latency(_source(slices))).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n", F.round("mean", 6).alias("mean"))
+
+
 @query(ev("select index, x from frames_ev where index > (select max(index) from frames_ev) - 777"))
 def r11_stream_ring_log(spark, sf):
     f = frames_ev(spark, sf).select("index", "x", F.col("index").alias("_seq"))

@@ -305,3 +305,29 @@ def x05_expanded_rows(spark, sf):
     some = F.transform(F.sequence(F.lit(0), F.least(F.col("frame_index") % 3, F.lit(1)).cast("int")), lambda i: F.struct((F.col("frame_index") + i).alias("timestep"), (F.col("x") + i).alias("action")))
     third = lambda b: b[b["frame_index"] % 3 == 2].assign(number=2, timestep=lambda d: d["frame_index"] + 2, action=lambda d: d["x"] + 2)[["index", "number", "timestep", "action"]]
     return P.expanded(f, ["index"], some).unionByName(P.expanded_by(f, ["index", "frame_index", "x"], third, "index long, number long, timestep long, action double"))
+
+
+class _Stretches:
+    """Frames from one purchase to the next: their number, how many there are, and the range of x; the last stretch may be open."""
+
+    def __init__(self):
+        self.episode, self.number, self.frames, self.low, self.high = None, 0, 0, 0.0, 0.0
+
+    def eval(self, row):
+        self.episode = row["episode_index"]
+        self.low, self.high = (min(self.low, row["x"]), max(self.high, row["x"])) if self.frames else (row["x"], row["x"])
+        self.frames += 1
+        if row["label"] == "purchase":
+            yield self.episode, self.number, self.frames, self.low, self.high
+            self.number, self.frames = self.number + 1, 0
+
+    def terminate(self):
+        if self.frames:
+            yield self.episode, self.number, self.frames, self.low, self.high
+
+
+@query(ev(", d as (select *, coalesce(sum((label = 'purchase')::int) over (partition by episode_index order by frame_index rows between unbounded preceding and 1 preceding), 0)::bigint as number from frames_ev) select episode_index, number, count(*) as frames, min(x) as low, max(x) as high from d group by 1, 2"))
+def x05_stretches(spark, sf):
+    """A user's function that keeps state along an episode and gives a row for some of its frames."""
+    rows = frames_ev(spark, sf).select("episode_index", "frame_index", "x", "label")
+    return P.expanded_along(rows, _Stretches, "episode_index long, number long, frames long, low double, high double")
