@@ -281,7 +281,7 @@ def test_license_notices_inside_long_paragraphs(spark):
     rows = [(i, "\n".join(filler(n) for n in (12, 60, 150)), "en", "a") for i in range(80)]
     notices = [(f, t) for f in ("mit", "apache-2.0", "gpl", "cc") for t in licenses.TEMPLATES[f][:3]]
     rows += [(200 + i, f"{filler(before)} {t} {filler(after)}", "en", "a") for i, (before, after, (_, t)) in enumerate((b, a, n) for b in (10, 40, 90) for a in (0, 50) for n in notices)]
-    rows += [(900, f"{filler(45)}\nThis module is licensed to you under the terms of the Eclipse Public License, either version 2.0 or any later version.", "en", "a")]
+    rows += [(900, f"{filler(45)}\nThis module is licensed to you under the terms of the Sleepycat License, either version 2.0 or any later version.", "en", "a")]
     got = {(r.doc_id, r.paragraph): r.family for r in licenses.scanned(docs(spark, rows)).collect()}
     assert got == {(200 + i, 0): notices[i % len(notices)][0] for i in range(6 * len(notices))} | {(900, 1): "unknown"}
 
