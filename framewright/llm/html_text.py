@@ -7,7 +7,9 @@ all pages stays a constant. Wrappers are aligned with each other in the same way
 partial wrappers of a host, however many, are merged in rounds of bounded groups.
 
 The wrapper then reads the pages: the text under slots tells, among the elements that a page has, which hold the host's own
-text, and constants outside an article are the template's. Elements that say what they are by tag, role, class or id are never text.
+text. Constants are the template's: those outside an article, and inside one those that most of the host's pages have. Elements that
+say what they are by tag, role or a whole name are never text; of those whose name only partly says so, the wrapper drops the
+constants and keeps the slots.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ RARE = 1_000
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
-    r"|<(script|style|noscript|template|textarea|svg|iframe|title|select|object|canvas|math)\b(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|template|textarea|svg|iframe|title|select|object|canvas)\b(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][\w:-]*)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)>",
     re.S | re.I,
 )
@@ -57,9 +59,11 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ARTICLE = frozenset(("article", "main"))
 _FURNITURE = frozenset("head nav footer aside form button menu dialog".split())
 #: Words in a class, an id or a role that say what an element is; those of _TOPICS can also be what an article is about.
-_HINTS = frozenset("ad ads advert adverts advertisement sponsor sponsored nav navbar navigation breadcrumb breadcrumbs sidebar footer comment comments cookie cookies consent popup modal newsletter subscribe widget pagination pager disqus complementary contentinfo masthead".split())
-_TOPICS = frozenset("promo banner menu notice notices share sharing social related toolbar login search alert skip toc".split())
+_HINTS = frozenset("ad ads advert adverts advertisement sponsor sponsored nav navbar navigation breadcrumb breadcrumbs sidebar footer comment comments cookie cookies consent popup modal newsletter subscribe pagination pager disqus responses replies complementary contentinfo masthead".split())
+_TOPICS = frozenset("widget promo banner menu notice notices share sharing social related toolbar login search alert skip toc".split())
 _OUTER_HINTS = frozenset("header top topbar".split())
+#: Words beside a hint that tell where or in what form it stands, not what else an element is about.
+_FORMS = frozenset("main top bottom left right side inner outer header footer site page post article entry blog user reader readers section area region block blocks box boxes wrap wrapper container inner holder slot unit units list lists item items link links button buttons bar bars icon icons panel form thread count body content text title heading label message msg group row col column desktop mobile primary secondary global local sub fixed sticky google media network posts articles stories signup image images video".split())
 #: First words of classes that tell a state and not what the element is.
 _STATES = frozenset("no has with without is not hide show".split())
 
@@ -72,13 +76,15 @@ def _attributes(text: str) -> dict[str, str]:
     return found
 
 
-def _says(value: str, hints: frozenset) -> bool:
-    """One of the names in value is a hint, begins with one or ends with one."""
+def _says(value: str, hints: frozenset) -> int:
+    """2 if one of the names in value is a hint, but for words that only tell its place or form; 1 if one begins or ends with a hint beside other words."""
+    said = 0
     for name in value.split():
-        words = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
-        if words and words[0] not in _STATES and (words[0] in hints or words[-1] in hints):
-            return True
-    return False
+        words = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w and not w.isdigit()]
+        if words and words[0] not in _STATES and any(w in hints for w in words):
+            whole = all(w in hints or w in _FORMS for w in words)
+            said = max(said, 2 if whole else int(words[0] in hints or words[-1] in hints))
+    return said
 
 
 def _looked_at(tag: str, attributes: str, block: bool, in_article: bool) -> tuple[str, bool, bool]:
@@ -93,12 +99,12 @@ def _looked_at(tag: str, attributes: str, block: bool, in_article: bool) -> tupl
     if not block or gone or hidden or tag in _ARTICLE or tag in ("body", "html"):
         return mark, gone or hidden, False
     strong = _HINTS | (frozenset() if in_article else _OUTER_HINTS)
-    said = _says(found.get("class", "") + " " + found.get("role", ""), strong | _TOPICS) or _says(found.get("id", ""), strong if in_article else strong | _TOPICS)
+    said = max(_says(found.get("class", "") + " " + found.get("role", ""), strong | _TOPICS), _says(found.get("id", ""), strong if in_article else strong | _TOPICS))
     if tag in _HEADINGS:
         return mark, False, False
-    if tag in _PARAGRAPHS and not _says(found.get("class", ""), _HINTS):
-        return mark, False, said
-    return mark, said, False
+    if tag in _PARAGRAPHS and _says(found.get("class", ""), _HINTS) < 2:
+        return mark, False, said > 0
+    return mark, said == 2, said == 1
 
 
 class Page(NamedTuple):
@@ -310,6 +316,7 @@ def main_text(html: str | None, wrapper: Wrapper | None = None) -> str:
     fixed = [bool(n and n[1] == r.hash and n[3] >= LEAST_PAGES) for n, r in zip(nodes, found, strict=True)]
     if all(fixed):  # copies of one page show nothing
         nodes, fixed = [None] * len(found), [False] * len(found)
+    usual = {i for r, n, same in zip(found, nodes, fixed, strict=True) if same and 2 * n[3] > wrapper.pages for i in r.blocks}
     weight, size, constant = [0.0] * len(page.parents), [0] * len(page.parents), [False] * len(page.blocks)
     for run, node, same in zip(found, nodes, fixed, strict=True):
         for i in run.blocks:
@@ -340,7 +347,7 @@ def main_text(html: str | None, wrapper: Wrapper | None = None) -> str:
 
     def own(i: int) -> bool:
         element, _, suspect = page.blocks[i]
-        return within[element] and not (constant[i] and (suspect or (not article and page.tags[element] not in _HEADINGS)))
+        return within[element] and not (constant[i] and (suspect or (page.tags[element] not in _HEADINGS and (not article or i in usual))))
 
     return "\n".join(text for i, (_, text, _) in enumerate(page.blocks) if own(i))
 

@@ -25,6 +25,9 @@ def article(inside):
         ('<p class="ad">buy</p><div class="post-comments"><p>nice</p></div><div class="shareButtons">x</div><p>e</p>', "e"),
         ('<p>vis<span hidden>ible</span> &amp; <b style="display: none">no</b>x</p>', "vis & x"),
         ("<form><label>l</label><button>b</button></form><p>a<br>b\n\t c&nbsp;d</p><script>if(a<b)</script>", "a b c d"),
+        ('<div class="ad-hoc networks">a</div><div class="social-history">b</div><div class="notice-period">c</div><div class="lunch-menu">d</div>', "a\nb\nc\nd"),
+        ('<p>a</p><section id="responses"><p>nice</p></section><div class="top-banner">x</div><div class="ads-container-2">y</div>', "a"),
+        ("<p>so <math><mi>x</mi></math> is</p>", "so x is"),
         ("<ul><li>a<li>b</ul><table><tr><td>c<td>d</table>", "a\nb\nc\nd"),
     ],
 )
@@ -92,3 +95,25 @@ def test_hosts_by_rounds_and_by_join(spark, monkeypatch, merged, nodes):
     assert len(got) == len(rows)
     assert all(by[i].text == "Always\n" + f"own text {i} and more of it, number {i}\n" + "sometimes\n" * (i % 2) + f"second {i}" for i in range(40))
     assert by[100].text == by[3].text and by[204].text == "T\nthe same" and by[300].text == "" and by[3].n_chars == len(by[3].text)
+
+
+def page(i, notice="Read our newsletter", lists=True):
+    """An article with a notice that doesn't say what it is, and blocks whose names only partly say so: one the same everywhere, one not."""
+    named = "class='social-notes'" if lists else "class='k1'"
+    other = "class='press-related'" if lists else "class='k2'"
+    return f"<nav>menu</nav><article><h1>Same head</h1><p>Own text {i} goes on.</p><div {named}>About topic {i}</div><blockquote>{notice}</blockquote><div {other}>Follow us</div></article><footer>f</footer>"
+
+
+@pytest.mark.parametrize("lists", [True, False])
+def test_the_wrapper_decides_inside_articles(monkeypatch, lists):
+    if not lists:
+        for name in ("_HINTS", "_TOPICS", "_OUTER_HINTS"):
+            monkeypatch.setattr(html_text, name, frozenset())
+    whole = folded([page(i, lists=lists) for i in range(6)])
+    assert main_text(page(3, lists=lists), whole) == "Same head\nOwn text 3 goes on.\nAbout topic 3"
+    alone = main_text(page(3, lists=lists)).split("\n")
+    assert alone == ["Same head", "Own text 3 goes on.", "About topic 3", "Read our newsletter", "Follow us"]
+    two = folded([page(i, lists=lists) for i in range(2)])
+    assert main_text(page(1, lists=lists), two).split("\n")[3:] == ["Read our newsletter", "Follow us"]
+    some = folded([page(i, f"Note {i}", lists) for i in range(6)] + [page(9, "Read our newsletter", lists)])
+    assert "Note 4" in main_text(page(4, "Note 4", lists), some)
