@@ -27,3 +27,18 @@ def components(links: list[DataFrame]) -> DataFrame:
         jump = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
         labels = cut(nearer.join(jump, F.col("label") == F.col("_n"), "left").select("node", F.least("label", F.coalesce("_l", "label")).alias("label")), "labels")
     return labels
+
+
+def extended(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """labels (node, label) of components() after further links: these are taken between the components that they connect, so
+    that only those meet again. Without such links labels stay as they are."""
+    if labels is None:
+        return components([links])
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"_{c}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    ends = cut(ends.where("a != b").distinct(), "ends")
+    if ends.isEmpty():
+        return labels
+    top = components([ends])
+    known = labels.unionByName(top.join(labels, "node", "left_anti").select("node", F.col("node").alias("label")))
+    return cut(known.join(top.toDF("label", "_top"), "label", "left").select("node", F.coalesce("_top", "label").alias("label")), "labels")

@@ -21,11 +21,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from framewright.llm.common import coded, cut, discard, mix, slices, small_batches, split_words, starts_of, tidied, word_hashes
-from framewright.llm.components import components
+from framewright.llm.components import extended
 
 GROUP_MEMBERS = 32
 #: Groups of one token that a task takes at a time.
 TOKEN_GROUPS = 256
+#: One in so many pairs of groups that are apart is opened before the others.
+OPENED_FIRST = 16
 #: Slots of the table that tells how often a token occurs, by the leading bits of its hash: 4 MB, whatever the input.
 SLOTS = 1 << 22
 #: Bits of the filters that tell which tokens occur twice and which documents have candidates: 8 MB, whatever the input.
@@ -244,10 +246,6 @@ class JaccardJoin:
         both = F.size(F.array_intersect("_x", "_y"))
         return cut(pairs.join(a, "a").join(b, "b").where(self._enough(both, F.col("_m"), F.col("_n"))).select("a", "b"), "links")
 
-    @staticmethod
-    def _reached(links: list[DataFrame]) -> DataFrame:
-        return components(links).withColumnRenamed("node", "rep")
-
     def _star(self, rare: DataFrame, comp: DataFrame, seed: int) -> DataFrame:
         """For each class one pair (a, b): with the class that is first, by seed, in most of its rare tokens and outside its component."""
         rows = rare.join(comp, "rep", "left").withColumn("comp", F.coalesce("label", "rep")).drop("label")
@@ -294,30 +292,43 @@ class JaccardJoin:
         """Of each group the sizes and components that its members have."""
         return member.groupBy("g").agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.max("c").alias("c_hi"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
 
-    def _members(self, groups: DataFrame, links: list[DataFrame]) -> DataFrame:
-        reached = groups.join(self._reached(links), "rep", "left")
+    @staticmethod
+    def _members(groups: DataFrame, labels: DataFrame) -> DataFrame:
+        reached = groups.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
         return cut(reached.withColumn("comp", F.coalesce("label", "rep")).drop("label"), "members")
 
-    def _opened(self, rare: DataFrame, links: list[DataFrame], groups: DataFrame, full: DataFrame) -> list[DataFrame]:
-        """links, and those (a, b) of different components that are left, from the groups that queries open.
+    def _opened(self, rare: DataFrame, labels: DataFrame, groups: DataFrame, full: DataFrame) -> DataFrame:
+        """labels (node, label) of all links, from those of some: the rest is found in the groups that queries open.
 
         rare: (token, rep, rest); groups: (rep, n, c, g), c being the size of the shared tokens. Of each pair of groups that may
-        hold a link single members are compared first, which connects most; only what is still apart is opened.
+        hold a link single members are compared first; then some of the pairs that are still apart are opened, which connects most
+        of a large cluster with few links, and then all that are apart after that.
         """
-        member = self._members(groups, links)
+        member = self._members(groups, labels)
         rows = rare.select("token", "rep", "rest").join(member, "rep")
         open_ = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
         rows = cut(rows.join(open_, "token", "left_semi"), "queries")
         matrix = cut(rows.groupBy("token", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("rest")), "matrix")
         near = self._overlapping(cut(self._near(matrix), "near"), member, full)
-        for seed in (4, 5, 6):
+        for seed in (4, 5):
             one = member.groupBy("g").agg(F.min(F.struct(F.xxhash64("rep", F.lit(seed)).alias("h"), "rep", "comp")).alias("m")).select("g", F.col("m.rep").alias("a"), F.col("m.comp").alias("ca"))
             pairs = near.join(one, "g").join(one.toDF("o", "b", "cb"), "o").where("ca != cb")
-            links = [*links, self._linked(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), full)]
-            member = self._members(groups, links)
-            comps = self._about(member).select("g", "c1", "c2")
-            apart = (F.col("c1") != F.col("_c1")) | (F.col("c2") != F.col("_c2")) | (F.col("c1") != F.col("c2"))
-            near = cut(near.join(comps, "g").join(comps.toDF("o", "_c1", "_c2"), "o").where(apart).select("g", "o"), "apart")
+            labels = extended(labels, self._linked(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), full))
+            member = self._members(groups, labels)
+            near = self._apart(near, member)
+        some = F.pmod(F.xxhash64("g", "o"), F.lit(OPENED_FIRST)) == 0
+        labels = extended(labels, self._between(near.where(some), member, full))
+        member = self._members(groups, labels)
+        return extended(labels, self._between(self._apart(near.where(~some), member), member, full))
+
+    def _apart(self, near: DataFrame, member: DataFrame) -> DataFrame:
+        """Those of near (g, o) that aren't of one component together."""
+        comps = self._about(member).select("g", "c1", "c2")
+        apart = (F.col("c1") != F.col("_c1")) | (F.col("c2") != F.col("_c2")) | (F.col("c1") != F.col("c2"))
+        return cut(near.join(comps, "g").join(comps.toDF("o", "_c1", "_c2"), "o").where(apart).select("g", "o"), "apart")
+
+    def _between(self, near: DataFrame, member: DataFrame, full: DataFrame) -> DataFrame:
+        """(a, b): the links between members of different components of each pair of groups in near."""
         opened = near.join(self._about(member).withColumnRenamed("g", "o"), "o").withColumnRenamed("g", "_g")
         fits = (self.den * F.col("n_hi") >= self.num * F.col("n")) & self._enough(F.least("c", "c_hi"), F.col("n"), F.col("n_lo"))
         other = (F.col("c1") != F.col("comp")) | (F.col("c2") != F.col("comp"))
@@ -330,7 +341,7 @@ class JaccardJoin:
         asked = candidates.join(tokens, "rep").join(held, "o").where(F.size(F.array_intersect("tokens", "union")) >= least)
         linked = F.filter("members", lambda m: (m.comp != F.col("comp")) & self._enough(F.least(m.c, F.col("c")), m.n, F.col("n")) & self._enough(F.size(F.array_intersect(m.tokens, F.col("tokens"))), m.n, F.col("n")))
         found = asked.select("rep", F.explode(F.transform(linked, lambda m: m.rep)).alias("_rep"))
-        return [*links, cut(found.select(F.least("rep", "_rep").alias("a"), F.greatest("rep", "_rep").alias("b")).distinct(), "links")]
+        return cut(found.select(F.least("rep", "_rep").alias("a"), F.greatest("rep", "_rep").alias("b")).distinct(), "links")
 
     def classes(self, documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
         """doc_id, n_shingles and component_id of every row: the smallest doc_id that links reach from it, its own included.
@@ -363,10 +374,10 @@ class JaccardJoin:
 
         nothing = rare.select(F.col("rep"), F.col("rep").alias("label")).where("false")
         inside = groups.where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
-        links = [self._linked(inside.union(self._star(rare, nothing, 1)).distinct(), full)]
+        labels = extended(None, self._linked(inside.union(self._star(rare, nothing, 1)).distinct(), full))
         for seed in (2, 3):
-            links.append(self._linked(self._star(rare, self._reached(links), seed), full))
-        labels = components(self._opened(rare, links, groups.drop("pivot"), full))
+            labels = extended(labels, self._linked(self._star(rare, labels.withColumnRenamed("node", "rep"), seed), full))
+        labels = self._opened(rare, labels, groups.drop("pivot"), full)
 
         own = classes.select("rep", *digest, "doc_id").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
         smallest = own.groupBy("label").agg(F.min("doc_id").alias("component_id"))
