@@ -22,21 +22,30 @@ def long_vectors(frames: DataFrame, features: list[str], keys: tuple[str, ...] =
     return one.select(*keys, F.col("p.feature").alias("feature"), F.posexplode("p.vs").alias("dim", "v"))
 
 
+def _interpolated(values: Column, q: float) -> Column:
+    """The linearly interpolated quantile of sorted values; null where there are none."""
+    at = (F.size(values) - 1) * F.lit(q)
+    low, high = F.get(values, F.floor(at).cast("int")), F.get(values, F.ceil(at).cast("int"))
+    return F.when(low == high, low).otherwise((F.floor(at) + 1 - at) * low + (at - F.floor(at)) * high)
+
+
 def feature_stats(frames: DataFrame, features: list[str], keys: tuple[str, ...] = (), quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
     """One row for each key, feature and dim: count, min, max, mean, population std and exact quantiles.
 
-    With fewer than two rows the quantiles are the mean. Nulls are left out; NaN counts as the largest number. With keys, such
-    as an episode, the values of a group are taken together; without, a group holds the whole table and never is in one buffer.
+    With fewer than two rows the quantiles are the mean. Nulls are left out; NaN counts as the largest number. The values of an
+    episode are sorted together; with other keys, such as a task, and without any, a group may be large and is never in one buffer.
     """
     rows = long_vectors(frames, features, keys)
     basic = [F.count("v").alias("count"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std")]
     names = [quantile_name(q) for q in quantiles]
     if not quantiles:
         out = rows.groupBy(*keys, "feature", "dim").agg(*basic)
-    elif keys:
-        out = rows.groupBy(*keys, "feature", "dim").agg(*basic, F.percentile("v", F.array(*map(F.lit, quantiles))).alias("_q")).withColumns({n: F.col("_q")[i] for i, n in enumerate(names)})
+    elif "episode_index" in keys:
+        sorted_ = rows.groupBy(*keys, "feature", "dim").agg(*basic, F.sort_array(F.collect_list("v")).alias("_v"))
+        out = sorted_.withColumns({n: _interpolated(F.col("_v"), q) for n, q in zip(names, quantiles, strict=True)})
     else:
-        out = rows.groupBy("feature", "dim").agg(*basic).join(exact_quantiles(rows, "v", dict(zip(names, quantiles, strict=True)), ("feature", "dim")), ["feature", "dim"], "left")
+        by = [*keys, "feature", "dim"]
+        out = rows.groupBy(*by).agg(*basic).join(exact_quantiles(rows, "v", dict(zip(names, quantiles, strict=True)), tuple(by)), by, "left")
     return out.select(*keys, "feature", "dim", "count", "min", "max", "mean", "std", *[F.when(F.col("count") < 2, F.col("mean")).otherwise(F.col(n)).alias(n) for n in names])
 
 
