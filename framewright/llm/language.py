@@ -22,6 +22,8 @@ UNDETERMINED = "und"
 SLICE_BYTES = 500_000
 #: A text is foreign to its language if its likelihood a letter is so many deviations under that of labelled rows.
 FOREIGN_AT = 8
+#: Likelihoods of so many texts and languages are held together.
+CELLS = 1 << 22
 
 
 @functools.lru_cache(maxsize=1)
@@ -66,24 +68,42 @@ def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 class Model(NamedTuple):
-    """matrix: log probabilities, float32[languages, orders * BUCKETS]: 0.8 MB a language. usual: of each language the mean
-    likelihood a letter of labelled rows, its variance from row to row, and that from letter to letter."""
+    """Log probabilities as a sparse matrix: of each n-gram (ORDERS * BUCKETS) the languages that the sample has it in, and how far
+    each is above that of an n-gram which the language hasn't; base: that one's log probability, summed over the orders. The
+    matrix has an entry for each n-gram and language that the sample has, so its size is bounded by the sample, not by languages.
+    usual: of each language the mean likelihood a letter of labelled rows, its variance from row to row, and that from letter to letter."""
 
     languages: list[str]
-    matrix: np.ndarray
+    starts: np.ndarray  # where each n-gram's entries begin, and the end
+    of: np.ndarray  # language of each entry
+    above: np.ndarray  # float32 of each entry
+    base: np.ndarray
     usual: np.ndarray
 
 
-def _likelihoods(texts: pa.Array, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _likelihoods(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Letters of each text, and float64[texts, languages]: its log likelihood, the mean of the orders, which see the same letters."""
-    letters, sums = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(matrix)))
+    letters, sums = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(model.languages)))
     for owner, part in parts_of(texts, SLICE_BYTES):
         n, width, grams, counts = _features(part)
-        full = np.flatnonzero(width)
         np.add.at(letters, owner, n)
-        for j in range(len(matrix)) if len(full) else ():
-            np.add.at(sums[:, j], owner[full], np.add.reduceat(matrix[j, grams] * counts, starts_of(width[full]), dtype=np.float64) / len(ORDERS))
-    return letters, sums
+        if not sums.size:
+            continue
+        first, last = model.starts[grams], model.starts[grams + 1]
+        held = last - first
+        at = np.repeat(first - starts_of(held), held) + np.arange(held.sum())
+        cell = np.repeat(np.repeat(owner, width), held) * len(model.languages) + model.of[at]
+        low = int(cell.min()) if len(cell) else 0  # a slice's texts stand together
+        found = np.bincount(cell - low, np.repeat(counts, held) * model.above[at])
+        sums.reshape(-1)[low : low + len(found)] += found
+    return letters, (sums + letters[:, None] * model.base) / len(ORDERS)
+
+
+def _chunks(texts: pa.Array, model: Model) -> Iterator[tuple[int, pa.Array]]:
+    """(first, texts) in runs whose likelihoods are CELLS numbers at most."""
+    step = max(1, CELLS // max(1, len(model.languages)))
+    for first in range(0, len(texts), step):
+        yield first, texts.slice(first, step)
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -118,27 +138,33 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
             yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(at), pa.string()), "bucket": pa.array(at.astype(np.int32)), "n": pa.array(into[at])})
 
     counts = rows.where(~usual).select("text", "lang").mapInArrow(tidied(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    packed = counts.groupBy("lang").agg(F.collect_list("bucket").alias("bucket"), F.collect_list("n").alias("n")).toArrow().sort_by("lang")  # a row for each language
-    matrix = np.full((packed.num_rows, len(ORDERS), BUCKETS), 0.1, np.float32)
-    for j, (at, values) in enumerate(zip(packed.column("bucket"), packed.column("n"), strict=True)):
-        matrix[j].reshape(-1)[at.values.to_numpy()] += values.values.to_numpy()
-        matrix[j] = np.log(matrix[j] / matrix[j].sum(axis=1, keepdims=True, dtype=np.float64))
-    matrix = matrix.reshape(packed.num_rows, len(ORDERS) * BUCKETS)
-    languages = packed.column("lang").to_pylist()
-    return Model(languages, matrix, _usual(rows.where(usual), languages, matrix))
-
-
-def _usual(rows: DataFrame, languages: list[str], matrix: np.ndarray) -> np.ndarray:
+    table = counts.toArrow()  # bounded by the sample's n-grams
+    languages = sorted(set(table.column("lang").to_pylist()))
+    of = np.searchsorted(np.array(languages, object), np.array(table.column("lang").to_pylist(), object)) if languages else np.zeros(0, np.int64)
+    bucket, n = table.column("bucket").to_numpy().astype(np.int64), table.column("n").to_numpy().astype(np.float64)
+    total = np.full((len(languages), len(ORDERS)), 0.1 * BUCKETS)
+    np.add.at(total, (of, bucket // BUCKETS), n)
+    order = np.lexsort((of, bucket))
+    starts = np.searchsorted(bucket[order], np.arange(len(ORDERS) * BUCKETS + 1))
+    model = Model(languages, starts, of[order].astype(np.int32), np.log((n[order] + 0.1) / 0.1).astype(np.float32), np.log(0.1 / total).sum(axis=1), np.zeros((0, 3)))
+    return model._replace(usual=_usual(rows.where(usual), model))
+
+
+def _usual(rows: DataFrame, model: Model) -> np.ndarray:
     """float64[languages, 3] of Model; a language without rows has infinite variances, so that nothing is foreign to it."""
-    shared = rows.sparkSession.sparkContext.broadcast((languages, matrix))
+    languages = model.languages
+    shared = rows.sparkSession.sparkContext.broadcast(tuple(model))
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, table = shared.value
+        held = Model(*shared.value)
+        places = {name: i for i, name in enumerate(held.languages)}
         for batch in batches:
-            letters, sums = _likelihoods(batch.column("text"), table)
-            at = np.array([names.index(x) if x in names else -1 for x in batch.column("lang").to_pylist()], np.int64)
-            ok = np.flatnonzero((letters > 0) & (at >= 0))
-            yield pa.RecordBatch.from_pydict({"lang": batch.column("lang").take(pa.array(ok)), "n": pa.array(letters[ok]), "m": pa.array(sums[ok, at[ok]] / letters[ok])})
+            for first, texts in _chunks(batch.column("text"), held):
+                letters, sums = _likelihoods(texts, held)
+                langs = batch.column("lang").slice(first, len(texts))
+                at = np.array([places.get(x, -1) for x in langs.to_pylist()], np.int64)
+                ok = np.flatnonzero((letters > 0) & (at >= 0))
+                yield pa.RecordBatch.from_pydict({"lang": langs.take(pa.array(ok)), "n": pa.array(letters[ok]), "m": pa.array(sums[ok, at[ok]] / letters[ok])})
 
     of = rows.select("text", "lang").mapInArrow(tidied(likely), "lang string, n long, m double").groupBy("lang")
     # rows of n letters have a mean whose variance is between + within / n: the slope over 1 / n and what is left
@@ -151,7 +177,7 @@ def _usual(rows: DataFrame, languages: list[str], matrix: np.ndarray) -> np.ndar
 
 
 def predictor(df: DataFrame, model: Model) -> Callable[[str], Column]:
-    """A function from a text column to struct(lang_pred, score, foreign), with the matrix sent once to each executor.
+    """A function from a text column to struct(lang_pred, score, foreign), with the sparse matrix sent once to each executor.
 
     foreign: the text has letters, but is far less likely than usual in every language that has been learnt.
     """
@@ -161,17 +187,19 @@ def predictor(df: DataFrame, model: Model) -> Callable[[str], Column]:
     @F.pandas_udf("lang_pred string, score double, foreign boolean")
     @tidied
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        langs, matrix, usual = shared.value
+        model = Model(*shared.value)
         for series in batches:
-            letters, sums = _likelihoods(pa.array(series, pa.large_string(), from_pandas=True), matrix)
+            texts = pa.array(series, pa.large_string(), from_pandas=True)
             pred, score, foreign = np.full(len(series), UNDETERMINED, object), np.zeros(len(series)), np.zeros(len(series), bool)
-            full = np.flatnonzero(letters)
-            if langs and len(full):
-                n = letters[full, None]
-                foreign[full] = (sums[full] / n < usual[:, 0] - FOREIGN_AT * np.sqrt(usual[:, 1] + usual[:, 2] / n)).all(axis=1)
-                p = np.exp(sums[full] - sums[full].max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
-                pred[full], score[full] = np.array(langs, object)[p.argmax(axis=1)], p.max(axis=1)
+            for first, part in _chunks(texts, model):
+                letters, sums = _likelihoods(part, model)
+                full = np.flatnonzero(letters)
+                if model.languages and len(full):
+                    n = letters[full, None]
+                    foreign[first + full] = (sums[full] / n < model.usual[:, 0] - FOREIGN_AT * np.sqrt(model.usual[:, 1] + model.usual[:, 2] / n)).all(axis=1)
+                    p = np.exp(sums[full] - sums[full].max(axis=1, keepdims=True))
+                    p /= p.sum(axis=1, keepdims=True)
+                    pred[first + full], score[first + full] = np.array(model.languages, object)[p.argmax(axis=1)], p.max(axis=1)
             yield pd.DataFrame({"lang_pred": pred, "score": score, "foreign": foreign})
 
     return lambda text: predict(F.col(text))
