@@ -26,8 +26,8 @@ def _compressors(dictionaries: tuple[bytes, bytes]) -> list:
 
     found = []
     for content in dictionaries:
-        # as content alone: with the entropy tables of a trained one, which are some hundred bytes, fewer bad texts are found (91.0 % against 92.6 % on sf0.1)
-        dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        # a trained one is loaded with its entropy tables: as content alone, 84 % instead of 91 % of the bad texts of sf0.1 are found
+        dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_AUTO)
         dictionary.precompute_compress(level=LEVEL)
         found.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_checksum=False, write_content_size=False, write_dict_id=False))
     return found

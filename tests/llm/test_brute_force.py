@@ -141,7 +141,7 @@ def test_scores_by_zstandard(spark):
     labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(60)] + [(7, 1)] * 50, "doc_id long, quality int")
     df = docs(spark, rows)
     (dictionaries, w) = quality_model.fit(df, labels)
-    makers = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False) for d in dictionaries]
+    makers = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_AUTO), write_checksum=False, write_content_size=False, write_dict_id=False) for d in dictionaries]
     got = df.select("text", quality_model.scorer(df, (dictionaries, w))("text").alias("s")).collect()
     for r in got:
         a, b = (len(m.compress(r.text.encode())) for m in makers)
