@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from framewright.llm.common import coded, cut, discard, mix, slices, small_batches, split_words, starts_of, tidied, word_hashes
 from framewright.llm.components import extended
 
+#: Text bytes whose shingles are taken together: each takes some 60 bytes on the way.
+SLICE_BYTES = 1_000_000
 GROUP_MEMBERS = 32
 #: Groups of one token that a task takes at a time.
 TOKEN_GROUPS = 256
@@ -91,7 +93,7 @@ class JaccardJoin:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for first, texts in slices(batch.column("text")):
+                for first, texts in slices(batch.column("text"), SLICE_BYTES):
                     h, n = shingles(texts, self.words)
                     owner = np.repeat(np.arange(len(n)), n)
                     rank = np.arange(len(h)) - starts_of(n)[owner]
@@ -196,7 +198,7 @@ class JaccardJoin:
             for batch in batches:
                 bits = self._bits(batch.column("doc_id"))
                 batch = batch.filter(pa.array((shared.value[bits >> 6] >> (bits & 63).astype(np.uint64)) & np.uint64(1) == 1))
-                for first, texts in slices(batch.column("text")):
+                for first, texts in slices(batch.column("text"), SLICE_BYTES):
                     h, n = shingles(texts, self.words)
                     d1, d2, _ = _digests(h, n)
                     yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(first, len(texts)), "n": pa.array(n), "d1": pa.array(d1), "d2": pa.array(d2), "tokens": _lists(h, n)})
