@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from framewright.operators.indexing import with_offsets
-from framewright.sources.scratch import few
+from framewright.sources.scratch import cut, few
 
 #: Digests that are counted together, of 2 ** 60: 65,536 blocks.
 BLOCK = 1 << 44
@@ -52,7 +52,7 @@ def sampling_weights(offline: DataFrame, online: DataFrame, online_ratio: float,
     rows = sides[0].unionByName(sides[1])
     counts = rows.groupBy("source").agg(F.count_if("ok").alias("n"))  # two rows
     share = F.when(F.col("source") == "online", online_ratio).otherwise(1 - online_ratio)
-    raw = rows.join(few(counts), "source").withColumn("w", F.when(F.col("ok"), F.try_divide(share, F.col("n"))).otherwise(0.0))
+    raw = rows.join(few(cut(counts, "counts")), "source").withColumn("w", F.when(F.col("ok"), F.try_divide(share, F.col("n"))).otherwise(0.0))
     total = raw.agg(F.sum("w").alias("total"), F.count("*").alias("rows"))  # one row
     return raw.crossJoin(F.broadcast(total)).select("source", "index", F.when(F.col("total") > 0, F.col("w") / F.col("total")).otherwise(1 / F.col("rows")).alias("weight"))
 
