@@ -216,4 +216,5 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text",
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:
+    """contaminated() of all documents and items; its docstring tells what odd rows give."""
     return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

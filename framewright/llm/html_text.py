@@ -434,4 +434,5 @@ def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
 
 
 def op7_html_extraction(spark, sf_dir: str) -> DataFrame:
+    """extracted() of all pages; its docstring tells what odd rows give."""
     return extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"))

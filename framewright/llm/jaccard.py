@@ -389,4 +389,5 @@ class JaccardJoin:
 
 
 def op1_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
+    """JaccardJoin.classes() of all documents, three words and 0.9; its docstring tells what odd rows give."""
     return JaccardJoin(3, 9, 10).classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))

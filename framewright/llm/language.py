@@ -223,4 +223,5 @@ def identify(documents: DataFrame, text: str = "text", lang: str = "lang", key:
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:
+    """identify() of all documents; its docstring tells what odd rows give."""
     return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -132,4 +132,5 @@ def packed_documents(documents: DataFrame, text: str = "text", key: str = "doc_i
 
 
 def op9_best_fit_packing(spark, sf_dir: str) -> DataFrame:
+    """packed_documents() of all documents; its docstring tells what odd rows give."""
     return packed_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -140,4 +140,5 @@ def scored(documents: DataFrame, labels: DataFrame, text: str = "text", key: str
 
 
 def op8_quality_classifier(spark, sf_dir: str) -> DataFrame:
+    """scored() of all documents; its docstring tells what odd rows give."""
     return scored(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -166,6 +166,7 @@ def passing(documents: DataFrame, text: str = "text", lang: str = "lang", source
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """judged() of all documents; its docstring tells what odd rows give."""
     rows = judged(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
