@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -245,9 +246,16 @@ def test_chat_trees_and_round_trip(spark):
 
 
 def test_chat_query_digests(spark, tmp_path):
-    rows = [(1, 1, "assistant", "b"), (1, 0, "user", None), (None, 0, "user", "lost"), (2, 0, "assistant", "x"), (2, 0, "assistant", "x")]
+    rows = [(1, 1, "assistant", "b"), (1, 0, "user", None), (None, 0, "user", "alone"), (None, 1, "assistant", "too"), (None, 1, "assistant", "too"), (2, 0, "assistant", "x"), (2, 0, "assistant", "x")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    got = {r.conv_id: r for r in chat.op4_chat_formatting(spark, str(tmp_path)).collect()}
+    found = chat.op4_chat_formatting(spark, str(tmp_path)).collect()
+    single = [(r.n_turns, r.turns_sha256, r.loss_chars) for r in found if r.conv_id is None]  # rows without an id are conversations each
+    assert sorted(single) == sorted((1, hashlib.sha256(t).hexdigest(), n) for t, n in ((b"user\nalone\n", 0), (b"assistant\ntoo\n", 3), (b"assistant\ntoo\n", 3)))
+    duck = duckdb.connect()
+    duck.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    sql = duck.sql(chat.ORACLE_SQL["op4_chat_formatting"])
+    assert Counter(sql.fetchall()) == Counter(tuple(r[c] for c in sql.columns) for r in found)
+    got = {r.conv_id: r for r in found if r.conv_id is not None}
     assert set(got) == {-1, 1, 2} and got[2].n_turns == 2 and got[2].loss_chars == 2
     assert got[1].turns_sha256 == hashlib.sha256(b"user\n\nassistant\nb\n").hexdigest()
     assert got[-1].loss_sha256 == hashlib.sha256(chat.HOSTILE.encode()).hexdigest()
