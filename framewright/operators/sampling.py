@@ -33,6 +33,28 @@ def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
     return placed.orderBy("_d").drop("_d", "_one", "_end")
 
 
+def epoch_order(rows: DataFrame, key: str, shard: str, seed: int, epochs: range, open_shards: int = 16, block: int = 65_536) -> DataFrame:
+    """rows once for each epoch, with epoch, turn and position: the order in which a reader that has open_shards shards open at a
+    time would give them, another one in each epoch.
+
+    Shards are shuffled anew for each epoch and taken open_shards at a time; the frames of one such turn are mixed with each
+    other and come before those of the next. Positions are dense within an epoch. A turn is counted in blocks of its digests, of
+    about block rows, so that a shard of any size is no one task's; one row for each shard and block meets in a window.
+    """
+    shards = rows.groupBy(shard).agg(F.count("*").alias("_n")).select(shard, "_n", F.explode(F.array(*[F.lit(e) for e in epochs])).alias("epoch"))
+    rank = F.row_number().over(Window.partitionBy("epoch").orderBy(digest(seed, F.col("epoch"), F.col(shard)), shard)) - 1
+    turns = cut(shards.withColumn("turn", F.floor(rank / open_shards)), "turns")
+    blocks = F.ceil(F.sum("_n").over(Window.partitionBy("epoch", "turn")) / block)
+    plan = turns.select(shard, "epoch", "turn", blocks.alias("_blocks"))
+    dealt = rows.join(few(plan), shard).withColumn("_d", digest(seed, F.col("epoch"), F.col(key)))
+    dealt = cut(dealt.withColumn("_block", F.floor(F.col("_d") / F.ceil(F.lit(1 << 4 * DIGITS) / F.col("_blocks")))), "dealt")
+    sizes = dealt.groupBy("epoch", "turn", "_block").agg(F.count("*").alias("_rows"))
+    before = sizes.select("epoch", "turn", "_block", (F.sum("_rows").over(Window.partitionBy("epoch").orderBy("turn", "_block")) - F.col("_rows")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("epoch", "turn", "_block").orderBy("_d", key))
+    out = dealt.withColumn("_in", inside).join(few(cut(before, "before")), ["epoch", "turn", "_block"])
+    return out.select(*rows.columns, "epoch", "turn", (F.col("_in") + F.col("_before") - 1).alias("position"))
+
+
 def sample_with_replacement(rows: DataFrame, batch: int, size: int, seed: int, row_id: str = "index") -> DataFrame:
     """batch draws from the newest size rows of a densely numbered table."""
     n = rows.agg(F.max(row_id)).first()[0] + 1

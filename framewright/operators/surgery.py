@@ -127,16 +127,18 @@ def split_labels(episodes: DataFrame, fractions: dict[str, float]) -> DataFrame:
     return dense_rank_of(episodes, rank="_r").select("episode_index", label.alias("split"))
 
 
-def split_datasets(frames: DataFrame, episodes: DataFrame, lists: DataFrame) -> dict[str, DataFrame]:
-    """The frames of each split, densely renumbered, from lists (episode_index, split).
-
-    An episode in two splits or an unknown one raises ValueError, and so do no lists at all.
-    """
+def split_names(episodes: DataFrame, lists: DataFrame) -> list[str]:
+    """The splits of lists (episode_index, split); an episode in two of them or an unknown one raises ValueError, and so do no lists at all."""
     found = lists.groupBy("episode_index").agg(F.count_distinct("split").alias("n")).join(episodes.select("episode_index", F.lit(1).alias("there")), "episode_index", "left")
     bad = found.agg(F.count("*").alias("all"), F.count_if((F.col("n") > 1) | F.col("there").isNull()).alias("bad")).first()
     if not bad["all"] or bad.bad:
         raise ValueError("splits must be disjoint lists of existing episodes")
-    names = sorted(r.split for r in lists.select("split").distinct().collect())  # a few names
+    return sorted(r.split for r in lists.select("split").distinct().collect())  # a few names
+
+
+def split_datasets(frames: DataFrame, episodes: DataFrame, lists: DataFrame) -> dict[str, DataFrame]:
+    """The frames of each split, densely renumbered, from lists (episode_index, split), that split_names() checks."""
+    names = split_names(episodes, lists)
     return {name: reindexed(frames.join(lists.where(F.col("split") == name).select("episode_index").distinct(), "episode_index", "left_semi"))[0] for name in names}
 
 

@@ -164,6 +164,16 @@ def u01_merged_by_reference(spark, sf):
     return found["frames"].join(found["tasks"], "task_index").select("episode_index", "index", "x", "task")
 
 
+@query(ev(_TWICE + ", k as (select *, case when e % 4 = 1 then 'val' else 'train' end as split from g where e % 4 > 0) select split, dense_rank() over (partition by split order by e) - 1 as episode_index, row_number() over (partition by split order by i) - 1 as index, x, label as task from k"))
+def p14_split_by_reference(spark, sf):
+    """A stored dataset that was appended to, split by lists of episodes without a copy of its frames."""
+    root, roots = _appended(spark, sf), {s: new_folder(spark, s) for s in ("train", "val")}
+    e = D.stored(spark, root)["episodes"].where("episode_index % 4 > 0")
+    D.split_by_reference(spark, root, e.select("episode_index", F.when(F.col("episode_index") % 4 == 1, "val").otherwise("train").alias("split")), roots)
+    parts = [(s, D.stored(spark, r)) for s, r in roots.items()]
+    return D.concatenated([p["frames"].join(p["tasks"], "task_index").select(F.lit(s).alias("split"), "episode_index", "index", "x", "task") for s, p in parts])
+
+
 @query(ev("select index, episode_index, x from frames_ev where episode_index % 37 = 5"))
 def s02_episodes_by_file(spark, sf):
     """Frames of some episodes, from the files that hold them."""

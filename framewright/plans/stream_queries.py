@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from framewright.operators import labels as L, sampling as T
 from framewright.plans.registry import query
 from framewright.plans.views import episodes_ev, ev, frames_ev, gap, table
+from framewright.plans.window_queries import EPOCHS, epochs_ev
 from framewright.sources import dataset as D
 from framewright.sources.scratch import cut, new_folder
 from framewright.streaming import annotation as A, elements as E, stateful as R
@@ -56,6 +57,14 @@ def r01_stream_scan_with_tasks(spark, sf):
     return _run(_source(f).join(tasks, "task_index").select("index", "task"))
 
 
+@query(EPOCHS + "epoch, position, index, 'task_' || task_index as task from o")
+def r01_stream_epochs(spark, sf):
+    """A stream over three epochs, each shuffled by shards in its own way, with the task's text."""
+    f = epochs_ev(spark, sf).select("epoch", "position", "index", "task_index", F.struct("epoch", "position").alias("_seq"))
+    tasks = episodes_ev(spark, sf).select("task_index").distinct().withColumn("task", F.concat(F.lit("task_"), F.col("task_index").cast("string")))
+    return _run(_source(f).join(tasks, "task_index").select("epoch", "position", "index", "task"))
+
+
 @query(ev("select episode_index, frame_index, [coalesce(lag(x, 2) over w, first_value(x) over w), coalesce(lag(x, 1) over w, x), x, coalesce(lead(x, 1) over w, x)] as \"window\", [lag(x, 2) over w is null, lag(x, 1) over w is null, false, lead(x, 1) over w is null] as is_pad from frames_ev window w as (partition by episode_index order by frame_index)"))
 def r02_stream_look_around(spark, sf):
     e = episodes_ev(spark, sf).select("episode_index", "dataset_to_index")

@@ -248,6 +248,23 @@ def t02_seeded_shuffle(spark, sf):
     return T.shuffled(frames_ev(spark, sf).select("index", "x"), "index", 7)
 
 
+#: Three epochs over shards of 16 episodes, three shards open at a time.
+EPOCHS = ev(f""", s as (select distinct episode_index // 16 as shard, unnest([0, 1, 2]) as epoch from episodes_ev),
+r as (select epoch, shard, (row_number() over (partition by epoch order by {_digest(7, "epoch", "shard")}) - 1) // 3 as turn from s),
+o as (select epoch, turn, index, task_index, row_number() over (partition by epoch order by turn, {_digest(7, "epoch", "index")}) - 1 as position from frames_ev join r on shard = episode_index // 16) select """)
+
+
+def epochs_ev(spark, sf):
+    f = frames_ev(spark, sf).select("index", "task_index", F.floor(F.col("episode_index") / 16).alias("shard"))
+    return T.epoch_order(f, "index", "shard", 7, range(3), 3)
+
+
+@query(EPOCHS + "epoch, turn, position, index from o")
+def t02_epoch_order(spark, sf):
+    """Shuffled shards, some open at a time, in another order in each epoch."""
+    return epochs_ev(spark, sf).select("epoch", "turn", "position", "index")
+
+
 @query(ev(f", n as (select count(*) as n from frames_ev), d as (select i as draw, greatest(0, n - 5000) + {_digest(7, 'i')} % least(n, 5000) as index from n, range(256) as t(i)) select draw, index, x from d join frames_ev using (index)"))
 def t03_sample_with_replacement(spark, sf):
     return T.sample_with_replacement(frames_ev(spark, sf).select("index", "x"), 256, 5000, 7)

@@ -9,9 +9,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from framewright.operators.indexing import BLOCK, placed, with_offsets
+from framewright.operators.indexing import BLOCK, placed, with_offsets, with_sums
 from framewright.operators.labels import report_label
 from framewright.operators.stats import feature_stats, merged_stats, with_sketches
+from framewright.operators.surgery import split_names
 from framewright.sources import commits
 from framewright.sources.schema import schema_of
 from framewright.sources.scratch import cut, few
@@ -84,7 +85,7 @@ def appended(spark: SparkSession, root: str, buffer: DataFrame, fps: float, feat
     """
     old = stored(spark, root)
     last = old["episodes"].agg(F.max("episode_index").alias("e"), F.max("dataset_to_index").alias("i"), F.max(F.col("chunk_index") * 1000 + F.col("file_index")).alias("f")).first() if old else None
-    name = uuid.uuid4().hex
+    name = f"p{uuid.uuid4().hex}"  # a letter first: folders' names that look like numbers are read as such
     frames, episodes, tasks = ingest(buffer, fps, old["tasks"] if old else None, last.e + 1 if old else 0, last.i if old else 0)
     frames = cut(frames, "new-frames")
     told("frames")
@@ -110,23 +111,40 @@ def stored(spark: SparkSession, root: str) -> dict | None:
     if record is None:
         return None
 
-    def shifted(df: DataFrame, part: dict) -> DataFrame:
-        moved = {"episode_index": part.get("episodes", 0), **dict.fromkeys(("index", "dataset_from_index", "dataset_to_index"), part.get("rows", 0))}
-        df = df.withColumns({c: F.col(c) + by for c, by in moved.items() if by and c in df.columns})
+    frames, episodes = (_read(spark, record["parts"], kind) for kind in ("data", "episodes"))
+    return {"frames": frames, "episodes": episodes, "tasks": spark.read.parquet(record["tasks"]), "stats": spark.read.parquet(record["stats"]), "record": record}
+
+
+def _alike(parts: list[dict]) -> list[list[dict]]:
+    """Parts of a record in groups that are shifted alike, which are read together."""
+    groups: dict[str, list[dict]] = {}
+    for p in parts:
+        groups.setdefault(json.dumps({**p, "part": ""}, sort_keys=True), []).append(p)
+    return list(groups.values())
+
+
+def _files_of(spark: SparkSession, group: list[dict], kind: str) -> DataFrame:
+    """What the parts of a group hold, as it was written, with the part's name."""
+    return spark.read.option("basePath", f"{group[0]['root']}/{kind}").parquet(*[f"{p['root']}/{kind}/part={p['part']}" for p in group])
+
+
+def _read(spark: SparkSession, parts: list[dict], kind: str) -> DataFrame:
+    """The parts' rows: the episodes that are kept of them, with ids, indices and tasks as they are in this dataset."""
+
+    def of(group: list[dict]) -> DataFrame:
+        part, df = group[0], _files_of(spark, group, kind)
+        indices = [c for c in ("index", "dataset_from_index", "dataset_to_index") if c in df.columns]
+        if "kept" in part:
+            kept = spark.read.parquet(part["kept"])
+            df = _within_files(df, kept) if kind == "data" else df
+            df = df.join(few(kept), _PLACE).withColumns({"episode_index": F.col("new_episode_index"), **{c: F.col(c) + F.col("_moved") for c in indices}}).drop("new_episode_index", "_moved")
+        moved = {"episode_index": part.get("episodes", 0), **dict.fromkeys(indices, part.get("rows", 0))}
+        df = df.drop("part").withColumns({c: F.col(c) + by for c, by in moved.items() if by})
         if "map" in part and "task_index" in df.columns:
-            names = few(spark.read.parquet(part["map"]))
-            df = df.join(names, "task_index").drop("task_index").withColumnRenamed("new_task_index", "task_index")
+            df = df.join(few(spark.read.parquet(part["map"])), "task_index").drop("task_index").withColumnRenamed("new_task_index", "task_index")
         return df
 
-    def of(kind: str) -> DataFrame:
-        groups: dict[str, list[dict]] = {}  # parts that are shifted alike are read together
-        for p in record["parts"]:
-            groups.setdefault(json.dumps({**p, "part": ""}, sort_keys=True), []).append(p)
-        read = [shifted(spark.read.option("basePath", f"{g[0]['root']}/{kind}").parquet(*[f"{p['root']}/{kind}/part={p['part']}" for p in g]).drop("part"), g[0]) for g in groups.values()]
-        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), read)
-
-    frames, episodes = of("data"), of("episodes")
-    return {"frames": frames, "episodes": episodes, "tasks": spark.read.parquet(record["tasks"]), "stats": spark.read.parquet(record["stats"]), "record": record}
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(of, _alike(parts)))
 
 
 def merged_by_reference(spark: SparkSession, root: str, sources: list[str]) -> None:
@@ -159,18 +177,76 @@ def merged_by_reference(spark: SparkSession, root: str, sources: list[str]) -> N
     commits.commit(spark, root, {"version": len(parts) - 1, "parts": parts, "tasks": f"{root}/tasks/part={name}", "stats": f"{root}/stats/part={name}"})
 
 
+def split_by_reference(spark: SparkSession, source: str, lists: DataFrame, roots: dict[str, str]) -> None:
+    """Datasets at roots, one for each split of lists (episode_index, split), of the stored dataset at source without a copy of its frames.
+
+    A split's record names the source's parts that hold its episodes, with a table of these episodes: the file that each lies in,
+    its dense id in the split and what its indices are shifted by. Reading a split opens those files only. Tasks that it uses
+    are numbered anew in their order; its statistics are taken from its frames. Lists are checked as split_names() says, a split
+    without a root raises ValueError, and so does a root that holds a dataset. Episodes in no list are in no split. Merging, splitting
+    and appending go on from a split as from any dataset.
+    """
+    held = stored(spark, source)
+    if held is None:
+        raise ValueError(f"no dataset at {source}")
+    if set(names := split_names(held["episodes"], lists)) - set(roots):
+        raise ValueError("each split needs a root")
+    groups = _alike(held["record"]["parts"])
+    known = cut(concatenated([_located(spark, g).withColumn("_g", F.lit(k)) for k, g in enumerate(groups)]), "located")
+    features = sorted(r.feature for r in held["stats"].select("feature").distinct().collect())  # names of features
+    for split in names:
+        root, name = roots[split], f"p{uuid.uuid4().hex}"
+        if commits.newest(spark, root):
+            raise ValueError(f"a dataset is at {root} already")
+        mine = known.join(lists.where(F.col("split") == split).select("episode_index").distinct(), "episode_index", "left_semi").withColumn("_one", F.lit(1).cast("long"))
+        mine = cut(with_sums(mine, "episode_index", {"_one": ("new_episode_index", "_end"), "length": ("_first", "_last")}), "split")
+        mine.select("_g", *[c for c in _PLACE if c != "episode_index"], F.col("_own").alias("episode_index"), "new_episode_index", (F.col("_first") - F.col("_from")).alias("_moved")).write.partitionBy("_g").parquet(f"{root}/kept/part={name}")
+        used = held["tasks"].join(mine.select(F.explode("tasks").alias("task")).distinct(), "task", "left_semi")
+        tasks = cut(used.withColumn("new_task_index", (F.row_number().over(Window.orderBy("task_index")) - 1).cast("long")), "tasks")  # the task table is small
+        tasks.select("task", F.col("new_task_index").alias("task_index")).write.parquet(f"{root}/tasks/part={name}")
+        there: dict[int, set[str]] = {}
+        for r in mine.select("_g", "part").distinct().collect():  # parts of the record
+            there.setdefault(r["_g"], set()).add(r.part)
+        parts = []
+        for k, held_parts in sorted(there.items()):
+            renumbered = tasks.select(F.col("task_index").alias("_old"), "new_task_index")
+            own = spark.read.parquet(groups[k][0]["map"]).withColumnRenamed("new_task_index", "_old") if "map" in groups[k][0] else renumbered.select(F.col("_old").alias("task_index"), "_old")
+            own.join(renumbered, "_old").select("task_index", "new_task_index").write.parquet(f"{root}/maps/part={name}/{k}")
+            parts += [{"root": p["root"], "part": p["part"], "kept": f"{root}/kept/part={name}/_g={k}", "map": f"{root}/maps/part={name}/{k}"} for p in groups[k] if p["part"] in held_parts]
+        frames = _read(spark, parts, "data")
+        with_sketches(feature_stats(frames, features, quantiles=()), frames, features).write.parquet(f"{root}/stats/part={name}")
+        commits.commit(spark, root, {"version": len(parts) - 1, "parts": parts, "tasks": f"{root}/tasks/part={name}", "stats": f"{root}/stats/part={name}"})
+
+
+#: What tells where an episode lies: its part and file, and its id as it was written.
+_PLACE = ["part", "chunk_index", "file_index", "episode_index"]
+
+
+def _located(spark: SparkSession, group: list[dict]) -> DataFrame:
+    """The episodes of a group's parts by the ids that they have in its dataset, with their place, and _own and _from, their id and first index as written."""
+    part, e = group[0], _files_of(spark, group, "episodes").withColumns({"_own": F.col("episode_index"), "_from": F.col("dataset_from_index")})
+    if "kept" in part:
+        e = e.join(few(spark.read.parquet(part["kept"])), _PLACE).withColumn("episode_index", F.col("new_episode_index"))
+    return e.select((F.col("episode_index") + part.get("episodes", 0)).alias("episode_index"), "part", "chunk_index", "file_index", "_own", "_from", "length", "tasks")
+
+
+def _within_files(frames: DataFrame, asked: DataFrame) -> DataFrame:
+    """frames with the files named in the filter, if they are few; pruning by a join knows chunks and files, but not which file of which chunk."""
+    listed = asked.select("chunk_index", "file_index").distinct().limit(LISTED_FILES + 1).collect()
+    if len(listed) > LISTED_FILES:
+        return frames
+    by_chunk: dict[int, list[int]] = {}
+    for r in listed:
+        by_chunk.setdefault(r.chunk_index, []).append(r.file_index)
+    return frames.where(reduce(lambda a, b: a | b, [(F.col("chunk_index") == c) & F.col("file_index").isin(f) for c, f in by_chunk.items()], F.lit(False)))
+
+
 def scan_placed(spark: SparkSession, root: str, places: DataFrame, episodes: DataFrame) -> DataFrame:
     """Frames under root/data of the episodes asked for, from the files that places (episode_index, chunk_index, file_index) gives
     them. Only those files are opened: the join is on the folders' columns too, and a few files are named in the scan's filter."""
     asked = places.join(episodes.select("episode_index").distinct(), "episode_index").select("chunk_index", "file_index", "episode_index")
     asked = cut(asked, "asked").where("file_index >= 0")  # always so; without a filter on it Spark doesn't take a side for small
-    frames = spark.read.parquet(f"{root}/data")
-    listed = asked.select("chunk_index", "file_index").distinct().limit(LISTED_FILES + 1).collect()
-    if len(listed) <= LISTED_FILES:  # by name; pruning by the join knows chunks and files, but not which file of which chunk
-        by_chunk: dict[int, list[int]] = {}
-        for r in listed:
-            by_chunk.setdefault(r.chunk_index, []).append(r.file_index)
-        frames = frames.where(reduce(lambda a, b: a | b, [(F.col("chunk_index") == c) & F.col("file_index").isin(f) for c, f in by_chunk.items()], F.lit(False)))
+    frames = _within_files(spark.read.parquet(f"{root}/data"), asked)
     return frames.join(few(asked), ["chunk_index", "file_index", "episode_index"])
 
 

@@ -70,6 +70,56 @@ def test_merging_by_reference_writes_no_frames(spark, tmp_path):
     assert D.stored(spark, both)["frames"].agg(F.max("index"), F.max("episode_index")).first() == (23, 5)
 
 
+def test_splitting_by_reference_writes_no_frames(spark, tmp_path):
+    a, both, train, val, again = (str(tmp_path / n) for n in ("a", "both", "train", "val", "again"))
+    D.appended(spark, a, buffer(spark, [0, 1, 2]), 10, ["x"], max_mb=0.0001)  # a file for each episode
+    D.appended(spark, a, buffer(spark, [3, 4]), 10, ["x"], max_mb=0.0001)
+    before = files(tmp_path / "a")
+    lists = spark.createDataFrame([(0, "train"), (3, "train"), (1, "val")], "episode_index long, split string")
+    D.split_by_reference(spark, a, lists, {"train": train, "val": val})
+
+    def told(root):
+        held = D.stored(spark, root)
+        return [tuple(r) for r in held["frames"].join(held["tasks"], "task_index").orderBy("index").select("index", "episode_index", "frame_index", "x", "task").collect()]
+
+    want = lambda episodes: [(4 * k + i, k, i, e * 10.0 + i, f"t{e % 2}") for k, e in enumerate(episodes) for i in range(4)]
+    assert told(train) == want([0, 3]) and told(val) == want([1])
+    assert files(tmp_path / "a") == before and not (tmp_path / "train" / "data").exists()
+    assert len(D.stored(spark, val)["record"]["parts"]) == 1 and D.stored(spark, val)["tasks"].collect() == [("t1", 0)]
+    assert sorted(tuple(r) for r in D.stored(spark, train)["tasks"].select("task", "task_index").collect()) == [("t0", 0), ("t1", 1)]
+    assert read_files(D.stored(spark, train)["frames"]) == 2  # of five
+    spans = D.stored(spark, train)["episodes"].orderBy("episode_index").select("episode_index", "dataset_from_index", "dataset_to_index").collect()
+    stats = D.stored(spark, train)["stats"].first()
+    assert [tuple(r) for r in spans] == [(0, 0, 4), (1, 4, 8)] and (stats["count"], stats["min"], stats["max"]) == (8, 0.0, 33.0)
+    D.merged_by_reference(spark, both, [val, train, val, a])  # parts that stand in it several times, with other shifts and tasks
+    assert told(both) == want([1, 0, 3, 1, 0, 1, 2, 3, 4])
+    D.split_by_reference(spark, both, spark.createDataFrame([(i, "again") for i in (0, 2, 3, 5, 8)], "episode_index long, split string"), {"again": again})
+    assert told(again) == want([1, 3, 1, 1, 4])
+    D.appended(spark, val, buffer(spark, [5]), 10, ["x"])
+    assert told(val) == want([1, 5]) and files(tmp_path / "a") == before
+    for wrong, roots in ((lists, {"train": train}), (lists, {"train": train, "val": val}), (lists.limit(0), {}), (spark.createDataFrame([(77, "x")], lists.schema), {"x": again})):
+        with pytest.raises(ValueError):
+            D.split_by_reference(spark, a, wrong, roots)
+
+
+@pytest.mark.parametrize("block", [7, 65_536])
+def test_epochs_are_shuffled_by_shards(spark, block):
+    rows = spark.range(600).select(F.col("id").alias("index"), F.when(F.col("id") < 300, 0).otherwise(1 + F.col("id") % 9).alias("shard"))  # half of all in one shard
+    got = [T.epoch_order(rows, "index", "shard", seed, range(3), 4, block).orderBy("epoch", "position").collect() for seed in (1, 1, 2)]
+    assert got[0] == got[1] and got[0] != got[2]
+    orders = []
+    for epoch in range(3):
+        mine = [r for r in got[0] if r.epoch == epoch]
+        assert [r.position for r in mine] == list(range(600)) and sorted(r["index"] for r in mine) == list(range(600))
+        assert [r.turn for r in mine] == sorted(r.turn for r in mine)
+        shards = [{r.shard for r in mine if r.turn == t} for t in range(3)]
+        assert [len(s) for s in shards] == [4, 4, 2] and len(set().union(*shards)) == 10
+        orders.append([r["index"] for r in mine])
+    assert len({tuple(o) for o in orders}) == 3
+    assert [(r.epoch, r.turn, r.position, r["index"]) for r in T.epoch_order(rows, "index", "shard", 1, range(3), 4, 65_536).orderBy("epoch", "position").collect()] == [(r.epoch, r.turn, r.position, r["index"]) for r in got[0]]
+    assert T.epoch_order(rows.limit(0), "index", "shard", 1, range(3)).count() == 0
+
+
 @pytest.mark.parametrize(("listed", "read"), [(1_000, 2), (0, 4)])
 def test_only_files_of_the_episodes_are_read(spark, tmp_path, monkeypatch, listed, read):
     monkeypatch.setattr(D, "LISTED_FILES", listed)
@@ -90,7 +140,7 @@ def read_files(df):
         name = p.nodeName()
         plans += [p.executedPlan()] if name == "AdaptiveSparkPlan" else [p.plan()] if "QueryStage" in name else []
         plans += [p.children().apply(i) for i in range(p.children().size())]
-        if name.startswith("Scan") and "dynamicpruning" in p.toString():
+        if name.startswith("Scan parquet") and "/data" in p.relation().location().rootPaths().mkString(" "):
             found.append(p.metrics().apply("numFiles").value())
     return sum(found)
 
