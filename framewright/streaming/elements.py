@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from framewright.streaming.stateful import ordered_columns
+
 #: Rows of an episode that are read back at a time.
 CHUNK = 10_000
 
@@ -29,13 +31,13 @@ class _Sessions(StatefulProcessor):
         self.place = handle.getValueState("place", "episode long, rows long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        episode, count = self.place.get() if self.place.exists() else (0, 0)
-        new = pd.concat(list(rows)).sort_values("seq")
-        seq, done = new["seq"].to_numpy(np.int64), new["done"].to_numpy(bool)
-        ends = np.flatnonzero(done) + 1
-        first = 0
-        for n, end in enumerate(ends.tolist()):
-            if n == 0 and count:  # the list is read when its episode ends, and not before
+        episode, count = self.place.get() or (0, 0)
+        seq, done = ordered_columns(rows, ("seq",), "seq", "done")
+        before = np.cumsum(done) - done  # episodes that ended earlier in this batch
+        ended = int(done.sum())
+        first = int(np.searchsorted(before, ended))  # where the episode that stays open begins
+        if ended:
+            if count:  # the list is read when its episode ends, and not before
                 at, chunk = 0, []
                 for (s,) in self.held.get():
                     chunk.append(s)
@@ -45,11 +47,12 @@ class _Sessions(StatefulProcessor):
                 if chunk:
                     yield self._given(key, episode, at, chunk)
                 self.held.clear()
-            yield self._given(key, episode, count, seq[first:end])
-            episode, count, first = episode + 1, 0, end
+            frame = np.arange(first) - np.searchsorted(before, before[:first]) + np.where(before[:first] == 0, count, 0)
+            yield pd.DataFrame({"source": key[0], "episode": episode + before[:first], "frame_index": frame, "seq": seq[:first]})
+            count = 0
         if first < len(seq):
-            self.held.appendList([(int(s),) for s in seq[first:]])
-        self.place.update((episode, count + len(seq) - first))
+            self.held.appendList([(s,) for s in seq[first:].tolist()])
+        self.place.update((episode + ended, count + len(seq) - first))
 
     @staticmethod
     def _given(key, episode: int, at: int, seq) -> pd.DataFrame:
@@ -79,27 +82,41 @@ class _Queue(StatefulProcessor):
         self.place = handle.getValueState("place", "latest long, last long, closes long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        latest, last, closes = self.place.get() if self.place.exists() else (-1, -1, -1)
-        new = pd.concat(list(rows)).sort_values(["seq", "timestep"])
-        out = []
-        for taken, now in new.groupby("taken", sort=True):
-            for s in range(latest + 1, min(int(taken), last) + 1):  # what is taken now: these entries and no others are read
-                if self.queue.containsKey((s,)):
-                    out.append((key[0], s, self.queue.getValue((s,))[0], False))
-                    self.queue.removeKey((s,))
-            latest = max(latest, int(taken))
-            for s, x in zip(now["timestep"].tolist(), now["action"].tolist(), strict=True):
-                if s > latest:
-                    old = self.queue.getValue((s,)) if s <= last and self.queue.containsKey((s,)) else None
-                    self.queue.updateValue((s,), (self.combine(old[0], x) if old else x,))
-                    last = max(last, s)
+        latest, last, closes = self.place.get() or (-1, -1, -1)
+        new = list(rows)
+        at, xs, takens = ordered_columns(new, ("taken", "seq", "timestep"), "timestep", "action", "taken")
+        sent, read, stored = {}, set(), last  # what this batch sends; which of it is stored too; none beyond stored is
+        out, before = [], None
+        for s, x, taken in zip(at.tolist(), xs.tolist(), takens.tolist(), strict=True):
+            if taken != before:  # the robot is at another timestep
+                for t in range(latest + 1, min(taken, last) + 1):  # what is taken now: these entries and no others are read
+                    if t in sent:
+                        out.append((t, sent.pop(t)))
+                        if t in read:
+                            self.queue.removeKey((t,))
+                    elif t <= stored and self.queue.containsKey((t,)):
+                        out.append((t, self.queue.getValue((t,))[0]))
+                        self.queue.removeKey((t,))
+                latest, before = max(latest, taken), taken
+            if s <= latest:
+                continue
+            if s in sent:
+                sent[s] = self.combine(sent[s], x)
+            elif s <= stored and self.queue.containsKey((s,)):
+                sent[s] = self.combine(self.queue.getValue((s,))[0], x)
+                read.add(s)
+            else:
+                sent[s] = x
+            last = max(last, s)
+        for s, x in sent.items():  # what the batch both sends and takes is never stored
+            self.queue.updateValue((s,), (x,))
         if closes >= 0:
             self.handle.deleteTimer(closes)
-        closes = int(new["ts"].max().timestamp() * 1000) + self.idle_ms
+        closes = int(max(p["ts"].max() for p in new).timestamp() * 1000) + self.idle_ms
         self.handle.registerTimer(closes)
         self.place.update((latest, last, closes))
         if out:
-            yield pd.DataFrame(out, columns=["robot", "timestep", "action", "closed"])
+            yield pd.DataFrame({"robot": key[0], "timestep": [t for t, _ in out], "action": [x for _, x in out], "closed": False})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """The robot is silent: what it still has is given out as closed, and its state goes."""
@@ -122,4 +139,4 @@ def queued_actions(chunks: DataFrame, combine: Callable[[float, float], float],
     """
     element_store(chunks.sparkSession)
     rows = chunks.select("robot", "seq", "timestep", "action", "taken", "ts").withWatermark("ts", late)
-    return rows.groupBy("robot").transformWithStateInPandas(_Queue(combine, idle_ms), "robot long, timestep long, action double, closed boolean", "append", "EventTime")
+    return rows.where("taken is not null").groupBy("robot").transformWithStateInPandas(_Queue(combine, idle_ms), "robot long, timestep long, action double, closed boolean", "append", "EventTime")

@@ -34,6 +34,14 @@ def _stateful(df: DataFrame, key: str, step: Callable, output: str, state: str,
     return df.groupBy(key).applyInPandasWithState(run, output, state, "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
 
 
+def ordered_columns(batches: Iterator[pd.DataFrame], by: tuple[str, ...], *names: str) -> list[np.ndarray]:
+    """The named columns of a key's rows, in the order of the columns `by`: a key has few rows in a batch, so frames are neither joined nor sorted whole."""
+    parts = list(batches)
+    column = lambda name: parts[0][name].to_numpy() if len(parts) == 1 else np.concatenate([p[name].to_numpy() for p in parts])
+    order = np.lexsort([column(name) for name in reversed(by)])
+    return [column(name)[order] for name in names]
+
+
 def look_around(frames: DataFrame, value: str, back: int, ahead: int, last: str = "last", idle: str | None = None) -> DataFrame:
     """(episode_index, frame_index, window, is_pad): each frame's values from back frames before to ahead after, clamped.
 
@@ -44,10 +52,10 @@ def look_around(frames: DataFrame, value: str, back: int, ahead: int, last: str
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         at, values, base, given = state.get if state.exists else ([], [], 0, 0)
         at, values = list(at), list(values)
-        rows = pd.concat(list(batches)).sort_values("frame_index")
-        at += [int(i) for i in rows["frame_index"]]
-        values += [float(v) for v in rows[value]]
-        ended = bool(rows[last].any())
+        frame, x, over = ordered_columns(batches, ("frame_index",), "frame_index", value, last)
+        at += frame.tolist()
+        values += x.astype(float).tolist()
+        ended = bool(over.any())
         ready = len(at) if ended else max(given, len(at) - ahead)
         out = []
         for i in range(given, ready):
@@ -63,11 +71,6 @@ def look_around(frames: DataFrame, value: str, back: int, ahead: int, last: str
     return _stateful(frames.select("episode_index", "frame_index", value, last), "episode_index", step, "episode_index long, frame_index long, window array<double>, is_pad array<boolean>", "at array<long>, vals array<double>, base long, given long", idle)
 
 
-def _ended(rows: pd.DataFrame) -> bool:
-    """Whether the key's episode is over, so that its state can go."""
-    return bool(rows["ended"].any())
-
-
 def _with_end(rows: DataFrame, ended: str | None) -> DataFrame:
     return rows.withColumn("ended", F.col(ended) if ended else F.lit(False))
 
@@ -83,21 +86,22 @@ def merge_actions(chunks: DataFrame, combine: Callable[[float, float], float], e
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         steps, actions, latest = state.get if state.exists else ([], [], -1)
         queue, out = dict(zip(steps, actions, strict=True)), []
-        rows = pd.concat(list(batches)).sort_values(["seq", "timestep"])
-        for taken, now in rows.groupby("taken", sort=True):  # all that came while the robot was at one timestep
-            for s in sorted(s for s in queue if s <= taken):
-                out.append((key[0], s, queue.pop(s)))
-            latest = max(latest, int(taken))
-            new = now[now["timestep"] > latest]
-            for s, x in zip(new["timestep"].tolist(), new["action"].tolist(), strict=True):
+        at, xs, taken, over = ordered_columns(batches, ("taken", "seq", "timestep"), "timestep", "action", "taken", "ended")
+        before = None
+        for s, x, now in zip(at.tolist(), xs.tolist(), taken.tolist(), strict=True):
+            if now != before:  # the robot is at another timestep
+                for t in sorted(t for t in queue if t <= now):
+                    out.append((t, queue.pop(t)))
+                latest, before = max(latest, now), now
+            if s > latest:
                 queue[s] = combine(queue[s], x) if s in queue else x
-        if _ended(rows):
+        if over.any():
             state.remove()
         else:
             state.update((list(queue), list(queue.values()), latest))
-        yield pd.DataFrame(out, columns=["robot", "timestep", "action"])
+        yield pd.DataFrame({"robot": key[0], "timestep": [t for t, _ in out], "action": [x for _, x in out]})
 
-    rows = _with_end(chunks, ended).select("robot", "seq", "timestep", "action", "taken", "ended")
+    rows = _with_end(chunks, ended).where("taken is not null or ended").select("robot", "seq", "timestep", "action", "taken", "ended")
     return _stateful(rows, "robot", step, "robot long, timestep long, action double", "steps array<long>, actions array<double>, latest long", idle)
 
 
@@ -107,22 +111,17 @@ def distinct_observations(rows: DataFrame, tolerance: float, ended: str | None =
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, x = state.get if state.exists else (-1, float("nan"))
-        rows, out = pd.concat(list(batches)).sort_values("timestep"), []
-        at, xs, must = rows["timestep"].to_numpy(), rows["x"].to_numpy(float), rows["must_go"].to_numpy(bool)
-        i = 0
-        while i < len(at):  # from one kept observation to the next
-            fits = must[i:] | ((at[i:] > last) & ~(np.abs(xs[i:] - x) < tolerance))
-            if not fits.any():
-                break
-            i += int(fits.argmax())
-            last, x = int(at[i]), float(xs[i])
-            out.append((key[0], last, x))
-            i += 1
-        if _ended(rows):
+        at, xs, must, over = ordered_columns(batches, ("timestep",), "timestep", "x", "must_go", "ended")
+        kept = []
+        for i, (t, v, go) in enumerate(zip(at.tolist(), xs.astype(float).tolist(), must.tolist(), strict=True)):
+            if go or (t > last and not abs(v - x) < tolerance):
+                last, x = t, v
+                kept.append(i)
+        if over.any():
             state.remove()
         else:
             state.update((last, x))
-        yield pd.DataFrame(out, columns=["robot", "timestep", "x"])
+        yield pd.DataFrame({"robot": key[0], "timestep": at[kept], "x": xs[kept]})
 
     return _stateful(_with_end(rows, ended).select("robot", "timestep", "x", "must_go", "ended"), "robot", step, "robot long, timestep long, x double", "last long, x double", idle)
 
@@ -135,9 +134,9 @@ def episodes_of(rows: DataFrame, longest: int = 100_000, idle: str | None = None
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, episode, given = state.get if state.exists else ([], 0, 0)
-        rows = pd.concat(list(batches)).sort_values("seq")
-        seq = np.concatenate((np.array(list(held), np.int64), rows["seq"].to_numpy(np.int64)))
-        done = np.concatenate((np.zeros(len(held), bool), rows["done"].to_numpy(bool)))
+        new, ends = ordered_columns(batches, ("seq",), "seq", "done")
+        seq = np.concatenate((np.array(list(held), np.int64), new.astype(np.int64)))
+        done = np.concatenate((np.zeros(len(held), bool), ends.astype(bool)))
         before = np.cumsum(done) - done  # episodes that ended earlier
         starts = np.searchsorted(before, before)
         frame = np.arange(len(seq)) - starts + np.where(before == 0, given, 0)
@@ -162,18 +161,19 @@ def stepwise(rows: DataFrame, dt: float, jump: float | None = None, ended: str |
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        g = pd.concat(list(batches)).sort_values("frame_index")
-        x, on = g["x"].to_numpy(float), g["enabled"].to_numpy(bool)
+        frame, x, on, over = ordered_columns(batches, ("frame_index",), "frame_index", "x", "enabled", "ended")
+        x, on = x.astype(float), on.astype(bool)
         last, was, count, held = state.get if state.exists else (x[0], False, 0, 0.0)
         before = np.concatenate(([last], x[:-1]))
         rising = on & ~np.concatenate(([was], on[:-1]))
-        latched = pd.Series(np.where(rising, x, np.nan)).ffill().fillna(held)
-        if _ended(g):
+        edge = np.maximum.accumulate(np.where(rising & ~np.isnan(x), np.arange(len(x)), -1))
+        latched = np.where(edge < 0, held, x[edge])
+        if over.any():
             state.remove()
         else:
-            state.update((float(x[-1]), bool(on[-1]), count + len(x), float(latched.iloc[-1])))
+            state.update((float(x[-1]), bool(on[-1]), count + len(x), float(latched[-1])))
         moved = np.abs(x - before) > (jump if jump is not None else np.inf)
-        yield pd.DataFrame({"episode_index": key[0], "frame_index": g["frame_index"].to_numpy(), "velocity": (x - before) / dt, "jumped": moved, "step": count + np.arange(1, len(x) + 1), "held": latched.to_numpy()})
+        yield pd.DataFrame({"episode_index": key[0], "frame_index": frame, "velocity": (x - before) / dt, "jumped": moved, "step": count + np.arange(1, len(x) + 1), "held": latched})
 
     rows = _with_end(rows, ended).select("episode_index", "frame_index", "x", "enabled", "ended")
     return _stateful(rows, "episode_index", step, "episode_index long, frame_index long, velocity double, jumped boolean, step long, held double", "x double, enabled boolean, count long, held double", idle)
@@ -184,13 +184,13 @@ def latency(rows: DataFrame, size: int = 100, ended: str | None = None, idle: st
     and goes with the flag ended or after idle."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("seq")
-        ring = ((list(state.get[0]) if state.exists else []) + rows["value"].tolist())[-size:]
-        if _ended(rows):
+        seq, values, over = ordered_columns(batches, ("seq",), "seq", "value", "ended")
+        ring = ((list(state.get[0]) if state.exists else []) + values.tolist())[-size:]
+        if over.any():
             state.remove()
         else:
             state.update((ring,))
-        yield pd.DataFrame({"robot": [key[0]], "seq": [int(rows["seq"].iloc[-1])], "n": [len(ring)], "max": [max(ring)]})
+        yield pd.DataFrame({"robot": [key[0]], "seq": [int(seq[-1])], "n": [len(ring)], "max": [max(ring)]})
 
     return _stateful(_with_end(rows, ended).select("robot", "seq", "value", "ended"), "robot", step, "robot long, seq long, n long, max double", "ring array<double>", idle)
 

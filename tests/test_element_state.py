@@ -142,3 +142,16 @@ def test_idle_state_goes(spark, tmp_path):
     finally:
         q.stop()
     assert 1 in held and held[-1] == 0 and spark.table("idle_state").collect()[0]["max"] == 5.0
+
+
+def test_a_queue_stores_only_what_a_batch_leaves_open():
+    queue, handle = E._Queue(lambda old, new: old + new, 60_000), Handle()
+    queue.init(handle)
+    entries, stored = handle.getMapState("queue"), []
+    entries.updateValue = lambda k, v: (stored.append(k), entries.__setitem__(k, v))
+    rows = pd.concat([batch(s, [s + 1, s + 2], s - 1, s) for s in range(50)])  # a step is sent twice and then taken
+    (out,) = queue.handleInputRows((1,), iter([rows.iloc[60:], rows.iloc[:60]]), None)
+    assert out["timestep"].tolist() == list(range(1, 49)) and out["action"].tolist() == [1.0] + [2.0 * s for s in range(2, 49)]
+    assert sorted(stored) == [(49,), (50,), (51,)] and entries.asked == 0
+    (out,) = queue.handleInputRows((1,), iter([batch(50, [49, 51, 52], 49, 50)]), None)
+    assert out["timestep"].tolist() == [49] and dict(entries) == {(50,): (100.0,), (51,): (102.0,), (52,): (52.0,)}
