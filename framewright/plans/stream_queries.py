@@ -13,12 +13,15 @@ from framewright.sources.scratch import cut, new_folder
 from framewright.streaming import annotation as A, elements as E, stateful as R
 
 
-#: Rows of a file, about; there are four files at least.
+#: Rows of a file, about.
 SLICE_ROWS = 1_000_000
+#: Batches of a stream, whatever its rows: each has as many files as they need. More batches of as many rows would bring each key
+#: in each batch, so that the calls for keys would grow as the square of the rows.
+BATCHES = 4
 
 
 def _source(rows: DataFrame) -> DataFrame:
-    """rows as a stream of files, each a range of _seq and one batch, or the rows of one _slice where they have that. They are
+    """rows as a stream of batches, each a range of _seq, or the rows of one _slice where they have that. They are
     written at once; as a stream takes files by the time they were changed, the files are then given the times at which they would have come."""
     spark, root = rows.sparkSession, new_folder(rows.sparkSession, "stream")
     rows = cut(rows, "rows")
@@ -27,10 +30,10 @@ def _source(rows: DataFrame) -> DataFrame:
         rows.repartitionByRange(slices, "_slice").sortWithinPartitions("_slice").write.partitionBy("_slice").parquet(f"{root}/data")
         _timed(spark, f"{root}/data", "_slice=", lambda name: int(name.split("=")[1]))
         return D.stream_frames(spark, root, rows.drop("_slice").schema, files_per_trigger=1)
-    slices = max(4, -(-rows.count() // SLICE_ROWS))
-    rows.repartitionByRange(slices, "_seq").sortWithinPartitions("_seq").write.parquet(f"{root}/data")
+    files = max(1, -(-rows.count() // (BATCHES * SLICE_ROWS)))
+    rows.repartitionByRange(BATCHES * files, "_seq").sortWithinPartitions("_seq").write.parquet(f"{root}/data")
     _timed(spark, f"{root}/data", "part-", str)  # parts are numbered by range
-    return D.stream_frames(spark, root, rows.schema, files_per_trigger=1)
+    return D.stream_frames(spark, root, rows.schema, files_per_trigger=files)
 
 
 def _timed(spark, folder: str, prefix: str, order) -> None:
@@ -50,19 +53,23 @@ def _run(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(out)
 
 
+def _tasks(spark, sf: str) -> DataFrame:
+    """The texts of the tasks, written once: every batch joins them."""
+    tasks = episodes_ev(spark, sf).select("task_index").distinct().withColumn("task", F.concat(F.lit("task_"), F.col("task_index").cast("string")))
+    return cut(tasks, "tasks")
+
+
 @query(ev("select index, 'task_' || task_index as task from frames_ev"))
 def r01_stream_scan_with_tasks(spark, sf):
     f = frames_ev(spark, sf).select("index", "task_index", F.col("index").alias("_seq"))
-    tasks = episodes_ev(spark, sf).select("task_index").distinct().withColumn("task", F.concat(F.lit("task_"), F.col("task_index").cast("string")))
-    return _run(_source(f).join(tasks, "task_index").select("index", "task"))
+    return _run(_source(f).join(_tasks(spark, sf), "task_index").select("index", "task"))
 
 
 @query(EPOCHS + "epoch, position, index, 'task_' || task_index as task from o")
 def r01_stream_epochs(spark, sf):
     """A stream over three epochs, each shuffled by shards in its own way, with the task's text."""
     f = epochs_ev(spark, sf).select("epoch", "position", "index", "task_index", F.struct("epoch", "position").alias("_seq"))
-    tasks = episodes_ev(spark, sf).select("task_index").distinct().withColumn("task", F.concat(F.lit("task_"), F.col("task_index").cast("string")))
-    return _run(_source(f).join(tasks, "task_index").select("epoch", "position", "index", "task"))
+    return _run(_source(f).join(_tasks(spark, sf), "task_index").select("epoch", "position", "index", "task"))
 
 
 @query(ev("select episode_index, frame_index, [coalesce(lag(x, 2) over w, first_value(x) over w), coalesce(lag(x, 1) over w, x), x, coalesce(lead(x, 1) over w, x)] as \"window\", [lag(x, 2) over w is null, lag(x, 1) over w is null, false, lead(x, 1) over w is null] as is_pad from frames_ev window w as (partition by episode_index order by frame_index)"))

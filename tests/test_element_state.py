@@ -155,3 +155,15 @@ def test_a_queue_stores_only_what_a_batch_leaves_open():
     assert sorted(stored) == [(49,), (50,), (51,)] and entries.asked == 0
     (out,) = queue.handleInputRows((1,), iter([batch(50, [49, 51, 52], 49, 50)]), None)
     assert out["timestep"].tolist() == [49] and dict(entries) == {(50,): (100.0,), (51,): (102.0,), (52,): (52.0,)}
+
+
+def test_batches_of_a_stream_do_not_grow_with_its_rows(spark, monkeypatch):
+    from framewright.plans import stream_queries as Q
+
+    monkeypatch.setattr(Q, "SLICE_ROWS", 50)
+    rows = spark.range(1000).selectExpr("id as robot", "id as seq", "double(id) as value", "id as _seq")
+    seen = []
+    q = Q._source(rows).writeStream.foreachBatch(lambda b, n: seen.append([r.seq for r in b.collect()])).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert len(seen) <= 5 and sorted(sum(seen, [])) == list(range(1000))
+    assert all(max(a) < min(b) for a, b in zip(seen, seen[1:]))  # in order
