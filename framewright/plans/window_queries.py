@@ -278,7 +278,7 @@ def t04_sampling_weights(spark, sf):
     return T.sampling_weights(f.where("episode_index % 2 = 0"), f.where("episode_index % 2 = 1"), 0.25, 2, 5).withColumn("weight", F.round("weight", 9))
 
 
-@query(ev(", n as (select episode_index, length, greatest(least(20, length), least(floor(length ** 0.75)::bigint, 10000)) as n from episodes_ev) select episode_index, round_even(i * (length - 1) / (n - 1), 0)::bigint as frame_index from n, range(100) r(i) where i < n"))
+@query(ev(", n as (select episode_index, length, greatest(least(20, length), least(floor(length ** 0.75)::bigint, 10000)) as n from episodes_ev) select episode_index, round_even(i * (length - 1) / (n - 1), 0)::bigint as frame_index from n, range(10000) r(i) where i < n"))
 def t05_evenly_spaced_sample(spark, sf):
     e = episodes_ev(spark, sf).withColumn("n", T.sample_count(F.col("length"), 20))
     return e.select("episode_index", F.explode(T.evenly_spaced(F.col("length"), F.col("n"))).alias("frame_index"))
