@@ -35,3 +35,13 @@ def test_channel_stats_of_a_long_episode(spark, tmp_path):
     rows = [[float((37 * i + d) % 251) for d in range(64)] for i in range(700)]  # 136 of them are taken
     ours, theirs = both(spark, tmp_path, "a06_channel_stats", embeddings=embeddings(rows))
     assert ours == theirs and "136" in next(iter(ours))
+
+
+def test_quantile10_where_three_digits_tie(spark, tmp_path):
+    prices = [(500_000 + 1_875 * (2 * m + 1)) / 100 for m in range(2_500)]
+    n = len(prices)
+    day = pa.array([0] * n, pa.timestamp("us"))
+    lines = {"l_orderkey": list(range(n)), "l_partkey": [1] * n, "l_suppkey": [1] * n, "l_linenumber": pa.array([1] * n, pa.int32()), "l_quantity": [7.0] * n, "l_extendedprice": prices, "l_discount": [0.04] * n, "l_tax": [0.03] * n, "l_shipdate": day}
+    orders = {"o_orderkey": list(range(n)), "o_orderstatus": ["F"] * n, "o_orderpriority": ["1"] * n}
+    ours, theirs = both(spark, tmp_path, "f01_normalized_quantile10", lineitem=lines, orders=orders)
+    assert ours == theirs and ours.total() == n
