@@ -67,7 +67,7 @@ def f05_delta_transform(spark, sf):
     return _li(spark, sf, V.delta(F.col("state"), F.reverse("state"), (0, 2)))
 
 
-@query(vec("select vec_id, [round(x, 6) for x in state[1:6] || state[8:23]] as v from vectors"))
+@query(vec("select vec_id, [round(x, 6) + 0.0 for x in state[1:6] || state[8:23]] as v from vectors"))
 def f06_selected_dims(spark, sf):
     return vectors(spark, sf).select("vec_id", r6(V.selected_dims(F.col("state"), "0:6,7:23")).alias("v"))
 

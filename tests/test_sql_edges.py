@@ -45,3 +45,9 @@ def test_quantile10_where_three_digits_tie(spark, tmp_path):
     orders = {"o_orderkey": list(range(n)), "o_orderstatus": ["F"] * n, "o_orderpriority": ["1"] * n}
     ours, theirs = both(spark, tmp_path, "f01_normalized_quantile10", lineitem=lines, orders=orders)
     assert ours == theirs and ours.total() == n
+
+
+def test_selected_dims_have_no_negative_zeros(spark, tmp_path):
+    rows = [[(-1) ** d * 3e-7 for d in range(64)], [-0.0] * 64, [d / 128 for d in range(-32, 32)]]
+    ours, theirs = both(spark, tmp_path, "f06_selected_dims", embeddings=embeddings(rows))
+    assert ours == theirs and ours.total() == 3 and "-0.0," not in str(ours)
