@@ -114,7 +114,10 @@ def delete_episodes(frames: DataFrame, episodes: DataFrame, gone: list[int]) ->
 
 
 def split_labels(episodes: DataFrame, fractions: dict[str, float]) -> DataFrame:
-    """(episode_index, split): splits take the floor of their fraction of the sorted episodes, the last one all the rest; a split of none is dropped."""
+    """(episode_index, split): splits take the floor of their fraction of the sorted episodes, the last one all the rest; a split of none is dropped.
+
+    The product is one of doubles, as in the reference: 0.7 of 90 episodes are 62.
+    """
     if not fractions or sum(fractions.values()) > 1 + 1e-9 or min(fractions.values()) <= 0:
         raise ValueError("fractions must be positive and not over 1 together")
     n = episodes.count()
