@@ -14,6 +14,10 @@ def r6(c):
     return F.transform(c, lambda v: F.round(v, 6) + 0.0)
 
 
+def r12(c):
+    return F.transform(c, lambda v: F.round(v, 12))
+
+
 _ST = {"mean": [25.0, 36000.0, 0.05, 0.04], "std": [14.0, 24000.0, 0.03, 0.025], "min": [1.0, 900.0, 0.0, 0.0], "max": [50.0, 105000.0, 0.1, 0.08], "q01": [1.0, 1000.0, 0.0, 0.0], "q99": [50.0, 100000.0, 0.1, 0.08], "q10": [5.0, 5000.0, 0.0, 0.02], "q90": [45.0, 80000.0, 0.1, 0.02]}
 _I = "for i in [1, 2, 3, 4]"
 
@@ -181,25 +185,28 @@ t as (select *, [q[2] * v[3] - q[3] * v[2] + q[4] * v[1], q[3] * v[1] - q[1] * v
 r as (select vec_id, q, [v[1] + 2 * (q[2] * t[3] - q[3] * t[2]), v[2] + 2 * (q[3] * t[1] - q[1] * t[3]), v[3] + 2 * (q[1] * t[2] - q[2] * t[1])] as r, v from t)""".replace("{q}", _Q)
 
 
-@query(vec(f"{_ROTATED} select vec_id, [round(x, 6) for x in r] as rotated, [round(x, 6) for x in v] as back from r"))
+@query(vec(f"{_ROTATED} select vec_id, [round(round(x, 12), 6) + 0.0 for x in r] as rotated, [round(round(x, 12), 6) + 0.0 for x in v] as back from r"))
 def f27_rotation_round_trip(spark, sf):
-    """Rotated by a quaternion made of other numbers, through a matrix and a rotation vector, and back by its inverse."""
+    """Rotated by a quaternion made of other numbers, through a matrix and a rotation vector, and back by its inverse.
+
+    Both by 12 digits before 6, or the way's rounding errors would decide numbers that end in a tie, such as 1/128.
+    """
     q = R.unit(F.slice("state", 4, 4))
     again = R.quat_of_rotvec(R.rotvec_of_quat(R.quat_of_matrix(R.matrix_of_quat(q))))
     v = vectors(spark, sf).select("vec_id", F.slice("state", 1, 3).alias("v"), again.alias("q"))
     v = v.withColumn("r", R.applied(F.col("q"), F.col("v")))
-    return v.select("vec_id", r6(F.col("r")).alias("rotated"), r6(R.applied(R.inverse(F.col("q")), F.col("r"))).alias("back"))
+    return v.select("vec_id", r6(r12(F.col("r"))).alias("rotated"), r6(r12(R.applied(R.inverse(F.col("q")), F.col("r")))).alias("back"))
 
 
 @query(vec(""", q as (select vec_id, {q} as q, [state[i] / sqrt(list_sum([y * y for y in state[8:11]])) for i in [8, 9, 10, 11]] as p from vectors)
-select vec_id, [round(x, 6) for x in [p[4] * q[1] + p[1] * q[4] + p[2] * q[3] - p[3] * q[2], p[4] * q[2] + p[2] * q[4] + p[3] * q[1] - p[1] * q[3], p[4] * q[3] + p[3] * q[4] + p[1] * q[2] - p[2] * q[1],
+select vec_id, [round(x, 6) + 0.0 for x in [p[4] * q[1] + p[1] * q[4] + p[2] * q[3] - p[3] * q[2], p[4] * q[2] + p[2] * q[4] + p[3] * q[1] - p[1] * q[3], p[4] * q[3] + p[3] * q[4] + p[1] * q[2] - p[2] * q[1],
   p[4] * q[4] - p[1] * q[1] - p[2] * q[2] - p[3] * q[3]]] as composed from q""".replace("{q}", _Q)))
 def f27_rotation_composed(spark, sf):
     q = vectors(spark, sf).select("vec_id", R.unit(F.slice("state", 4, 4)).alias("q"), R.unit(F.slice("state", 8, 4)).alias("p"))
     return q.select("vec_id", r6(R.composed(F.col("p"), F.col("q"))).alias("composed"))
 
 
-@query(vec("""select vec_id, [round(q[i] * 2 * acos(greatest(-1.0, least(1.0, q[4]))) / sqrt(1 - q[4] * q[4]), 6) for i in [1, 2, 3]] as axis_angle
+@query(vec("""select vec_id, [round(q[i] * 2 * acos(greatest(-1.0, least(1.0, q[4]))) / sqrt(1 - q[4] * q[4]), 6) + 0.0 for i in [1, 2, 3]] as axis_angle
 from (select vec_id, [state[i] / sqrt(list_sum([y * y for y in state[1:4]])) for i in [1, 2, 3, 4]] as q from vectors)"""))
 def f28_quat_to_axis_angle(spark, sf):
     q = vectors(spark, sf).select("vec_id", R.unit(F.slice("state", 1, 4)).alias("q"))
@@ -209,13 +216,13 @@ def f28_quat_to_axis_angle(spark, sf):
 @query(vec(""", a as (select vec_id, [x / sqrt(list_sum([y * y for y in state[1:3]])) for x in state[1:3]] as a, state[4:6] as s from vectors),
 b as (select vec_id, a, [s[i] - a[i] * (a[1] * s[1] + a[2] * s[2] + a[3] * s[3]) for i in [1, 2, 3]] as b from a),
 u as (select vec_id, a, [x / sqrt(b[1] * b[1] + b[2] * b[2] + b[3] * b[3]) for x in b] as b from b)
-select vec_id, [round(x, 6) for x in list_concat(a, b)] as six, [round(x, 6) for x in [a[2] * b[3] - a[3] * b[2], a[3] * b[1] - a[1] * b[3], a[1] * b[2] - a[2] * b[1]]] as third, case when a[1] > 0.5 then 1.0 else -1.0 end::double as grip from u"""))
+select vec_id, [round(x, 6) + 0.0 for x in list_concat(a, b)] as six, [round(x, 6) + 0.0 for x in [a[2] * b[3] - a[3] * b[2], a[3] * b[1] - a[1] * b[3], a[1] * b[2] - a[2] * b[1]]] as third, case when a[1] > 0.5 then 1.0 else -1.0 end::double as grip from u"""))
 def f28_six_to_matrix(spark, sf):
     m = vectors(spark, sf).select("vec_id", R.matrix_of_six(F.slice("state", 1, 6)).alias("m"))
     return m.select("vec_id", r6(R.six_of_matrix(F.col("m"))).alias("six"), r6(F.transform("m", lambda r: r[2])).alias("third"), R.binary_gripper(F.col("m")[0][0]).alias("grip"))
 
 
-@query(vec(f", q as (select vec_id, state, {_Q} as q from vectors) select vec_id, [round(x, 6) for x in list_concat(state[1:3], [q[i] * 2 * acos(greatest(-1.0, least(1.0, q[4]))) / sqrt(1 - q[4] * q[4]) for i in [1, 2, 3]], state[8:8])] as pose from q"))
+@query(vec(f", q as (select vec_id, state, {_Q} as q from vectors) select vec_id, [round(x, 6) + 0.0 for x in list_concat(state[1:3], [q[i] * 2 * acos(greatest(-1.0, least(1.0, q[4]))) / sqrt(1 - q[4] * q[4]) for i in [1, 2, 3]], state[8:8])] as pose from q"))
 def f29_pose_state(spark, sf):
     s = R.pose_state(F.slice("state", 1, 3), R.unit(F.slice("state", 4, 4)), F.slice("state", 8, 1))
     return vectors(spark, sf).select("vec_id", r6(s).alias("pose"))

@@ -51,3 +51,17 @@ def test_selected_dims_have_no_negative_zeros(spark, tmp_path):
     rows = [[(-1) ** d * 3e-7 for d in range(64)], [-0.0] * 64, [d / 128 for d in range(-32, 32)]]
     ours, theirs = both(spark, tmp_path, "f06_selected_dims", embeddings=embeddings(rows))
     assert ours == theirs and ours.total() == 3 and "-0.0," not in str(ours)
+
+
+def test_rotations_where_six_digits_tie(spark, tmp_path):
+    part = lambda k, d: (k * (2 * d + 3) % 61 - 30) / 29 + 0.013
+    rows = [[(2 * k + 1 - 400) / 128] * 3 + [part(k + 1, d) for d in range(61)] for k in range(400)] + [[-3e-7, 2e-7, -1e-7] + [0.1 * (d + 1) for d in range(61)]]
+    ours, theirs = both(spark, tmp_path, "f27_rotation_round_trip", embeddings=embeddings(rows))
+    assert ours == theirs and ours.total() == 401
+
+
+def test_split_labels_of_ninety_episodes(spark, tmp_path):
+    n = 90
+    events = {"event_id": list(range(n)), "ts": pa.array(list(range(n)), pa.timestamp("us")), "user_id": list(range(n)), "event_type": ["view"] * n, "value": [1.0] * n}
+    ours, theirs = both(spark, tmp_path, "p14_split_labels", events=events)
+    assert ours == theirs and sum("train" in r for r in ours) == 62
