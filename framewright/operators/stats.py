@@ -29,20 +29,37 @@ def _interpolated(values: Column, q: float) -> Column:
     return F.when(low == high, low).otherwise((F.floor(at) + 1 - at) * low + (at - F.floor(at)) * high)
 
 
+def _episode_stats(frames: DataFrame, features: list[str], keys: tuple[str, ...], quantiles: tuple[float, ...]) -> DataFrame:
+    """feature_stats() of episodes: an episode's vectors are gathered as they are, and only then taken apart by dim, so that
+    what is grouped are frames and not elements."""
+    kinds = dict(frames.dtypes)
+    vectors = {f: F.col(f).cast("array<double>") if kinds[f].startswith("array") else F.array(F.col(f).cast("double")) for f in features}
+    held = frames.groupBy(*keys).agg(*[F.collect_list(v).alias(f"_{i}") for i, v in enumerate(vectors.values())])
+    packed = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"_{i}").alias("m")) for i, f in enumerate(vectors)])
+    held = held.select(*keys, F.explode(packed).alias("p")).select(*keys, "p.feature", "p.m").where(F.size("m") > 0)
+    widest = F.array_max(F.transform("m", F.size))
+    dims = held.where(widest > 0).select(*keys, "feature", "m", F.explode(F.sequence(F.lit(0), widest - 1)).alias("dim"))
+    ordered = dims.select(*keys, "feature", "dim", F.sort_array(F.filter(F.transform("m", lambda v: F.get(v, F.col("dim"))), lambda x: x.isNotNull())).alias("_v"))
+    n = F.size("_v")
+    out = ordered.withColumn("mean", F.try_divide(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x), n))
+    out = out.withColumn("std", F.sqrt(F.try_divide(F.aggregate("_v", F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean"))), n)))
+    basic = [n.cast("long").alias("count"), F.get("_v", F.lit(0)).alias("min"), F.get("_v", n - 1).alias("max"), "mean", "std"]
+    return out.select(*keys, "feature", "dim", *basic, *[F.when(n < 2, F.col("mean")).otherwise(_interpolated(F.col("_v"), q)).alias(quantile_name(q)) for q in quantiles])
+
+
 def feature_stats(frames: DataFrame, features: list[str], keys: tuple[str, ...] = (), quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
     """One row for each key, feature and dim: count, min, max, mean, population std and exact quantiles.
 
     With fewer than two rows the quantiles are the mean. Nulls are left out; NaN counts as the largest number. The values of an
     episode are sorted together; with other keys, such as a task, and without any, a group may be large and is never in one buffer.
     """
+    if quantiles and "episode_index" in keys:
+        return _episode_stats(frames, features, keys, quantiles)
     rows = long_vectors(frames, features, keys)
     basic = [F.count("v").alias("count"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std")]
     names = [quantile_name(q) for q in quantiles]
     if not quantiles:
         out = rows.groupBy(*keys, "feature", "dim").agg(*basic)
-    elif "episode_index" in keys:
-        sorted_ = rows.groupBy(*keys, "feature", "dim").agg(*basic, F.sort_array(F.collect_list("v")).alias("_v"))
-        out = sorted_.withColumns({n: _interpolated(F.col("_v"), q) for n, q in zip(names, quantiles, strict=True)})
     else:
         by = [*keys, "feature", "dim"]
         out = rows.groupBy(*by).agg(*basic).join(exact_quantiles(rows, "v", dict(zip(names, quantiles, strict=True)), tuple(by)), by, "left")
