@@ -167,3 +167,18 @@ def test_batches_of_a_stream_do_not_grow_with_its_rows(spark, monkeypatch):
     q.awaitTermination()
     assert len(seen) <= 5 and sorted(sum(seen, [])) == list(range(1000))
     assert all(max(a) < min(b) for a, b in zip(seen, seen[1:]))  # in order
+
+
+def test_keys_are_called_and_stored_in_groups(spark, tmp_path):
+    """Each key's results are those that it has alone, nulls and large numbers included, and states lie in few rows."""
+    n, big = 1_500, 2**60 + 1
+    rows = spark.range(n).selectExpr("if(id = 7, null, id) as robot", "id + 1 as _at").selectExpr("robot", "explode(array(_at, _at + 1)) as timestep", "double(0) as x", "false as must_go")
+    more = spark.createDataFrame([(-1, big, 5.0, False), (-2, None, 5.0, True)], "robot long, timestep long, x double, must_go boolean")
+    rows.unionByName(more).repartition(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    out = R.distinct_observations(stream, 1.0)
+    q = out.writeStream.format("memory").queryName("grouped_keys").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {(r.robot, r.timestep) for r in spark.table("grouped_keys").collect()}
+    assert got == {(None if i == 7 else i, i + 1) for i in range(n)} | {(-1, big), (-2, None)}
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) <= R.GROUPS
