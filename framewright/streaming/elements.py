@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from framewright.streaming.stateful import ordered_columns
+from framewright.streaming.stateful import GIVEN_ROWS, GROUPS, grouped, keyed, ordered_columns
 
 #: Rows of an episode that are read back at a time.
 CHUNK = 10_000
@@ -62,12 +62,74 @@ class _Sessions(StatefulProcessor):
         pass
 
 
-def long_episodes_of(rows: DataFrame) -> DataFrame:
+class _SessionGroups(StatefulProcessor):
+    """The same for a group of sources at a time. Beside each source's place lie its open rows, up to `short` of them; more go to
+    entries of a map, by source and number, that are written once and read when the episode ends."""
+
+    def __init__(self, key: str, short: int):
+        self.key, self.short = key, short
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.place = handle.getValueState("place", f"sources array<{self.key}>, episodes array<long>, rows array<long>, entries array<long>, open array<array<long>>")
+        self.held = handle.getMapState("held", f"source {self.key}, entry long", "seq array<long>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        stored = self.place.get() or ([],) * 5
+        places = {source: rest for source, *rest in zip(*stored, strict=True)}
+        out = {"source": [], "episode": [], "frame_index": [], "seq": []}
+
+        def give(source, episode: np.ndarray, frame: np.ndarray, seq) -> None:
+            for name, part in zip(out, ([source] * len(seq), episode, frame, seq), strict=True):
+                out[name].extend(part if isinstance(part, list) else part.tolist())
+
+        for source, columns in keyed(rows, "source"):
+            episode, count, entries, held = places.get(source, (0, 0, 0, []))
+            held = list(held)
+            seq, done = ordered_columns([columns], ("seq",), "seq", "done")
+            done = done.astype(bool)
+            before = np.cumsum(done) - done  # episodes that ended earlier in this batch
+            ended = int(done.sum())
+            first = int(np.searchsorted(before, ended))  # where the episode that stays open begins
+            if ended:
+                at = 0
+                for entry in range(entries):  # entries are read when their episode ends, and not before
+                    (chunk,) = self.held.getValue((source, entry))
+                    give(source, np.full(len(chunk), episode), np.arange(at, at + len(chunk)), list(chunk))
+                    self.held.removeKey((source, entry))
+                    at += len(chunk)
+                    if len(out["seq"]) >= GIVEN_ROWS:
+                        yield pd.DataFrame(out)
+                        out = {name: [] for name in out}
+                give(source, np.full(len(held), episode), np.arange(at, at + len(held)), held)
+                give(source, episode + before[:first], np.arange(first) - np.searchsorted(before, before[:first]) + np.where(before[:first] == 0, count, 0), seq[:first])
+                count, entries, held = 0, 0, []
+            held += seq[first:].tolist()
+            if len(held) > self.short:
+                for i in range(0, len(held), CHUNK):
+                    self.held.updateValue((source, entries), (held[i : i + CHUNK],))
+                    entries += 1
+                held = []
+            places[source] = (episode + ended, count + len(seq) - first, entries, held)
+            if len(out["seq"]) >= GIVEN_ROWS:
+                yield pd.DataFrame(out)
+                out = {name: [] for name in out}
+        self.place.update((list(places), *map(list, zip(*places.values(), strict=True))))
+        if out["seq"]:
+            yield pd.DataFrame(out)
+
+    def close(self) -> None:
+        pass
+
+
+def long_episodes_of(rows: DataFrame, groups: int | None = GROUPS, short: int = 1_000) -> DataFrame:
     """(source, episode, frame_index, seq): rows of each source (source, seq, done) numbered in episodes that end at done, given out
-    when they end. A batch adds its rows to the open episode without reading those before, so that episodes may be long; the
-    rows of a source come in the order of seq."""
+    when they end. A batch adds its rows to the open episode without reading those before, but for the newest `short` at most, so that
+    episodes may be long; the rows of a source come in the order of seq. Sources are called in so many groups, or with None each by itself."""
     element_store(rows.sparkSession)
-    return rows.select("source", "seq", "done").groupBy("source").transformWithStateInPandas(_Sessions(), "source long, episode long, frame_index long, seq long", "append", "none")
+    rows, output = rows.select("source", "seq", "done"), "source long, episode long, frame_index long, seq long"
+    if groups is None:
+        return rows.groupBy("source").transformWithStateInPandas(_Sessions(), output, "append", "none")
+    return grouped(rows, "source", groups).groupBy("group__").transformWithStateInPandas(_SessionGroups(dict(rows.dtypes)["source"], short), output, "append", "none")
 
 
 class _Queue(StatefulProcessor):

@@ -182,3 +182,22 @@ def test_keys_are_called_and_stored_in_groups(spark, tmp_path):
     got = {(r.robot, r.timestep) for r in spark.table("grouped_keys").collect()}
     assert got == {(None if i == 7 else i, i + 1) for i in range(n)} | {(-1, big), (-2, None)}
     assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) <= R.GROUPS
+
+
+def test_long_sessions_of_a_group_are_read_when_they_end():
+    sessions, handle = E._SessionGroups("bigint", 15), Handle()
+    sessions.init(handle)
+
+    def rows(seq, ends=()):
+        both = [(source, s, s in ends and source == 1) for s in seq for source in (1, 2)]
+        return R.pd.DataFrame(both, columns=["source", "seq", "done"]).assign(isnull__source=False, isnull__seq=False, isnull__done=False)
+
+    for k in range(5):
+        assert list(sessions.handleInputRows((0,), iter([rows(range(10 * k, 10 * k + 10))]), None)) == []
+    entries = handle.states["held"]
+    reads, entries.getValue = [], lambda k: (reads.append(k), entries[k])[1]
+    assert sorted(entries) == [(1, 0), (1, 1), (2, 0), (2, 1)]  # each written once, of 20 rows
+    out = pd.concat(sessions.handleInputRows((0,), iter([rows(range(50, 60), (52, 55))]), None))
+    assert sorted(entries) == [(2, 0), (2, 1), (2, 2)] and reads == [(1, 0), (1, 1)]
+    assert out["source"].tolist() == [1] * 56 and out["seq"].tolist() == list(range(56))
+    assert out["frame_index"].tolist() == [*range(53), 0, 1, 2] and out["episode"].tolist() == [0] * 53 + [1] * 3
