@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import os
+import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -71,10 +73,72 @@ def write_rotated(frames: DataFrame, root: str, max_mb: float = 100, chunk_files
     number = F.col("batch") + first_file
     place = cut(place.select("episode_index", F.floor(number / chunk_files).alias("chunk_index"), (number % chunk_files).alias("file_index")), "places")
     rows = frames.join(place, "episode_index").repartition("chunk_index", "file_index").sortWithinPartitions("chunk_index", "file_index", "index")
-    rows.write.mode("append" if first_file else "overwrite").partitionBy("chunk_index", "file_index").parquet(f"{root}/{folder}")
+    _write_files(rows, f"{root}/{folder}", keep=bool(first_file))
     return place
 
 
+def _write_files(rows: DataFrame, folder: str, keep: bool) -> None:
+    """rows, which lie and are sorted by chunk_index and file_index, as a file for each pair of them; with keep beside those that are there.
+
+    In a mounted folder the tasks write with Arrow: Hadoop's file system starts a process for each folder and two for each file there,
+    many times what small files take. A file is one task's and gets one name, under which it appears whole, so that a task that
+    runs again replaces it. Elsewhere, and for types that Arrow doesn't have, Spark's own writer is as good.
+    """
+    spark = rows.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getUri().getScheme() != "file" or any(re.search("interval|void|variant|udt|geo|time\\(", t) for _, t in rows.dtypes):
+        rows.write.mode("append" if keep else "overwrite").partitionBy("chunk_index", "file_index").parquet(folder)
+        return
+    if not keep:
+        fs.delete(path, True)
+    fs.mkdirs(path)
+    local = path.toUri().getPath() if path.isAbsolute() else fs.makeQualified(path).toUri().getPath()
+    rows.mapInArrow(lambda batches: _files_of_task(batches, local), "files long").agg(F.sum("files")).collect()  # one number
+
+
+#: Bytes of a row group of the files that tasks write themselves, about.
+ROW_GROUP_BYTES = 64 << 20
+
+
+def _files_of_task(batches: Iterator, folder: str) -> Iterator:
+    """Writes a task's rows, of which a row group at most is held, and gives the number of its files."""
+    import pyarrow as pa
+    from pyarrow import parquet
+
+    at, writer, draft, files, waiting = None, None, "", 0, []
+
+    def flush() -> None:
+        if waiting:
+            writer.write_table(pa.Table.from_batches(waiting))
+            waiting.clear()
+
+    def close() -> None:
+        flush()
+        writer.close()
+        os.replace(draft, f"{os.path.dirname(draft)}/part-00000.snappy.parquet")
+
+    for batch in batches:
+        pairs = list(zip(batch.column("chunk_index").to_pylist(), batch.column("file_index").to_pylist(), strict=True))
+        held = batch.drop_columns(["chunk_index", "file_index"])
+        starts = [i for i in range(len(pairs)) if i == 0 or pairs[i] != pairs[i - 1]]
+        for low, high in zip(starts, [*starts[1:], len(pairs)], strict=True):
+            if pairs[low] != at:
+                if writer:
+                    close()
+                at, files = pairs[low], files + 1
+                place = f"{folder}/chunk_index={at[0]}/file_index={at[1]}"
+                os.makedirs(place, exist_ok=True)
+                draft = f"{place}/_{uuid.uuid4().hex}"
+                writer = parquet.ParquetWriter(draft, held.schema, compression="snappy")
+            waiting.append(held.slice(low, high - low))
+        if sum(w.nbytes for w in waiting) >= ROW_GROUP_BYTES:
+            flush()
+    if writer:
+        close()
+    yield pa.RecordBatch.from_pydict({"files": pa.array([files], pa.int64())})
+
+
 def appended(spark: SparkSession, root: str, buffer: DataFrame, fps: float, features: list[str], max_mb: float = 100, told: Callable[[str], None] = lambda step: None) -> None:
     """Add the buffer's episodes (source, step, task, ...) to the stored dataset at root, or begin one.
 

@@ -212,3 +212,35 @@ def test_weights_of_both_sides(spark):
     f = spark.createDataFrame([(e, i, 10 * e + i) for e in range(3) for i in range(4)], "episode_index long, frame_index long, index long")
     w = T.sampling_weights(f, f, 0.25, 1, 0).groupBy("source").agg(F.sum("weight").alias("w"))
     assert {r.source: round(r.w, 9) for r in w.collect()} == {"offline": 0.75, "online": 0.25}
+
+
+def test_rotated_files_are_written_once_and_whole(spark, tmp_path, monkeypatch):
+    """A file for each place and nothing beside it, with the values of all types; writing again replaces or, elsewhere, adds."""
+    rows = spark.range(40).selectExpr(
+        "id as index", "id div 4 as episode_index", "if(id % 3 = 0, null, id / 7) as x", "if(id % 5 = 0, null, concat('a', id)) as s", "array(id, null) as a", "timestamp_seconds(id) as t",
+        "cast(id as decimal(20, 3)) as d", "id % 2 = 0 as b", "cast(cast(id as string) as binary) as raw", "named_struct('p', id, 'q', array(cast(id as float))) as st", "date_add(date'2024-01-01', cast(id as int)) as day",
+    )
+    root = str(tmp_path / "it")
+    for _ in range(2):
+        place = D.write_rotated(rows, root, 0.0005, 3)
+    held = spark.read.parquet(f"{root}/data")
+    assert dict(held.drop("chunk_index", "file_index").dtypes) == dict(rows.dtypes)
+    assert sorted(map(str, held.select(rows.columns).collect())) == sorted(map(str, rows.collect()))
+    places = {(r.chunk_index, r.file_index) for r in place.collect()}
+    found = [p for p in (tmp_path / "it").rglob("*") if p.is_file()]
+    assert len(found) == len(places) > 3 and {p.name for p in found} == {"part-00000.snappy.parquet"}
+    more = D.write_rotated(rows.withColumn("episode_index", rows.episode_index + 10), root, 0.0005, 3, first_file=3 * len(places))
+    assert spark.read.parquet(f"{root}/data").count() == 80 and more.count() == 10
+
+
+def test_a_file_of_several_row_groups(tmp_path, monkeypatch):
+    import pyarrow as pa
+    from pyarrow import parquet
+
+    monkeypatch.setattr(D, "ROW_GROUP_BYTES", 100)
+    batch = lambda low, n, f: pa.RecordBatch.from_pydict({"chunk_index": [0] * n, "file_index": f, "x": list(range(low, low + n))})
+    (told,) = D._files_of_task(iter([batch(0, 20, [0] * 20), batch(20, 20, [0] * 10 + [1] * 10), batch(40, 1, [2])]), str(tmp_path))
+    assert told.to_pydict() == {"files": [3]}
+    read = [parquet.ParquetFile(tmp_path / "chunk_index=0" / f"file_index={f}" / "part-00000.snappy.parquet") for f in range(3)]
+    assert [f.read()["x"].to_pylist() for f in read] == [list(range(30)), list(range(30, 40)), [40]]
+    assert [f.num_row_groups for f in read] == [2, 1, 1]
